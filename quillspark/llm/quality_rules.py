@@ -102,7 +102,7 @@ def line_passes(line: Column) -> Column:
 
     punctuation: over a tenth of the ink is symbols, or ``!!``/``??`` runs stand after a fifth of the words;
     navigation: four or more items split by ``|`` of at most three words each;
-    boilerplate: a site phrase in a line of at most twelve words;
+    boilerplate: a site phrase in a line of at most a hundred characters;
     stutter: words said four times or more in a row make up a third of the ink.
     """
     ink = _ink(line)
@@ -110,12 +110,11 @@ def line_passes(line: Column) -> Column:
     symbols = _count_of(line, "#*$%&|<>")
     bangs = (F.length(line) - F.length(F.regexp_replace(line, r"([!?])[!?]+", "$1"))) * 5 > n_words
     pipes = F.length(line) - F.length(F.regexp_replace(line, r"\|", ""))
-    low = F.lower(line)
-    phrase = low.rlike("|".join(BOILERPLATE)) & (n_words <= 12)
+    phrase = (F.length(line) <= 100) & F.lower(line).rlike("|".join(BOILERPLATE))
     stutter = line.rlike(STUTTER) & ((ink - _ink(F.regexp_replace(line, STUTTER, " "))) * 3 > ink)
     # cheap tests first: most lines hold none of these characters
     bad = (line.rlike(f"[{SYMBOLS}]") & ((symbols * 10 > ink) | ((pipes >= 3) & (n_words - pipes <= 3 * (pipes + 1))))) | (line.rlike(r"[!?]{2}") & bangs) | phrase | stutter
-    return (ink == 0) | ~bad
+    return ~bad | (ink == 0)
 
 
 def with_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_lost_percent: int = 50) -> DataFrame:
