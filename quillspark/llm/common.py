@@ -62,3 +62,9 @@ def held_out(doc_id: Column) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what a Python worker is handed at once: texts can be very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 256)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)

@@ -5,9 +5,44 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillspark.llm.common import read_table
 
+#: The rules of op2 (fixed values): host, path, verdict.
+URL_RULES = (
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+)
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.url_filter import filter_urls
+
+    return filter_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.exact_dedup import with_groups
+
+    return with_groups(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row")
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.simhash import with_components
+
+    found = with_components(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.packing import pack
+
+    return pack(read_table(spark, sf_dir, "documents"))
+
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.quality_rules import with_quality
@@ -16,6 +51,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_url_filter": op2_url_filter,
+    "op3_exact_dedup": op3_exact_dedup,
+    "op7_simhash": op7_simhash,
+    "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
 }
 
