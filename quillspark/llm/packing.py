@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from quillspark.llm.common import small_batches, stored
 
-CAPACITY, UNIT, END_ID = 2048, 4, 1
+CAPACITY, UNIT, END_ID = 2048, 8, 1
 #: The one special token of the vocabulary (fixed value).
 SPECIAL = "<|endoftext|>"
 
