@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import read_table
+from quillspark.llm.common import held_out, read_table
 
 #: The rules of op2 (fixed values): host, path, verdict.
 URL_RULES = (
@@ -19,6 +19,14 @@ URL_RULES = (
 )
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.quality_classifier import fit, score_quality
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, read_table(spark, sf_dir, "labels"), "quality", ~held_out(F.col("id")))
+    return score_quality(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.url_filter import filter_urls
 
@@ -31,6 +39,19 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_groups(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row")
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.chat_format import format_chats
+
+    return format_chats(read_table(spark, sf_dir, "conversations"))
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.suffix_dedup import without_repeats
+
+    cut = without_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"), texts=False)
+    return cut.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.simhash import with_components
 
@@ -50,12 +71,24 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_quality(read_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.toxicity import fit, score_toxicity
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, read_table(spark, sf_dir, "labels"), "toxic", ~held_out(F.col("id")))
+    return score_toxicity(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_url_filter": op2_url_filter,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_chat_format": op4_chat_format,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL: dict[str, str] = {}
