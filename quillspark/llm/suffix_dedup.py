@@ -1,6 +1,6 @@
 """Suffix-array dedup: bytes covered by strings of ``LENGTH`` bytes that start in more than one place.
 
-Any two equal strings of 400 bytes have the same least hash among their 100-byte grams. So the starts of a text fall
+Any two equal strings of 400 bytes have the same least hash among their 200-byte grams. So the starts of a text fall
 into runs with one least hash v each, and equal strings lie in runs of equal v: the corpus splits into small groups
 that can be settled apart, whatever documents they come from.
 
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import shuffle_partitions, small_batches, stored, text_of
 
 LENGTH = 400
-GRAM = 100
+GRAM = 200
 RUN = 256  # windows in one run at most
 CHUNK = 1 << 19  # window starts of one text handled at once
 SHARD = 1 << 18
@@ -108,7 +108,7 @@ class Shard:
         key = np.zeros(n, dtype=np.uint64)
         for k in range(8):
             key = (key << np.uint64(8)) | padded[k : n + k]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         rank = self._ranks(key, order)
         h = 8
         while h < depth:
@@ -116,7 +116,7 @@ class Shard:
             later = np.zeros(n, dtype=np.int64)
             later[: n - step] = rank[step:] + 1
             key = rank * (n + 1) + later
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             rank = self._ranks(key, order)
             h += step
         self.suffixes = order
@@ -137,7 +137,8 @@ class Shard:
 def _interleave(keys: list[np.ndarray]) -> list[np.ndarray]:
     """Common block numbers for shards' ascending keys: only each shard's different keys are merged."""
     new = [np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool) for k in keys]
-    merged = np.unique(np.concatenate([k[f] for k, f in zip(keys, new, strict=True)]))
+    merged = np.sort(np.concatenate([k[f] for k, f in zip(keys, new, strict=True)]))
+    merged = merged[np.concatenate([[True], merged[1:] != merged[:-1]])] if len(merged) else merged
     return [(np.searchsorted(merged, k[f]) + 1)[np.cumsum(f) - 1] for k, f in zip(keys, new, strict=True)]
 
 
