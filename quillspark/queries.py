@@ -1,10 +1,415 @@
-"""Every query of the mail-search engine by name, and the same in DuckDB's SQL."""
+"""Every query of the mail-search engine by name, and the same in DuckDB's SQL.
+
+The driver's tables stand in for the catalogue: ``documents`` for messages and their sources, ``embeddings`` for
+vectors, ``pages`` for HTML bodies, ``conversations`` for scan order. Marks that mail has and the documents lack
+(URLs, quotes, signatures) are appended by one expression that both sides share.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.functions import columns as C
+from quillspark.functions import udfs as U
+from quillspark.functions.text import INVISIBLE
+from quillspark.operators import embed as E
+from quillspark.operators import search as S
+from quillspark.operators import sync
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+PREFERENCE = ["src3", "src1", "src7"]
+
+
+def _query(name: str, sql: str | None = None):
+    def add(function: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = function
+        if sql:
+            SQL[name] = sql
+        return function
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents")
+    return d.select(
+        F.col("doc_id").alias("id"),
+        F.concat(F.lit("m"), F.col("doc_id")).alias("message_id"),
+        (F.col("doc_id") * 86_399).alias("date"),
+        F.concat(F.lit("User "), F.col("lang"), F.lit(" <u"), F.col("doc_id"), F.lit("@example.org>")).alias("sender"),
+        F.lit("list@example.org").alias("recipient"),
+        F.col("source").alias("subject"),
+        F.col("text").alias("body_text"),
+        C.body_length("source", "text").alias("body_length"),
+        (F.col("doc_id") % 3 == 0).alias("embedded"),
+        (F.col("lang") == "de").alias("mailing_list"),
+    )
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
+def _vector(spark: SparkSession, sf_dir: str, vec_id: int = 7) -> list[float]:
+    return _table(spark, sf_dir, "embeddings").filter(F.col("vec_id") == vec_id).select("embedding").first()[0]
+
+
+DISTANCE = "1 - list_cosine_similarity(e.embedding::DOUBLE[], q.v)"
+QUERY_CTE = "q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 7)"
+
+
+@_query("knn_topk", f"WITH {QUERY_CTE} SELECT e.vec_id AS id, round({DISTANCE}, 6) + 0.0 AS distance FROM embeddings e, q ORDER BY {DISTANCE}, e.vec_id LIMIT 10")
+def knn_topk(spark, sf_dir):
+    return S.knn(vectors(spark, sf_dir), _vector(spark, sf_dir), 10).withColumn("distance", F.round("distance", 6))
+
+
+RERANK_SQL = f"""
+WITH {QUERY_CTE},
+hits AS (SELECT e.vec_id AS id, {DISTANCE} AS distance FROM embeddings e, q ORDER BY 2, 1 LIMIT 30),
+scored AS (
+  SELECT h.id, h.distance, d.source AS subject, d.text,
+         (1 - h.distance) * least(1.0::DOUBLE, 0.3::DOUBLE + 0.7::DOUBLE * (strlen(d.source) + strlen(d.text)) / 50.0::DOUBLE) AS score
+  FROM hits h JOIN documents d ON d.doc_id = h.id
+  ORDER BY score DESC, h.distance, h.id LIMIT 10)
+SELECT CAST(row_number() OVER (ORDER BY score DESC, distance, id) AS INTEGER) AS rank, round(score, 6) + 0.0 AS score, 'm' || id AS message_id,
+       subject, replace(left(text, 118), chr(10), ' ') AS body_preview
+FROM scored"""
+
+
+@_query("semantic_search_rerank", RERANK_SQL)
+def semantic_search_rerank(spark, sf_dir):
+    ranked = S.search(vectors(spark, sf_dir), emails(spark, sf_dir), _vector(spark, sf_dir))
+    return S.results(ranked).select("rank", F.round("score", 6).alias("score"), "message_id", "subject", "body_preview")
+
+
+@_query(
+    "search_batch_queries",
+    """
+WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 5),
+a AS (SELECT q.query_id, e.vec_id AS id, 1 - list_cosine_similarity(e.embedding::DOUBLE[], q.v) AS distance FROM embeddings e, q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank FROM a)
+SELECT query_id, id, round(distance, 6) + 0.0 AS distance, rank FROM r WHERE rank <= 5""",
+)
+def search_batch_queries(spark, sf_dir):
+    queries = _table(spark, sf_dir, "embeddings").filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return S.search_batch(vectors(spark, sf_dir), queries, 5).withColumn("distance", F.round("distance", 6))
+
+
+@_query("search_json")
+def search_json(spark, sf_dir):
+    return S.to_json(S.results(S.search(vectors(spark, sf_dir), emails(spark, sf_dir), _vector(spark, sf_dir))))
+
+
+@_query("search_text")
+def search_text(spark, sf_dir):
+    return S.to_text(S.search(vectors(spark, sf_dir), emails(spark, sf_dir), _vector(spark, sf_dir)))
+
+
+@_query(
+    "l2_normalize",
+    "SELECT vec_id AS id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: (3 * x) * (3 * x)))), 5) AS norm, round(embedding[1]::DOUBLE, 5) + 0.0 AS first, len(embedding)::INTEGER AS n FROM embeddings",
+)
+def l2_normalize(spark, sf_dir):
+    v = vectors(spark, sf_dir).select("id", F.transform("embedding", lambda x: x.cast("double") * 3).alias("v"))
+    v = v.select("id", "v", C.l2_normalize("v").alias("u"))
+    return v.select("id", F.round(C.l2_norm("v"), 5).alias("norm"), F.round(F.col("u")[0], 5).alias("first"), F.size("u").alias("n"))
+
+
+# ---- reconciling scans ----
+
+STORED = "SELECT source, 'm' || doc_id AS message_id, '/mb/' || source || '#offset=' || doc_id AS locator FROM documents WHERE doc_id % 10 <> 0"
+SCANNED = "SELECT source, 'm' || doc_id AS message_id, '/mb/' || source || '#offset=' || (doc_id + CASE WHEN doc_id % 5 = 1 THEN 1000000 ELSE 0 END) AS locator FROM documents WHERE doc_id % (CASE WHEN source IN ('src1', 'src2') THEN 3 ELSE 37 END) <> 0"
+STATUS = "SELECT source, source AS path, source <> 'src4' AS ok FROM documents GROUP BY source"
+CHANGES = f"""stored AS ({STORED}), scanned AS ({SCANNED}),
+changes AS (
+  SELECT coalesce(n.source, o.source) AS source, coalesce(n.message_id, o.message_id) AS message_id, n.locator, o.locator AS old_locator,
+         CASE WHEN o.message_id IS NULL THEN 'new' WHEN n.message_id IS NULL THEN 'removed' WHEN n.locator = o.locator THEN 'unchanged' ELSE 'relocated' END AS change
+  FROM scanned n FULL JOIN stored o ON n.source = o.source AND n.message_id = o.message_id)"""
+GATES = f"""counts AS (SELECT source, count(*) FILTER (WHERE change <> 'new') AS stored, count(*) FILTER (WHERE change = 'removed') AS removed FROM changes GROUP BY source),
+gates AS (SELECT c.source, c.stored, c.removed, s.ok AS scan_complete, c.removed = 0 OR (s.ok AND c.removed::DOUBLE / greatest(c.stored, 1) <= 0.10) AS allow
+          FROM counts c JOIN ({STATUS}) s ON s.source = c.source)"""
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents").filter("doc_id % 10 <> 0")
+    return d.select("source", F.concat(F.lit("m"), F.col("doc_id")).alias("message_id"), C.locator(F.concat(F.lit("/mb/"), F.col("source")), "doc_id").alias("locator"))
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents").filter("doc_id % (CASE WHEN source IN ('src1', 'src2') THEN 3 ELSE 37 END) <> 0")
+    offset = F.col("doc_id") + F.when(F.col("doc_id") % 5 == 1, 1_000_000).otherwise(0)
+    return d.select("source", F.concat(F.lit("m"), F.col("doc_id")).alias("message_id"), C.locator(F.concat(F.lit("/mb/"), F.col("source")), offset).alias("locator"))
+
+
+def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("source").distinct().select("source", F.col("source").alias("path"), (F.col("source") != "src4").alias("ok"))
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.diff(_scanned(spark, sf_dir), _stored(spark, sf_dir))
+
+
+def _gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.gate(_changes(spark, sf_dir), sync.scan_complete(_status(spark, sf_dir)))
+
+
+@_query("sync_diff", f"WITH {CHANGES} SELECT source, message_id, locator, old_locator, change FROM changes")
+def sync_diff(spark, sf_dir):
+    return _changes(spark, sf_dir)
+
+
+@_query("sync_removed", f"WITH stored AS ({STORED}), scanned AS ({SCANNED}) SELECT source, message_id FROM stored o WHERE NOT EXISTS (SELECT 1 FROM scanned n WHERE n.source = o.source AND n.message_id = o.message_id)")
+def sync_removed(spark, sf_dir):
+    return _stored(spark, sf_dir).join(_scanned(spark, sf_dir), ["source", "message_id"], "left_anti").select("source", "message_id")
+
+
+@_query(
+    "sync_last_wins",
+    """
+WITH p AS (SELECT 'plain-mbox' AS source, 'c' || conv_id AS message_id, role AS path, turn AS "offset", role || '#offset=' || turn AS locator FROM conversations),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, message_id ORDER BY path DESC, "offset" DESC, locator DESC) AS n FROM p)
+SELECT source, message_id, locator FROM r WHERE n = 1""",
+)
+def sync_last_wins(spark, sf_dir):
+    c = _table(spark, sf_dir, "conversations")
+    pairs = c.select(F.lit("plain-mbox").alias("source"), F.concat(F.lit("c"), F.col("conv_id")).alias("message_id"), F.col("role").alias("path"), F.col("turn").alias("offset"), C.locator("role", "turn").alias("locator"))
+    return sync.last_wins(pairs)
+
+
+@_query("scan_complete", f"SELECT source, bool_and(ok) AS scan_complete FROM ({STATUS}) GROUP BY source")
+def scan_complete(spark, sf_dir):
+    return sync.scan_complete(_status(spark, sf_dir))
+
+
+@_query("sync_remove_gate", f"WITH {CHANGES}, {GATES} SELECT * FROM gates")
+def sync_remove_gate(spark, sf_dir):
+    return _gates(spark, sf_dir)
+
+
+@_query(
+    "sync_known_split",
+    f"WITH {CHANGES}, e AS (SELECT 'm' || doc_id AS message_id FROM documents WHERE doc_id % 4 <> 0) SELECT c.source, c.message_id, EXISTS (SELECT 1 FROM e WHERE e.message_id = c.message_id) AS known FROM changes c WHERE change IN ('new', 'relocated')",
+)
+def sync_known_split(spark, sf_dir):
+    wanted = _changes(spark, sf_dir).filter("change IN ('new', 'relocated')")
+    known, fresh = sync.known_split(wanted, emails(spark, sf_dir).filter("id % 4 <> 0"))
+    return known.select("source", "message_id", F.lit(True).alias("known")).union(fresh.select("source", "message_id", F.lit(False)))
+
+
+@_query(
+    "sync_apply_sources",
+    f"""WITH {CHANGES}, {GATES},
+gone AS (SELECT source, message_id FROM changes WHERE change = 'relocated' UNION ALL
+         SELECT c.source, c.message_id FROM changes c JOIN gates g ON g.source = c.source AND g.allow WHERE c.change = 'removed'),
+rest AS (SELECT * FROM stored s WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.source = s.source AND g.message_id = s.message_id)),
+free AS (SELECT source, message_id, locator FROM changes c WHERE change IN ('new', 'relocated')
+         AND NOT EXISTS (SELECT 1 FROM rest r WHERE r.source = c.source AND r.message_id = c.message_id)
+         AND NOT EXISTS (SELECT 1 FROM rest r WHERE r.source = c.source AND r.locator = c.locator))
+SELECT source, message_id, locator FROM rest UNION ALL SELECT source, min(message_id), locator FROM free GROUP BY source, locator""",
+)
+def sync_apply_sources(spark, sf_dir):
+    return sync.apply_sources(_stored(spark, sf_dir), _changes(spark, sf_dir), _gates(spark, sf_dir))
+
+
+@_query("sync_delete_sources", f"SELECT * FROM ({STORED}) s WHERE NOT (s.source = 'src5')")
+def sync_delete_sources(spark, sf_dir):
+    stored = _stored(spark, sf_dir)
+    return sync.delete_sources(stored, stored.filter("source = 'src5'"))
+
+
+@_query("source_scan", f"SELECT message_id, locator FROM ({STORED}) WHERE source = 'src3'")
+def source_scan(spark, sf_dir):
+    return _stored(spark, sf_dir).filter(F.col("source") == "src3").select("message_id", "locator")
+
+
+@_query("source_scan_union", f"SELECT source, message_id, locator FROM ({SCANNED}) WHERE source = 'src1' UNION ALL SELECT source, message_id, locator FROM ({SCANNED}) WHERE source = 'src2'")
+def source_scan_union(spark, sf_dir):
+    s = _scanned(spark, sf_dir)
+    return s.filter("source = 'src1'").unionByName(s.filter("source = 'src2'"))
+
+
+@_query("gc_orphans", f"SELECT d.doc_id AS id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM ({STORED}) s WHERE s.message_id = 'm' || d.doc_id)")
+def gc_orphans(spark, sf_dir):
+    return sync.orphans(emails(spark, sf_dir), _stored(spark, sf_dir)).select("id")
+
+
+@_query("gc_emails", f"SELECT d.doc_id AS id, 'm' || d.doc_id AS message_id FROM documents d WHERE EXISTS (SELECT 1 FROM ({STORED}) s WHERE s.message_id = 'm' || d.doc_id)")
+def gc_emails(spark, sf_dir):
+    return sync.gc_emails(emails(spark, sf_dir), _stored(spark, sf_dir)).select("id", "message_id")
+
+
+@_query("gc_vectors", f"SELECT v.vec_id AS id FROM embeddings v WHERE v.vec_id IN (SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM ({STORED}) s WHERE s.message_id = 'm' || d.doc_id))")
+def gc_vectors(spark, sf_dir):
+    left = sync.gc_emails(emails(spark, sf_dir), _stored(spark, sf_dir))
+    return sync.gc_vectors(vectors(spark, sf_dir), left).select("id")
+
+
+MANY = "SELECT source, 'm' || doc_id AS message_id, '/mb/' || source || '#offset=' || doc_id AS locator FROM documents UNION ALL SELECT 'src' || (doc_id % 9), 'm' || doc_id, '/other/' || doc_id FROM documents WHERE doc_id % 2 = 0"
+RANKED = "CASE source WHEN 'src3' THEN 1 WHEN 'src1' THEN 2 WHEN 'src7' THEN 3 ELSE 1000 END"
+
+
+def _many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents")
+    mid = F.concat(F.lit("m"), F.col("doc_id")).alias("message_id")
+    one = d.select("source", mid, C.locator(F.concat(F.lit("/mb/"), F.col("source")), "doc_id").alias("locator"))
+    return one.union(d.filter("doc_id % 2 = 0").select(F.concat(F.lit("src"), F.col("doc_id") % 9), mid, F.concat(F.lit("/other/"), F.col("doc_id"))))
+
+
+FIRST_SQL = f"WITH m AS ({MANY}), r AS (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY {RANKED}, source, locator) AS n FROM m) SELECT source, message_id, locator FROM r WHERE n = 1"
+
+
+@_query("first_body_wins", FIRST_SQL)
+def first_body_wins(spark, sf_dir):
+    return sync.first_body_wins(_many(spark, sf_dir), PREFERENCE)
+
+
+@_query("pick_open_source", FIRST_SQL)
+def pick_open_source(spark, sf_dir):
+    return S.pick_source(_many(spark, sf_dir), PREFERENCE)
+
+
+@_query("count_unembedded", "SELECT count(*) FILTER (WHERE doc_id % 3 <> 0 AND lang <> 'de') AS n FROM documents")
+def count_unembedded(spark, sf_dir):
+    return E.count_unembedded(emails(spark, sf_dir))
+
+
+@_query("embed_batch", "SELECT doc_id AS id, (strlen(source) + strlen(text))::BIGINT AS body_length, text || ' ' || source AS input FROM documents WHERE doc_id % 3 <> 0 AND lang <> 'de' ORDER BY 2, 1 LIMIT 256")
+def embed_batch(spark, sf_dir):
+    return E.next_batch(emails(spark, sf_dir)).select("id", "body_length", C.embed_input().alias("input"))
+
+
+@_query("embed_pending", "SELECT doc_id AS id, 64 AS dim FROM documents d WHERE lang <> 'de' AND NOT EXISTS (SELECT 1 FROM embeddings v WHERE v.vec_id = d.doc_id)")
+def embed_pending(spark, sf_dir):
+    todo = E.pending(emails(spark, sf_dir), vectors(spark, sf_dir))
+    return E.embed(todo, E.HashingEncoder(64)).select("id", F.size("embedding").alias("dim"))
+
+
+@_query("mark_embedded", "SELECT doc_id AS id, EXISTS (SELECT 1 FROM embeddings v WHERE v.vec_id = d.doc_id) AS embedded FROM documents d")
+def mark_embedded(spark, sf_dir):
+    return E.mark_embedded(emails(spark, sf_dir), vectors(spark, sf_dir)).select("id", "embedded")
+
+
+# ---- scalar functions over documents with mail's marks put in ----
+
+
+def _scalar(name: str, made: str, spark_fn: Callable[[Column], Column], sql: str | None) -> None:
+    """Registers ``name``: ``spark_fn`` and ``sql`` (over t) of the text that ``made`` builds on both sides."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        d = _table(spark, sf_dir, "documents").select("doc_id", F.expr(made).alias("t"))
+        return d.select("doc_id", spark_fn(F.col("t")).alias("out"))
+
+    QUERIES[name] = run
+    if sql:
+        SQL[name] = f"WITH x AS (SELECT doc_id, {made} AS t FROM documents), l AS (SELECT *, string_split(t, chr(10)) AS ls FROM x) SELECT doc_id, {sql} AS out FROM l"
+
+
+ID = "CAST(doc_id AS STRING)"
+NL = "chr(10)"
+ATTRIBUTION = "(starts_with({x}, 'On ') AND strlen({x}) <= 200 AND ends_with(rtrim({x}), ' wrote:'))"
+FLOWS = "(trim({x}) <> '' AND NOT starts_with({x}, '  ') AND NOT starts_with({x}, chr(9)) AND NOT regexp_matches({x}, '^\\s*([-*>#|+=_]|[0-9]+[.)])'))"
+BROKEN = f"concat(replace(text, ' the ', concat(' the', {NL})), {NL}, '- item', {NL}, '  code ', {ID})"
+
+_scalar("msgid_trim", f"concat('< ', CASE WHEN doc_id % 7 = 0 THEN '' ELSE {ID} END, '@x>> ')", C.message_id, "nullif(trim(t, '<> '), '')")
+_scalar("bare_address", f"CASE WHEN doc_id % 3 = 0 THEN concat('  a', {ID}, '@x.org ') ELSE concat('\"N <', lang, '>\" <u', {ID}, '@x.org> ') END", C.bare_address, "trim(CASE WHEN regexp_matches(t, '<[^<>]*>[^<]*$') THEN regexp_extract(t, '<([^<>]*)>[^<]*$', 1) ELSE t END)")
+_scalar("preview", "text", lambda t: C.preview(t, 118), "replace(left(t, 118), chr(10), ' ')")
+_scalar("locator_parse", f"concat('/a#b/', source, '#offset=', {ID})", lambda t: F.concat(C.locator_parts(t)["path"], F.lit("|"), C.locator_parts(t)["offset"]), "regexp_extract(t, '^(.*)#offset=([0-9]+)$', 1) || '|' || regexp_extract(t, '^(.*)#offset=([0-9]+)$', 2)")
+_scalar("open_url", f"concat('id', {ID}, '@x')", lambda t: F.concat_ws(" ", C.open_url(F.lit("apple-mail"), t), C.open_url(F.lit("thunderbird"), t)), "'message://%3C' || t || '%3E mid:' || t")
+_scalar("xml_escape", "concat(left(text, 200), '<a href=\"x\">&''')", C.xml_escape, "replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '''', '&apos;'), '\"', '&quot;')")
+_scalar("unix_lines", f"replace(text, {NL}, concat(chr(13), {NL}))", C.unix_lines, "replace(t, chr(13) || chr(10), chr(10))")
+_scalar("url_strip", f"concat(text, ' (https://ex.com/', {ID}, ') see http://a.b/c?d=', {ID}, '> end http://')", C.strip_urls, "regexp_replace(regexp_replace(t, 'https://[^ \\t\\n\\f\\r>\")]*', '', 'g'), 'http://[^ \\t\\n\\f\\r>\")]+', '', 'g')")
+_scalar("empty_parens", f"concat(text, ' ( ', {NL}, ') x (y) () ', {ID})", C.strip_empty_parens, "regexp_replace(t, '\\([ \\t\\n\\f\\r]*\\)', '', 'g')")
+_scalar("invisible_strip", f"concat(text, '{INVISIBLE[0]}a{INVISIBLE[2]}b{INVISIBLE[-1]}c{chr(160)}d', {ID})", C.strip_invisible, f"replace(translate(t, '{INVISIBLE}', ''), '{chr(160)}', ' ')")
+_scalar("collapse_ws", f"concat(text, {NL}, {NL}, {NL}, {NL}, 'a  b ', chr(9), ' c', {ID})", C.collapse_space, "regexp_replace(regexp_replace(t, '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")
+_scalar("quoted_lines", f"concat(text, {NL}, '> quoted', {NL}, '  >> deeper', {NL}, '>kept', {NL}, {ID})", C.strip_quotes, "regexp_replace(regexp_replace(t, '(^|\\n)[ \\t]+', '\\1', 'g'), '(^|\\n)>[ \\t>][^\\n]*', '\\1', 'g')")
+_scalar("strip_signature", f"concat(text, {NL}, '-- ', CASE WHEN doc_id % 4 = 0 THEN 'no' ELSE '' END, {NL}, 'Name ', {ID})", C.strip_signature, "CASE WHEN starts_with(t, '-- ' || chr(10)) THEN '' ELSE split_part(t, chr(10) || '-- ' || chr(10), 1) END")
+_scalar("strip_footer", f"concat(text, {NL}, repeat('_', CAST(26 + doc_id % 9 AS INT)), {NL}, 'list info ', {ID})", C.strip_footer, "regexp_replace(t, '(^|\\n)_{30,}(\\n[\\s\\S]*)?$', '\\1')")
+_scalar("strip_outlook", f"concat(text, {NL}, '-----Original Message-----', {NL}, 'From: x', {NL}, {NL}, 'rest ', {ID})", C.strip_outlook, "regexp_replace(t, '(^|\\n)-----Original Message-----[\\s\\S]*?\\n\\n', '\\1', 'g')")
+_scalar(
+    "strip_attribution",
+    f"concat(text, {NL}, 'On Mon, N', {ID}, ' wrote:  ', {NL}, {NL}, 'reply', {NL}, 'On it he wrote: no')",
+    C.strip_attribution,
+    f"array_to_string(list_transform(ls, lambda x, i: CASE WHEN {ATTRIBUTION.format(x='x')} OR (i > 1 AND trim(x) = '' AND {ATTRIBUTION.format(x='ls[i - 1]')}) THEN '' WHEN i < len(ls) THEN x || chr(10) ELSE x END), '')",
+)
+_scalar("unflow", f"concat(replace(text, ' the ', concat(' the ', {NL})), {NL}, '-- ', {NL}, 'x', {ID})", C.unflow, "array_to_string(list_transform(ls, lambda x, i: CASE WHEN i = len(ls) OR (ends_with(x, ' ') AND x <> '-- ') THEN x ELSE x || chr(10) END), '')")
+_scalar(
+    "unwrap_paragraphs",
+    BROKEN,
+    C.unwrap,
+    f"array_to_string(list_transform(ls, lambda x, i: CASE WHEN i = len(ls) THEN x WHEN {FLOWS.format(x='x')} AND {FLOWS.format(x='ls[i + 1]')} AND length(x) >= 50 AND NOT regexp_matches(x, '[.!?:;]\\s*$') THEN x || ' ' ELSE x || chr(10) END), '')",
+)
+_scalar("mbox_unescape", f"concat('>From start', {NL}, text, {NL}, '>>From x', {NL}, '> From y', {NL}, {ID})", C.mbox_unescape, "regexp_replace(t, '(^|\\n)>(>*From )', '\\1\\2', 'g')")
+_scalar(
+    "moz_flags",
+    f"concat('X-Mozilla-Status: ', CASE WHEN doc_id % 3 = 0 THEN '0009' WHEN doc_id % 3 = 1 THEN '1000' ELSE 'zz' END, {NL}, 'X-Mozilla-Status2: ', CASE WHEN doc_id % 5 = 0 THEN '00810000' ELSE '00000000' END, {NL})",
+    C.moz_deleted,
+    "regexp_extract(t, 'Status: ([0-9a-f]+)', 1) = '0009' OR contains(t, '00810000')",
+)
+_scalar("pgp_strip", f"concat('-----BEGIN PGP SIGNED MESSAGE-----', {NL}, 'Hash: x', {NL}, {NL}, left(text, 50), {NL}, '-----BEGIN PGP SIGNATURE-----', {NL}, 'abc', {NL}, '-----END PGP SIGNATURE-----', {NL}, {ID})", U.strip_pgp, "left(replace(t, '-----BEGIN PGP SIGNED MESSAGE-----' || chr(10) || 'Hash: x' || chr(10) || chr(10), ''), 51) || doc_id")
+SQL["pgp_strip"] = f"SELECT doc_id, concat(left(text, 50), chr(10), {ID}) AS out FROM documents"
+DIRTY = f"concat(replace(text, ' the ', '  the ('), ' https://ex.com/', {ID}, ')', {NL}, '> q', {NL}, {NL}, {NL}, 'On T, N wrote:', {NL}, {NL}, 'end ')"
+_scalar("clean_text", DIRTY, U.clean_text, None)
+_scalar("clean_text_native", DIRTY, C.clean_body, None)
+
+
+@_query("clean_text_agree", "SELECT count(*) AS n, 0::BIGINT AS different FROM documents")
+def clean_text_agree(spark, sf_dir):
+    """The Column form and the kernel give the same on every row."""
+    d = _table(spark, sf_dir, "documents").select(F.expr(DIRTY).alias("t"))
+    both = d.select(C.clean_body("t").alias("a"), U.clean_text("t").alias("b"))
+    return both.agg(F.count("*").alias("n"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("different"))
+
+
+@_query("rfc3339", "SELECT doc_id, strftime(make_timestamp(doc_id * 86399 * 1000000), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS json, strftime(make_timestamp(doc_id * 86399 * 1000000), '%Y-%m-%d %H:%M:%S') AS shown FROM documents")
+def rfc3339(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") * 86_399).alias("d"))
+    return d.select("doc_id", C.rfc3339("d").alias("json"), C.date_text("d").alias("shown"))
+
+
+@_query("length_factor", "SELECT doc_id, round(least(1.0::DOUBLE, 0.3::DOUBLE + 0.7::DOUBLE * (doc_id % 60) / 50.0::DOUBLE), 9) AS factor FROM documents")
+def length_factor(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.round(C.length_factor(F.col("doc_id") % 60), 9).alias("factor"))
+
+
+@_query("html_text")
+def html_text(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", U.html_text("html").alias("out"))
+
+
+@_query("webmail_token")
+def webmail_token(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", U.webmail_token(F.col("doc_id") + 1_863_898_510_737_174_703).alias("token"))
+
+
+def _raw(d: DataFrame) -> Column:
+    head = F.concat(F.lit("Message-ID: <m"), F.col("doc_id"), F.lit("@x>\nFrom: A <a@x>\nTo: b@x\nSubject: "), F.col("source"), F.lit("\nDate: Thu, 01 Jan 1970 00:00:10 +0000\nContent-Type: text/plain; charset=utf-8\n\n"))
+    return F.encode(F.concat(head, F.col("text")), "UTF-8")
+
+
+@_query("mime_parse", "SELECT doc_id, 'm' || doc_id || '@x' AS message_id, 10::BIGINT AS date, source AS subject, 'A <a@x>' AS sender, false AS mailing_list FROM documents")
+def mime_parse(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    p = d.select("doc_id", U.parse_message(_raw(d)).alias("p"))
+    return p.select("doc_id", *(f"p.{c}" for c in ("message_id", "date", "subject", "sender", "mailing_list")))
+
+
+@_query("peek_message_id", "SELECT doc_id, 'm' || doc_id || '@x' AS message_id FROM documents")
+def peek_message_id(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    return d.select("doc_id", U.peek_message_id(_raw(d)).alias("message_id"))
+
+
+@_query("mbox_envelopes", "SELECT doc_id, 2 AS n, (strlen(text) + 12)::BIGINT AS second FROM documents")
+def mbox_envelopes(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    data = F.encode(F.concat(F.lit("From a\nx: y\n"), F.replace("text", F.lit("From "), F.lit("from ")), F.lit("\nFrom b\n\nz")), "UTF-8")
+    e = d.select("doc_id", U.envelopes(data).alias("e"))
+    return e.select("doc_id", F.size("e").alias("n"), (F.col("e")[1]["envelope_start"] - 1).alias("second"))
