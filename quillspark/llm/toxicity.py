@@ -104,8 +104,8 @@ def words_of(text: str) -> list[str]:
 
 
 def parts_of(word: str) -> list[str]:
-    """A word and its beginnings of three to six characters, as evidence names them."""
-    return ["=" + word, *(word[:n] for n in range(3, min(7, len(word) + 1)))]
+    """A word and its beginnings of three to ten characters, as evidence names them."""
+    return ["=" + word, *(word[:n] for n in range(3, min(11, len(word) + 1)))]
 
 
 @dataclass
@@ -158,12 +158,14 @@ class Model:
         return min(end)[1]
 
     def _weights(self, text: str) -> dict[str, float]:
+        """The strongest evidence of each word."""
         found = {}
         for word in text.split():
             word = word.strip(PUNCTUATION)
-            for part in parts_of(word) if word else ():
-                if (w := self.evidence.get(part)) is not None:
-                    found[part] = w
+            parts = [(w, part) for part in parts_of(word) if (w := self.evidence.get(part)) is not None] if word else ()
+            if parts:
+                w, part = min(parts)
+                found[part] = w
         return found
 
     def of_token(self, token: str) -> dict[str, float]:
@@ -186,36 +188,75 @@ class Model:
                 evidence |= known
         for m in SPACED.finditer(low):
             evidence |= self._weights(self.decode(m[0]))
-        # one word shows in several parts (itself, its beginnings); the strongest part of each counts
         rest = sum(sorted(evidence.values())[:3])
         return 1 - (1 - self.base) * math.exp(rest)
 
 
+def _surprise(t: int, c: int, base: float) -> float:
+    """How far t toxic of t + c documents lie beyond the base rate (log of a binomial tail bound)."""
+    n, share = t + c, t / (t + c)
+    if share <= base:
+        return 0.0
+    return n * (share * math.log(share / base) + ((1 - share) * math.log((1 - share) / (1 - base)) if share < 1 else 0))
+
+
 def learn_evidence(rows: list[tuple[str, int]]) -> tuple[dict[str, float], float]:
-    """Evidence from (text, label): parts whose share of toxic documents exceeds chance over all parts tried."""
-    toxic, clean = Counter(), Counter()
-    n = [0, 0]
-    names = lambda text: {p for w in {w.strip(PUNCTUATION) for w in words_of(text)} if w for p in parts_of(w)}
-    for text, label in rows:
-        n[label] += 1
-        if label:
-            toxic.update(names(text))
+    """Evidence from (text, label): parts found in toxic documents far beyond chance over all parts tried.
+
+    Parts are taken greedily by the toxic documents that no part taken before explains, so words that merely
+    stand beside a toxic word in copies of one document aren't taken. Parts common among toxic documents and
+    almost never found elsewhere are taken besides, and then rarer forms of what was taken.
+    """
+    rows = sorted(set(rows))
+    n = [sum(label == k for _, label in rows) for k in (0, 1)]
     if not n[1] or not n[0]:
         return {}, (n[1] / sum(n) if sum(n) else 0.5)
-    tried = len(toxic)
-    toxic = Counter({p: c for p, c in toxic.items() if c >= 2})
+    base = n[1] / (n[0] + n[1])
+    names = lambda text: {p for w in {w.strip(PUNCTUATION) for w in words_of(text)} if w for p in parts_of(w)}
+    marked = [names(text) for text, label in rows if label]
+    toxic = Counter(p for parts in marked for p in parts)
+    needed = math.log(max(2, len(toxic)))
+    toxic = Counter({p: t for p, t in toxic.items() if _surprise(t, 0, base) > needed})
+    clean: Counter = Counter()
     for text, label in rows:
         if not label:
             clean.update(p for p in names(text) if p in toxic)
-    base = n[1] / (n[0] + n[1])
-    out = {}
-    for p, t in toxic.items():
-        share = t / (t + clean[p])
-        if share <= 0.8:
+    toxic = Counter({p: t for p, t in toxic.items() if t >= 0.95 * (t + clean[p]) and _surprise(t, clean[p], base) > needed})
+    holders: dict[str, list[int]] = {p: [] for p in toxic}
+    for k, parts in enumerate(marked):
+        for p in parts:
+            if p in holders:
+                holders[p].append(k)
+    open_counts, explained, taken = Counter(toxic), set(), set()
+    while open_counts:
+        p, t = max(open_counts.items(), key=lambda x: (x[1], toxic[x[0]], x[0]))
+        if t < 2 or _surprise(t, clean[p], base) <= needed:
+            del open_counts[p]
+            if t < 2:
+                break
             continue
-        surprise = (t + clean[p]) * (share * math.log(share / base) + ((1 - share) * math.log((1 - share) / (1 - base)) if share < 1 else 0))
-        if surprise > math.log(max(2, tried)):
-            out[p] = math.log(1 - (t + 0.5) / (t + clean[p] + 1))
+        taken.add(p)
+        del open_counts[p]
+        for k in holders[p]:
+            if k not in explained:
+                explained.add(k)
+                for q in marked[k]:
+                    if q in open_counts:
+                        open_counts[q] -= 1
+    taken |= {p for p, t in toxic.items() if t >= 0.03 * n[1] and t >= 0.97 * (t + clean[p])}
+    # other forms of a taken word: rarer words with the same beginning, as exclusive as it is
+    families = {p.lstrip("=")[:4] for p in taken if len(p.lstrip("=")) >= 4}
+    counted = Counter(p for parts in marked for p in parts if len(p) >= 5 and p.lstrip("=")[:4] in families)
+    counted = Counter({p: t for p, t in counted.items() if t >= 2 and p not in taken})
+    beside: Counter = Counter()
+    for text, label in rows:
+        if not label:
+            beside.update(p for p in names(text) if p in counted)
+    for p, t in counted.items():
+        if t >= 0.95 * (t + beside[p]):
+            taken.add(p)
+            toxic[p], clean[p] = t, beside[p]
+    out = {p: math.log(1 - toxic[p] / (toxic[p] + clean[p] + 3)) for p in taken}
     return dict(sorted(out.items(), key=lambda x: (x[1], x[0]))[:MAX_EVIDENCE]), base
 
 
