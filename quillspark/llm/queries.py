@@ -45,6 +45,12 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(read_table(spark, sf_dir, "conversations"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.sentencepiece_codec import encode_documents
+
+    return encode_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.suffix_dedup import without_repeats
 
@@ -90,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_chat_format": op4_chat_format,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
