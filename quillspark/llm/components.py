@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import stored
+from quillspark.llm.common import discard, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -26,12 +26,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """``edges``: columns u, v (long, no nulls). One row (node, root) per node that has an edge; root: the least node."""
+    """``edges``: columns u, v (long, no nulls). One row (node, root) per node that has an edge; root: the least node.
+
+    The result is stored; ``discard`` it when it isn't needed any more.
+    """
     now = stored(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     mark = None
     while True:
         after = stored(_star(_star(now, True), False), name)
+        discard(now)
         seen = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
         if (seen.n, seen.s) == mark:
-            return after.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out = after.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out.scratch_path = after.scratch_path
+            return out
         mark, now = (seen.n, seen.s), after

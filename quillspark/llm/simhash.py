@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import small_batches, stored
+from quillspark.llm.common import discard, small_batches, stored
 from quillspark.llm.components import components
 
 #: Generator polynomial of the binary Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 (fixed value).
@@ -127,10 +127,11 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(fps: DataFrame) -> DataFrame:
     """Verified links u < v between different fingerprints (column fp, distinct): enough of them to connect what
-    differs in at most two bits."""
+    differs in at most two bits. Stored."""
     keys = stored(fps.select("fp").mapInArrow(_key_rows, "key long, fp long"), "simhash-keys")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     met = stored(keys.join(shared, "key"), "simhash-met")
+    discard(keys)
     few = met.filter(F.col("n") <= PAIR_CAP)
     a, b = few.select("key", F.col("fp").alias("u")), few.select("key", F.col("fp").alias("v"))
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2
@@ -139,7 +140,9 @@ def links(fps: DataFrame) -> DataFrame:
     around = crowd.mapInArrow(_neighbours, "mid long, fp long")
     stars = around.groupBy("mid").agg(F.sort_array(F.collect_list("fp")).alias("fps")).filter(F.size("fps") > 1)
     starred = stars.select(F.col("fps")[0].alias("u"), F.explode(F.slice("fps", 2, 65)).alias("v"))
-    return pairs.union(starred).distinct()
+    out = stored(pairs.union(starred).distinct(), "simhash-links")
+    discard(met)
+    return out
 
 
 def with_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -153,9 +156,12 @@ def with_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = stored(rows, "simhash-rows")
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("tag").alias("tag"))
     classes = stored(rows.groupBy("fp").agg(F.min(first).alias("first")), "simhash-classes")
-    roots = components(links(classes), "simhash-links")
+    found = links(classes)
+    roots = components(found, "simhash-stars")
+    discard(found)
     labelled = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     labelled = stored(labelled, "simhash-labelled")
+    discard(classes, roots)
     least = labelled.groupBy("root").agg(F.min("first").alias("least"))
     of = labelled.join(least, "root").select("fp", "least")
     joined = rows.join(of, "fp")

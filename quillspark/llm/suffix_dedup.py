@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import shuffle_partitions, small_batches, stored, text_of
+from quillspark.llm.common import discard, shuffle_partitions, small_batches, stored, text_of
 
 LENGTH = 400
 GRAM = 200
@@ -286,6 +286,7 @@ def covered(docs: DataFrame) -> DataFrame:
     groups = runs.groupBy("v").agg(F.count("*").alias("total"), F.min("d").alias("low"), F.max("d").alias("high"), F.max("twice").alias("self"))
     groups = groups.filter((F.col("total") > 1) | F.col("self")).select("v", ((F.col("low") != F.col("high")) | (F.col("total") == 1)).alias("mixed"))
     repeated = stored(runs.drop("twice").join(groups, "v"), "suffix-repeated")
+    discard(runs)
 
     classes = repeated.filter("mixed").groupBy("v", "d").agg(F.count("*").alias("c"), F.min(F.struct("h1", "h2", "s", "n")).alias("at"))
     wanted = classes.groupBy("at.h1", "at.h2").agg(F.collect_list(F.struct("v", "d", "c", "at.s", "at.n")).alias("wanted"))
@@ -299,6 +300,7 @@ def covered(docs: DataFrame) -> DataFrame:
     twice = windows.groupBy("w").agg(F.sum("c").alias("c")).filter("c > 1").select("w")
     crowded = windows.join(twice, "w").groupBy("v", "d").agg(F.collect_list("at").alias("at")).mapInArrow(_join_windows, RANGES)
     spans = stored(settled.union(crowded), "suffix-spans")
+    discard(snippets, windows)
 
     whole = repeated.filter("not mixed").select("h1", "h2", F.col("s").alias("a"), (F.col("s") + F.col("n") + LENGTH - 1).alias("b"))
     mixed = repeated.filter("mixed").join(spans, ["v", "d"]).select("h1", "h2", "s", F.explode("spans").alias("x"))
