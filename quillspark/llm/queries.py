@@ -105,4 +105,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-SQL: dict[str, str] = {}
+#: White space of the contracts as a RE2 class.
+_SPACE = r"[\x20\x09-\x0D]"
+_LOWER = "translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_FITS = " ".join(
+    f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}|{v}'" for h, p, v in sorted(URL_RULES, key=lambda r: -len(r[0] + r[1]))
+)
+
+SQL: dict[str, str] = {
+    "op2_url_filter": rf"""
+WITH a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, {_LOWER.format(x="regexp_extract(rest, '^([^/?#]*)', 1)")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+c AS (SELECT *, CASE {_FITS} END AS hit FROM b)
+SELECT page_id, host, path, split_part(hit, '|', 1) AS rule, coalesce(split_part(hit, '|', 2), 'allow') AS verdict FROM c""",
+    "op3_exact_dedup": rf"""
+WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '{_SPACE}+', '', 'g') AS k FROM documents),
+r AS (SELECT doc_id, k, first_value(doc_id) OVER (PARTITION BY k ORDER BY points DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY k) AS group_size FROM n)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(k) AS text_sha256 FROM r""",
+    "op4_chat_format": """
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, '<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10) AS told FROM conversations),
+p AS (SELECT conv_id, n, string_agg(told, '') OVER (PARTITION BY conv_id ORDER BY n) AS prefix, max(n) OVER (PARTITION BY conv_id) AS whole FROM t),
+w AS (SELECT min(conv_id) AS conv_id, n AS n_turns, count(*) AS copies, prefix FROM p WHERE n = whole GROUP BY n, prefix)
+SELECT conv_id, n_turns, copies, prefix || '<|end|>' AS rendered FROM w
+WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.n < p.whole AND p.n = w.n_turns AND p.prefix = w.prefix)""",
+}
