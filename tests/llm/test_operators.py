@@ -487,6 +487,36 @@ def test_toxicity(spark):
     assert {r.score for r in score_toxicity(docs, fit(docs, labels.limit(0), "toxic")).collect()} == {0.5}
 
 
+def test_near_dedup(docs, empty, spark):
+    from quillspark.llm.near_dedup import agreement, sketch, with_groups
+
+    got = with_groups(docs).select("row.text", "row.key", "kept").collect()
+    assert len(got) == docs.count() and {r.key for r in got} == {"k"}
+    empties = [r for r in got if not (r.text or "").strip()]
+    assert sum(r.kept for r in empties) == 1 and len(empties) == 3
+    assert with_groups(empty).count() == 0
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts, group = [], []
+    for g in range(30):
+        base = [word() for _ in range(rng.randint(100, 600))]
+        for _ in range(rng.randint(1, 6)):
+            copy = list(base)
+            for _ in range(len(base) // 60):  # keeps over 0.8 of the five-word shingles
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+            group.append(g)
+        half = base[: len(base) // 2] + [word() for _ in range(len(base) // 2)]  # about a third in common
+        texts.append(" ".join(half))
+        group.append(100 + g)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    kept = [group[r.doc_id] for r in with_groups(df).filter("kept").select("row.doc_id").collect()]
+    assert set(kept) == set(group)
+    assert len(kept) <= 1.05 * len(set(group))
+    b = [sketch(t, 5)[1] for t in ("", texts[0], texts[0] + " more")]
+    assert agreement(b[0], b[0]) == 1.0 and agreement(b[0], b[1]) == 0.0 and agreement(b[1], b[2]) > 0.9
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as P
 
