@@ -502,7 +502,7 @@ def test_near_dedup(docs, empty, spark):
         base = [word() for _ in range(rng.randint(100, 600))]
         for _ in range(rng.randint(1, 6)):
             copy = list(base)
-            for _ in range(len(base) // 60):  # keeps over 0.8 of the five-word shingles
+            for _ in range(len(base) // 150):  # two copies share over 0.8 of the five-word shingles
                 copy[rng.randrange(len(copy))] = word()
             texts.append(" ".join(copy))
             group.append(g)
