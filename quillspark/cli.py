@@ -13,6 +13,7 @@ from quillspark.plans.index import cycle
 from quillspark.plans.store import Lock, Store
 from quillspark.session import session
 from quillspark.settings import SOURCES, active
+from quillspark.sources.mail import open_target
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -51,7 +52,7 @@ def main(argv: list[str] | None = None) -> int:
                     return 0
                 time.sleep(settings.index.poll_seconds)
     if a.command == "open":
-        return _show(S.open_rows(store.read("email_sources"), a.message_id, preference).collect())
+        return _show(S.open_rows(store.read("email_sources"), a.message_id, preference).collect(), settings.webmail)
     limit, preview = a.limit or settings.search.limit, a.preview or settings.search.preview
     ranked = S.search(store.read("email_vectors"), store.read("emails"), E.embed_query(encoder, a.query), limit)
     kind = a.format or settings.search.format
@@ -61,13 +62,13 @@ def main(argv: list[str] | None = None) -> int:
         if hit is None:
             print(f"no result {a.open}", file=sys.stderr)
             return 1
-        return _show(S.open_rows(store.read("email_sources"), hit.message_id, preference).collect())
+        return _show(S.open_rows(store.read("email_sources"), hit.message_id, preference).collect(), settings.webmail)
     return 0
 
 
-def _show(rows: list) -> int:
+def _show(rows: list, webmail: bool) -> int:
     for r in rows:
-        print(r.open_url or r.locator)
+        print(open_target(r, webmail))
     return 0 if rows else 1
 
 

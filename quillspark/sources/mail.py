@@ -10,18 +10,22 @@ Stores that only Spark can read go through ``list_binary``, which takes ``binary
 
 from __future__ import annotations
 
+import base64
 import os
+import pickle
+import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quillspark.functions import mbox, mime
 from quillspark.schema import SCAN_PAIRS, SCAN_STATUS
-from quillspark.settings import source
+from quillspark.settings import SOURCES, source
 from quillspark.sources import files
 
 CHUNK = 4 << 20
@@ -40,22 +44,41 @@ def _never(_: bytes) -> bool:
     return False
 
 
-#: What of each source's messages a scan passes over.
-SKIP: dict[str, Callable[[bytes], bool]] = {"apple-mail": _never, "thunderbird": mbox.deleted, "plain-mbox": _never}
+@dataclass(frozen=True)
+class Connector:
+    """What a mail store is: where its files are, which messages a scan passes over, how files hold messages."""
+
+    name: str
+    title: str
+    files: Callable[[str], tuple[list[str], bool]]
+    available: Callable[[str], bool] = os.path.isdir
+    skip: Callable[[bytes], bool] = _never
+    one_per_file: bool = False  # .emlx framing instead of mbox
+
+
+CONNECTORS: dict[str, Connector] = {}
+
+
+def connect(connector: Connector) -> None:
+    """Adds a connector (or replaces one); its name becomes a source id."""
+    CONNECTORS[connector.name] = connector
+    SOURCES.setdefault(connector.name, connector.title)
+
+
+connect(Connector("apple-mail", SOURCES["apple-mail"], lambda path: files.walk_emlx(files.newest_version(path) or path), one_per_file=True))
+connect(Connector("thunderbird", SOURCES["thunderbird"], lambda path: (files.thunderbird_mboxes(path), True), lambda path: os.path.isdir(os.path.join(path, "Profiles")), mbox.deleted))
+connect(Connector("plain-mbox", SOURCES["plain-mbox"], lambda path: (files.plain_mboxes(path), True)))
+BUILT_IN = frozenset(CONNECTORS)
 
 
 def available(name: str, path: str | None) -> bool:
     """Whether the store is there."""
-    if not path:
-        return False
-    return os.path.isdir(os.path.join(path, "Profiles") if name == "thunderbird" else path)
+    return bool(path) and CONNECTORS[source(name)].available(path)
 
 
 def store_files(name: str, path: str) -> tuple[list[str], bool]:
     """A store's files, and whether all folders could be read."""
-    if source(name) == "apple-mail":
-        return files.walk_emlx(files.newest_version(path) or path)
-    return (files.thunderbird_mboxes(path) if name == "thunderbird" else files.plain_mboxes(path)), True
+    return CONNECTORS[source(name)].files(path)
 
 
 def scan_mbox(path: str, lo: int, hi: int, skip: Callable[[bytes], bool]) -> Iterator[tuple[str, int]]:
@@ -84,20 +107,22 @@ def scan_mbox(path: str, lo: int, hi: int, skip: Callable[[bytes], bool]) -> Ite
 
 class MailReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
-        self.kind = source(options["source"])
+        packed = options.get("connector")  # planned in another process, which knows the built-in ones only
+        self.connector = pickle.loads(base64.b64decode(packed)) if packed else CONNECTORS[source(options["source"])]  # noqa: S301
         self.path = options["path"]
         self.chunk = int(options.get("chunk", CHUNK))
         self.status = options.get("status", "false").lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
-        paths, complete = store_files(self.kind, self.path)
+        kind = self.connector.name
+        paths, complete = self.connector.files(self.path)
         out: list[InputPartition] = []
         for p in paths:
             size = os.path.getsize(p) if os.path.exists(p) else 0
-            step = max(1, size) if self.kind == "apple-mail" else self.chunk
-            out += [Range(p, lo, min(lo + step, max(1, size)), self.kind) for lo in range(0, max(1, size), step)]
+            step = max(1, size) if self.connector.one_per_file else self.chunk
+            out += [Range(p, lo, min(lo + step, max(1, size)), kind) for lo in range(0, max(1, size), step)]
         if not complete:
-            out.append(Range("", 0, 0, self.kind))
+            out.append(Range("", 0, 0, kind))
         return out or [Range("", 0, 0, "")]
 
     def read(self, partition: Range) -> Iterator[tuple]:
@@ -117,12 +142,12 @@ class MailReader(DataSourceReader):
             yield kind, path, failure is None, failure
         else:
             for mid, offset in found:
-                where = path if kind == "apple-mail" else mbox.locator(path, offset)
+                where = path if self.connector.one_per_file else mbox.locator(path, offset)
                 yield kind, mid, where, path, offset
 
     def _messages(self, r: Range) -> Iterator[tuple[str, int]]:
-        if r.kind != "apple-mail":
-            yield from scan_mbox(r.path, r.lo, r.hi, SKIP[r.kind])
+        if not self.connector.one_per_file:
+            yield from scan_mbox(r.path, r.lo, r.hi, self.connector.skip)
             return
         try:  # a broken .emlx file is passed over and doesn't make the scan incomplete
             with open(r.path, "rb") as f:
@@ -155,7 +180,8 @@ def scan(spark: SparkSession, stores: dict[str, str], **options: object) -> tupl
     there = [(name, path) for name, path in stores.items() if available(source(name), path)]
 
     def read(name: str, path: str, status: bool) -> DataFrame:
-        return spark.read.format("quillmail").options(source=name, path=path, status=str(status).lower(), **options).load()
+        own = {} if name in BUILT_IN else {"connector": base64.b64encode(cloudpickle.dumps(CONNECTORS[name])).decode()}
+        return spark.read.format("quillmail").options(source=name, path=path, status=str(status).lower(), **own, **options).load()
 
     out = []
     for status, ddl in ((False, SCAN_PAIRS), (True, SCAN_STATUS)):
@@ -169,13 +195,14 @@ def scan(spark: SparkSession, stores: dict[str, str], **options: object) -> tupl
 
 def list_binary(content: DataFrame, name: str) -> DataFrame:
     """The same pairs from ``binaryFile`` rows (path, content)."""
-    skip = SKIP[source(name)]
+    connector = CONNECTORS[source(name)]
+    skip, one_per_file = connector.skip, connector.one_per_file
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for path, data in zip(b["path"].to_pylist(), b["content"].to_pylist(), strict=True):
-                if name == "apple-mail":
+                if one_per_file:
                     try:
                         found = [(mime.peek_id(mbox.emlx_message(data)), None)]
                     except ValueError:
@@ -227,3 +254,28 @@ def fetch(pairs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(read, "source string, message_id string, locator string, raw binary, error string")
 
 
+
+
+def preview_path(message_id: str, ext: str, folder: str | None = None) -> str:
+    """Where a message's preview file goes: one name per message."""
+    import xxhash
+
+    return os.path.join(folder or tempfile.gettempdir(), f"quillspark-{xxhash.xxh64_hexdigest(message_id)}.{ext}")
+
+
+def write_preview(locator: str, message_id: str, folder: str | None = None) -> str:
+    """Writes a message's HTML part, or its raw bytes, to a file and returns the path."""
+    raw = read_message(locator)
+    page = mime.part_text(raw, "text/html")
+    path = preview_path(message_id, "eml" if page is None else "html", folder)
+    with open(path, "wb") as f:
+        f.write(raw if page is None else page.encode())
+    return path
+
+
+def open_target(row, webmail: bool = False) -> str:  # noqa: ANN001
+    """What shows a message: its client's address, else its page in the web client, else a preview file."""
+    if row.open_url:
+        return row.open_url
+    url = mime.webmail_url(read_message(row.locator)) if webmail else None
+    return url or write_preview(row.locator, row.message_id)

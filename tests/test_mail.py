@@ -162,6 +162,43 @@ def test_sources(spark, tmp_path):
         mail.read_message(mbox.locator(str(box / "a"), 3))
 
 
+def test_connectors(spark, tmp_path):
+    """A store of one's own: files by suffix, messages passed over by a mark."""
+    (tmp_path / "x.mail").write_bytes(_message(1) + _message(2, "X-Skip: 1\n"))
+    (tmp_path / "y.txt").write_bytes(_message(3))
+    wanted = lambda path: (list(files.collect(path, lambda p: p.endswith(".mail"))), True)
+    mail.connect(mail.Connector("mine", "Mine", wanted, skip=lambda head: b"X-Skip" in head.split(b"\n\n")[0]))
+    pairs, _ = mail.scan(spark, {"mine": str(tmp_path), "thunderbird": str(tmp_path)})
+    assert [(r.source, r.message_id) for r in pairs.collect()] == [("mine", "id1@x")]
+    del mail.CONNECTORS["mine"], mail.SOURCES["mine"]
+
+
+def test_open_target(tmp_path):
+    from types import SimpleNamespace as Row
+
+    (tmp_path / "m").write_bytes(b"From x\n" + RAW + b"\nFrom y\nX-GM-THRID: 5\n\nz\n")
+    first, second = (mbox.locator(str(tmp_path / "m"), e.envelope_start) for e in mbox.envelopes((tmp_path / "m").read_bytes()))
+    path = mail.open_target(Row(open_url=None, locator=first, message_id="a"))
+    assert path.endswith(".html") and path == mail.preview_path("a", "html")
+    assert mail.open_target(Row(open_url=None, locator=second, message_id="b"), True).startswith(mime.WEBMAIL)
+    assert mail.open_target(Row(open_url=None, locator=second, message_id="b")).endswith(".eml")
+    assert mail.open_target(Row(open_url="mid:x", locator=second, message_id="b")) == "mid:x"
+
+
+def test_cli(tmp_path, capsys, spark):
+    from quillspark import cli
+
+    (tmp_path / "mail").mkdir()
+    (tmp_path / "mail" / "a").write_bytes(_message(1) + _message(2))
+    home = ["--home", str(tmp_path / "home")]
+    assert cli.main([*home, "settings"]) == 0
+    assert cli.main([*home, "index", "--once", "--store", f"plain-mbox={tmp_path}/mail"]) == 0
+    assert cli.main([*home, "search", "zebra2", "--format", "json", "--limit", "1"]) == 0
+    assert "id2@x" in capsys.readouterr().out
+    assert cli.main([*home, "open", "id1@x"]) == 0
+    assert cli.main([*home, "open", "none"]) == 1
+
+
 def test_lock(tmp_path):
     a, b = Lock(tmp_path / "l"), Lock(tmp_path / "l")
     assert a.acquire() and not b.acquire() and b.held()
