@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import columns as C
 
 OVERFETCH = 3
+QUERY_BLOCK = 1024  # queries a task holds at once, give or take the spread of a hash
 NOTHING = "No results found. Have you indexed your emails yet?"
 
 
@@ -33,17 +34,22 @@ def search(vectors: DataFrame, emails: DataFrame, query: Sequence[float], limit:
 
 
 def search_batch(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, distance, rank) for a small table of queries (query_id, query), which every task holds.
+    """(query_id, id, distance, rank) for a table of queries (query_id, query), taken in blocks every task can hold.
 
-    Ranks are cut in two steps, within partitions of ids first, so no task sees all distances of a query.
+    Ranks are cut in two steps, within groups of ids first, so no task sees all distances of a query.
     """
-    apart = vectors.crossJoin(F.broadcast(queries)).select("query_id", "id", C.cosine_distance("embedding", "query").alias("distance"))
-    near = F.struct("distance", "id")
-    salted = apart.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
-    first = Window.partitionBy("query_id", "salt").orderBy(near)
-    some = salted.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= k)
-    last = Window.partitionBy("query_id").orderBy(near)
-    return some.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k).select("query_id", "id", "distance", "rank")
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    out = None
+    for b in range(blocks):
+        part = queries if blocks == 1 else queries.filter(block == b)
+        apart = vectors.crossJoin(F.broadcast(part)).select("query_id", "id", C.cosine_distance("embedding", "query").alias("distance"))
+        salted = apart.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
+        first = Window.partitionBy("query_id", "salt").orderBy("distance", "id")
+        some = salted.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= k)
+        out = some if out is None else out.unionByName(some)
+    last = Window.partitionBy("query_id").orderBy("distance", "id")
+    return out.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k).select("query_id", "id", "distance", "rank")
 
 
 def results(ranked: DataFrame, preview: int = 118) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 REMOVAL_LIMIT = 0.10
@@ -44,10 +44,14 @@ def known_split(to_persist: DataFrame, emails: DataFrame) -> tuple[DataFrame, Da
 
 
 def first_body_wins(fresh: DataFrame, preference: list[str]) -> DataFrame:
-    """One row per message: from the most preferred source, then the least locator."""
-    rank = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in preference]), F.col("source")), F.lit(0)) if preference else F.lit(0)
-    order = Window.partitionBy("message_id").orderBy(F.when(rank == 0, len(preference) + 1).otherwise(rank), "source", "locator")
-    return fresh.withColumn("nth", F.row_number().over(order)).filter("nth = 1").drop("nth")
+    """(source, message_id, locator), one row per message: from the most preferred source, then the least locator.
+
+    An aggregation with map-side partials, so an id that very many rows share is folded before the shuffle.
+    """
+    at = F.array_position(F.array(*[F.lit(s) for s in preference]).cast("array<string>"), F.col("source"))
+    rank = F.when(at > 0, at).otherwise(len(preference) + 1)
+    least = fresh.groupBy("message_id").agg(F.min(F.struct(rank.alias("rank"), "source", "locator")).alias("p"))
+    return least.select("p.source", "message_id", "p.locator")
 
 
 def delete_sources(sources: DataFrame, gone: DataFrame) -> DataFrame:
