@@ -167,7 +167,7 @@ def with_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     owned = folded.repartitionById(len(directory.buckets), F.col("bucket")).sortWithinPartitions("bucket", "key")
     groups = stored(owned.mapInArrow(own, T.StructType([schema[c] for c in ("key", "sha", "doc_id", "tag", "n")])), "exact-groups")
     groups = groups.select("key", "sha", F.col("doc_id").alias("g_id"), F.col("tag").alias("g_tag"), "n")
-    joined = pages.join(groups, ["key", "sha"], "left")
+    joined = pages.join(groups.hint("merge"), ["key", "sha"], "left")  # one plan at every size; hot groups are split by AQE
     found = F.col("n").isNotNull()
     return joined.select(
         "row",

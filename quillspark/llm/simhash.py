@@ -164,5 +164,5 @@ def with_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     discard(classes, roots)
     least = labelled.groupBy("root").agg(F.min("first").alias("least"))
     of = labelled.join(least, "root").select("fp", "least")
-    joined = rows.join(of, "fp")
+    joined = rows.join(of.hint("merge"), "fp")  # one plan at every size; hot fingerprints are split by AQE
     return joined.select("row", "doc_id", "fp", F.col("least.id").alias("component_id"), (F.col("tag") == F.col("least.tag")).alias("kept"))
