@@ -40,7 +40,7 @@ LENGTH = 400
 GRAM = 200
 RUN = 256  # windows in one run at most
 CHUNK = 1 << 19  # window starts of one text handled at once
-SHARD = 1 << 18
+SHARD = 1 << 16
 BATCH = 4 * SHARD
 CROWD = 1000
 BASE = 0x9E3779B97F4A7C15
@@ -224,10 +224,12 @@ def _emit_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut_snippets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
     for b in batches:
-        rows = [(w["v"], w["d"], w["c"], text[w["s"] : w["s"] + w["n"] + LENGTH - 1]) for text, wanted in zip(b["text"].to_pylist(), b["wanted"].to_pylist(), strict=True) for w in wanted]
-        cols = list(zip(*rows, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["v", "d", "c", "bytes"])
+        for text, wanted in zip(b["text"].to_pylist(), b["wanted"].to_pylist(), strict=True):
+            for i in range(0, len(wanted), 1024):
+                cols = zip(*((w["v"], w["d"], w["c"], text[w["s"] : w["s"] + w["n"] + LENGTH - 1]) for w in wanted[i : i + 1024]), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["v", "d", "c", "bytes"])
 
 
 RANGES = "v long, d long, spans array<struct<a:int,b:int>>"
