@@ -517,6 +517,74 @@ def test_near_dedup(docs, empty, spark):
     assert agreement(b[0], b[0]) == 1.0 and agreement(b[0], b[1]) == 0.0 and agreement(b[1], b[2]) > 0.9
 
 
+def exact_components(texts, shingle=5, similarity=0.8):
+    """The root (least index) of each text's component under exact Jaccard similarity of shingle sets."""
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))})
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return [top(i) for i in range(len(texts))]
+
+
+def edited(rng, base, edits, word):
+    copy = list(base)
+    for at in rng.sample(range(5, len(base) - 5), edits):
+        copy[at] = word()
+    return copy
+
+
+def test_near_dedup_star_of_hundreds(spark):
+    """Many edits of one original, each near it and mostly not near each other, with the original anywhere."""
+    from quillspark.llm.near_dedup import with_groups
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(300)]
+    texts = [" ".join(edited(rng, base, 6, word)) for _ in range(700)]
+    texts.insert(411, " ".join(base))
+    passage = [word() for _ in range(60)]  # held by many texts that are not alike
+    texts += [" ".join([word() for _ in range(60)] + passage + [word() for _ in range(30)]) for _ in range(200)]
+    root = exact_components(texts)
+    assert len(set(root)) == 201
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    kept = [r.doc_id for r in with_groups(df).filter("kept").select("row.doc_id").collect()]
+    assert len(kept) == 201 and {root[i] for i in kept} == set(root)
+
+
+def test_near_dedup_both_sides_of_the_similarity(spark, monkeypatch):
+    """Pairs from 0.7 to 0.9, and keys that many texts without one hub share: kept as exact components say."""
+    import quillspark.llm.near_dedup as N
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for _ in range(150):
+        base = [word() for _ in range(rng.randint(150, 400))]
+        texts += [" ".join(base), " ".join(edited(rng, base, max(1, round(len(base) * rng.uniform(0.012, 0.036))), word))]
+    base = [word() for _ in range(300)]
+    texts += [" ".join(edited(rng, base, 5, word)) for _ in range(120)]  # no original: about 0.72 to 0.85 to each other
+    root = exact_components(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    for cap, side in ((N.PAIR_CAP, N.SIDE), (4, 16)):
+        monkeypatch.setattr(N, "PAIR_CAP", cap)
+        monkeypatch.setattr(N, "SIDE", side)
+        kept = [r.doc_id for r in N.with_groups(df).filter("kept").select("row.doc_id").collect()]
+        assert len(kept) == len(set(root)) and {root[i] for i in kept} == set(root)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as P
 
