@@ -6,7 +6,8 @@
 3. A token that looks disguised (letters mixed with look-alike signs, a letter repeated three times or more,
    letters set apart by spaces or dots) is a noisy channel's output: a lattice of what each sign may stand
    for, decoded by Viterbi under the character model. Other tokens have a one-path lattice: themselves.
-4. The restored text's score is the noisy-or of its evidence over the base rate.
+4. The restored text's score is the noisy-or of all its evidence over the base rate. A model holds the ``MAX_EVIDENCE``
+   strongest parts that were learned.
 
 Whole texts are scored inside map tasks; nothing but counts is shuffled.
 
@@ -188,7 +189,7 @@ class Model:
                 evidence |= known
         for m in SPACED.finditer(low):
             evidence |= self._weights(self.decode(m[0]))
-        rest = sum(sorted(evidence.values())[:3])
+        rest = math.fsum(evidence.values())
         return 1 - (1 - self.base) * math.exp(rest)
 
 

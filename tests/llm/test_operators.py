@@ -517,6 +517,16 @@ def test_near_dedup(docs, empty, spark):
     assert agreement(b[0], b[0]) == 1.0 and agreement(b[0], b[1]) == 0.0 and agreement(b[1], b[2]) > 0.9
 
 
+def test_toxicity_counts_all_evidence():
+    from quillspark.llm.toxicity import Model
+
+    words = ["wretch", "villain", "scoundrel", "rascal", "knave"]
+    model = Model(np.zeros((29, 29, 29)), {w: -0.5 for w in words}, 0.1)
+    scores = [model.score(" ".join(words[:n])) for n in range(6)]
+    assert scores == sorted(set(scores))
+    assert abs(scores[5] - (1 - 0.9 * np.exp(-2.5))) < 1e-12
+
+
 def exact_components(texts, shingle=5, similarity=0.8):
     """The root (least index) of each text's component under exact Jaccard similarity of shingle sets."""
     sets = []
