@@ -61,7 +61,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.simhash import with_components
 
-    found = with_components(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = with_components(read_table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

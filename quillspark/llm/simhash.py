@@ -16,19 +16,21 @@ Equal fingerprints are folded before keys are made. Components come from star ro
 
 Defined edge cases: null and empty texts have fingerprint zero and are linked like any other; a null id counts as
 larger than all ids, and a component of null ids only has a null component id; an empty table gives an empty
-result; repeated rows each get a result; other columns travel in one struct and can't clash.
+result; repeated rows each get a result; other columns travel in one struct and can't clash. Very long texts are hashed
+``BLOCK`` shingles at a time; a task holds one batch of texts and the words of one of them.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.llm.common import discard, small_batches, stored
 from quillspark.llm.components import components
@@ -44,28 +46,33 @@ BLOCK = 1 << 16
 UPPER_TO_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+def _syndromes(words: np.ndarray) -> np.ndarray:
+    rest = words.copy()
+    for bit in range(BITS - 1, 10, -1):
+        rest ^= (rest >> np.int32(bit) & np.int32(1)) * np.int32(GOLAY << (bit - 11))
+    return rest
+
+
 @functools.cache
-def nearest() -> np.ndarray:
-    """For each 23-bit word the index (upper 12 bits) of the codeword within three bits."""
+def _leaders() -> np.ndarray:
+    """For each of the 2,048 syndromes the error of at most three bits that has it."""
+    ones = [1 << i for i in range(BITS)]
+    errors = np.array([sum(c) for k in range(4) for c in itertools.combinations(ones, k)], dtype=np.int32)
+    out = np.zeros(1 << 11, dtype=np.int32)
+    out[_syndromes(errors)] = errors
+    return out
 
-    def syndrome(words: np.ndarray) -> np.ndarray:
-        rest = words.copy()
-        for bit in range(BITS - 1, 10, -1):
-            rest = np.where(rest >> bit & 1, rest ^ (GOLAY << (bit - 11)), rest)
-        return rest
 
-    ones = 1 << np.arange(BITS)
-    errors = np.array([0, *ones, *(a | b for i, a in enumerate(ones) for b in ones[:i]), *(a | b | c for i, a in enumerate(ones) for j, b in enumerate(ones[:i]) for c in ones[:j])], dtype=np.int64)
-    leader = np.zeros(1 << 11, dtype=np.int64)
-    leader[syndrome(errors)] = errors
-    words = np.arange(1 << BITS, dtype=np.int64)
-    return ((words ^ leader[syndrome(words)]) >> 11).astype(np.int16)
+def nearest(words: np.ndarray) -> np.ndarray:
+    """For each 23-bit word the index (upper 12 bits) of the codeword within three bits, by syndrome decoding."""
+    words = words.astype(np.int32)
+    return (words ^ _leaders()[_syndromes(words)]) >> np.int32(11)
 
 
 def golay_keys(words: np.ndarray) -> np.ndarray:
     """An (n, 24) array: the codeword index of each word and of its one-bit neighbours (with repeats)."""
     flips = np.concatenate([[0], 1 << np.arange(BITS)])
-    return nearest()[words[:, None] ^ flips[None, :]].astype(np.int64)
+    return nearest(words[:, None] ^ flips[None, :]).astype(np.int64)
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -93,12 +100,13 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def simhash_column(shingle: int):
-    @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([_signed(fingerprint(t, shingle)) for t in texts], dtype="int64")
+def _fingerprints(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = [_signed(fingerprint(t, shingle)) for t in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["row"], b["doc_id"], b["tag"], pa.array(fps, pa.int64())], ["row", "doc_id", "tag", "fp"])
 
-    return of
+    return run
 
 
 def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,15 +153,17 @@ def links(fps: DataFrame) -> DataFrame:
     return out
 
 
-def with_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """Every row as the struct ``row``, with doc_id, fp (long), component_id (least id that links reach), and
-    ``kept``: true for one row of each component.
+def with_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, carry: Sequence[str] | None = None) -> DataFrame:
+    """Every row as the struct ``row`` (of the columns ``carry``, all if None), with doc_id, fp (long), component_id
+    (least id that links reach), and ``kept``: true for one row of each component.
 
-    Select the columns to carry beforehand: all of ``df`` are written to the shared folder.
+    Texts go one way, from the table to the fingerprint; only what ``carry`` names is written to the shared folder.
     """
+    row = F.struct("*") if carry is None else F.struct(*carry)
+    rows = df.select(row.alias("row"), F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("tag"), F.col(text_col).alias("text"))
     small_batches(df.sparkSession)
-    rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("tag"), simhash_column(shingle)(F.col(text_col)).alias("fp"))
-    rows = stored(rows, "simhash-rows")
+    kind = T.StructType([rows.schema["row"], rows.schema["doc_id"], rows.schema["tag"], T.StructField("fp", T.LongType())])
+    rows = stored(rows.mapInArrow(_fingerprints(shingle), kind), "simhash-rows")
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("tag").alias("tag"))
     classes = stored(rows.groupBy("fp").agg(F.min(first).alias("first")), "simhash-classes")
     found = links(classes)

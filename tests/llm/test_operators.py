@@ -146,13 +146,15 @@ def test_simhash(docs, empty):
         assert {r.component_id for r in group} == {min(ids) if ids else None}
         assert sum(r.kept for r in group) == 1
     assert with_components(empty).count() == 0
+    bare = with_components(docs, carry=["doc_id"])
+    assert bare.schema["row"].dataType.names == ["doc_id"]
+    assert sorted(map(str, bare.select("doc_id", "fp", "component_id").collect())) == sorted(str(r) for r in with_components(docs).select("doc_id", "fp", "component_id").collect())
 
 
 def test_golay_keys():
     from quillspark.llm.simhash import GOLAY, golay_keys, nearest
 
-    index = nearest()
-    counts = np.bincount(index.astype(np.int64), minlength=4096)
+    counts = np.bincount(nearest(np.arange(1 << 23)), minlength=4096)
     assert len(counts) == 4096 and set(counts.tolist()) == {2048}  # a perfect code
     rng = np.random.default_rng(2)
     a = rng.integers(0, 1 << 23, 3000)
