@@ -558,6 +558,61 @@ def edited(rng, base, edits, word):
     return copy
 
 
+def passes_slow(line):
+    from quillspark.llm.quality_rules import BOILERPLATE
+
+    words = [w for w in SPACE.split(line) if w]
+    ink = sum(map(len, words))
+    if not ink:
+        return True
+    symbols, pipes = sum(c in "#*$%&|<>" for c in line), line.count("|")
+    if symbols * 10 > ink or (pipes >= 3 and len(words) - pipes <= 3 * (pipes + 1)):
+        return False
+    extra = sum(len(m[0]) - 1 for m in re.finditer("[!?]+", line))
+    stuttered, at = 0, 0
+    while at < len(words):
+        end = at
+        while end < len(words) and words[end] == words[at]:
+            end += 1
+        stuttered += len(words[at]) * (end - at) * (end - at >= 4)
+        at = end
+    phrase = len(line) <= 100 and any(b in line.lower() for b in BOILERPLATE)
+    return not (extra * 5 > len(words) or phrase or stuttered * 3 > ink)
+
+
+def test_line_rules_by_brute_force(spark):
+    from quillspark.llm.quality_rules import with_quality
+
+    rng = random.Random(8)
+    bits = ["word", "Menu", "|", "a", "été", "!!", "wow??", "#", "$%", "Click here", "read more", " ", "\t", "w", "w w w w", "item | item", "long" * 9]
+    texts = ["\n".join(" ".join(rng.choice(bits[: rng.randint(2, len(bits))]) for _ in range(rng.randint(0, 30))) for _ in range(rng.randint(1, 8))) for _ in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    kept = 0
+    for r in with_quality(df).collect():
+        lines = texts[r.doc_id].split("\n")
+        clean = "\n".join(x for x in lines if passes_slow(x))
+        ink, left = (len(SPACE.sub("", x)) for x in (texts[r.doc_id], clean))
+        assert r.clean_text == clean
+        assert r.kept == (not r.base_failed and (ink - left) * 2 <= ink)
+        kept += r.kept
+    assert 50 < kept < 550
+
+
+def test_quality_rules_on_very_long_lines(spark):
+    from quillspark.llm.quality_rules import with_quality
+
+    rng = random.Random(4)
+    stutter = "ha " * 200_000
+    mixed = " ".join(f"w{rng.randint(0, 10**9)}" for _ in range(1_000_000))  # one line of 10 MB
+    one = "x" * 10_000_000
+    df = spark.createDataFrame([(1, stutter), (2, mixed), (3, one), (4, mixed[:2_000_000] + "\n" + stutter)], "doc_id int, text string").repartition(4)
+    got = {r.doc_id: r for r in with_quality(df).drop("clean_text").collect()}
+    assert not got[1].kept and got[1].lost_percent == 100 and got[1].n_repeat_words == 200_000
+    assert got[2].kept and got[2].n_words == 1_000_000
+    assert got[3].base_failed and got[3].word_chars == 10_000_000
+    assert 0 < got[4].lost_percent < 50
+
+
 def test_near_dedup_star_of_hundreds(spark):
     """Many edits of one original, each near it and mostly not near each other, with the original anywhere."""
     from quillspark.llm.near_dedup import with_groups
