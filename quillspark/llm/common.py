@@ -6,8 +6,11 @@ written below ``spark.checkpoint.dir`` with Spark's own writers.
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,14 +26,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests on one machine) a temporary folder is set in its place.
+    Only where the session names none and runs on one machine (``local`` masters, as in tests) a temporary folder is
+    set in its place; on a cluster that is an error, as each machine would write to its own disk.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="quillspark-")
-        if current.isEmpty():
+        if current.isDefined():
+            path = current.get()
+        elif re.match(r"local(\[|$)", spark.sparkContext.master):
+            path = "file://" + tempfile.mkdtemp(prefix="quillspark-")
             spark.sparkContext.setCheckpointDir(path)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     return path.rstrip("/")
 
 
@@ -39,16 +47,36 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts lineage and survives lost executors."""
+#: The tables of each open ``scratch_space``, innermost last.
+_SPACES: list[list[DataFrame]] = []
+
+
+def stored(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
+    """``df`` written to the shared folder and read again: cuts lineage and survives lost executors.
+
+    It goes when the innermost ``scratch_space`` ends; with ``outlives``, when the one around that ends.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
+    spaces = _SPACES[: len(_SPACES) - outlives]
+    if spaces:
+        spaces[-1].append(out)
     return out
 
 
+@contextlib.contextmanager
+def scratch_space() -> Iterator[None]:
+    """What is ``stored`` in here is deleted at the end."""
+    _SPACES.append([])
+    try:
+        yield
+    finally:
+        discard(*_SPACES.pop())
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes what ``stored`` wrote, once all that was made from it is stored itself."""
     for df in frames:

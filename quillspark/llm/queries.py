@@ -55,7 +55,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.suffix_dedup import without_repeats
 
     cut = without_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"), texts=False)
-    return cut.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return cut.select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

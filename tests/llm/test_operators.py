@@ -218,7 +218,7 @@ def test_suffix_dedup(docs, empty, monkeypatch, crowd):
     from quillspark.llm import suffix_dedup as S
 
     monkeypatch.setattr(S, "CROWD", crowd)
-    got = S.without_repeats(docs).select("row.doc_id", "row.text", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text").collect()
+    got = S.without_repeats(docs).select("row.doc_id", "row.text", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "kept_text").collect()
     data = [(r.text or "").encode() for r in got]
     removed = 0
     for r, t, m in zip(got, data, covered_slow(data), strict=True):
@@ -228,6 +228,53 @@ def test_suffix_dedup(docs, empty, monkeypatch, crowd):
         removed += r.n_removed
     assert removed > 5000
     assert S.without_repeats(empty).count() == 0
+    narrow = [passages_slow(t, m, 50) for t, m in zip(data, covered_slow(data, 200), strict=True)]
+    assert [r.n_passages for r in got] == [len(p) for p in narrow] and sum(map(len, narrow)) > 5
+    cut = S.without_passages(docs).select("row.doc_id", "row.text", "n_passages", "kept_text").collect()
+    expected = []
+    for t, p in zip(data, narrow, strict=True):
+        for a, b in reversed(p):
+            t = t[:a] + t[b:]
+        expected.append((len(p), t.decode()))
+    assert sorted(map(str, [(r.text or "", r.n_passages, r.kept_text) for r in cut])) == sorted(map(str, [(d.decode(), *e) for d, e in zip(data, expected, strict=True)]))
+    assert S.without_passages(empty).count() == 0
+
+
+def passages_slow(t, marks, min_words):
+    """Byte ranges from the first to the last of the words that lie wholly in a maximal run of marks."""
+    out = []
+    for run in re.finditer(b"\x01+", marks.astype(np.uint8).tobytes()):
+        inside = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t) if run.start() <= m.start() and m.end() <= run.end()]
+        if len(inside) > min_words:
+            a, b = run.span()
+            ink = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)]
+            a = max([a, *(e for s, e in ink if s < a < e)])
+            b = min([b, *(s for s, e in ink if s < b < e)])
+            out.append((a, b))
+    return out
+
+
+def test_suffix_runs_of_long_texts(spark, monkeypatch):
+    """Texts longer than what is hashed at once, and texts of one byte repeated."""
+    from quillspark.llm import suffix_dedup as S
+
+    rng = random.Random(12)
+    prose = lambda n: "".join(rng.choice("abcdefghij \n") for _ in range(n))
+    shared = prose(3000)
+    texts = [prose(700_000) + shared + prose(600_000), "q" * 700_000, prose(50) + shared, "x" * 500, "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(2)
+    got = {r.row.doc_id: r for r in S.without_repeats(df).collect()}
+    assert got[0].n_removed >= 3000 and shared not in got[0].kept_text and got[0].n_removed < 3050
+    assert got[1].n_removed == 700_000 and got[1].n_spans == 1
+    assert got[2].n_bytes - got[2].n_removed <= 50 and got[3].n_removed == 500 and got[5].n_bytes == 0
+    # runs over several pieces are those of each piece alone
+    pieces = [prose(rng.randint(60, 900)).encode() for _ in range(30)] + [b"aab" * 200]
+    together = list(zip(*(x.tolist() for x in S.runs_of(pieces, 60)), strict=True))
+    alone = [(k, *r[1:]) for k, p in enumerate(pieces) for r in zip(*(x.tolist() for x in S.runs_of([p], 60)), strict=True)]
+    assert together == alone
+    for k, v, _, s, n, twice in together:
+        grams = S.gram_hashes(np.frombuffer(pieces[k], np.uint8), S.gram_of(60)).view(np.int64).tolist()
+        assert twice == (grams[s : s + n + 60 - S.gram_of(60)].count(v) > 1)
 
 
 def test_merge_of_shards():
@@ -249,11 +296,14 @@ def test_merge_of_shards():
 
 
 def test_ranges():
-    from quillspark.llm.suffix_dedup import _keep, ranges
+    from quillspark.llm.suffix_dedup import maximal, passages, ranges
 
     assert ranges(np.array([1, 1, 0, 0, 0, 1], bool), 3) == [(0, 4), (5, 8)]
     assert ranges(np.array([1, 0, 1], bool), 3) == [(0, 5)]
-    assert _keep(b"0123456789", [{"a": 5, "b": 7}, {"a": 0, "b": 2}, {"a": 2, "b": 3}]) == (b"34789", 2)
+    assert maximal([{"a": 5, "b": 7}, {"a": 0, "b": 2}, {"a": 2, "b": 3}]) == [(0, 3), (5, 7)]
+    assert passages(b"ab cd ef gh", [(1, 7)], 0) == [(2, 6)]
+    assert passages(b"ab cd ef gh", [(0, 8)], 2) == [(0, 8)] and passages(b"ab cd ef gh", [(0, 8)], 3) == []
+    assert passages(b"abcdefgh", [(1, 3)], 0) == []
 
 
 def pack_and_check(docs, **kwargs):
