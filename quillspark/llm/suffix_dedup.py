@@ -47,6 +47,7 @@ LENGTH = 400
 PASSAGE, PASSAGE_WORDS = 200, 50
 RUN = 256  # windows in one run at most
 CHUNK = 1 << 19  # bytes hashed at once
+FIRST = 8  # suffixes are ordered by so many bytes at first; no length may be shorter
 SHARD = 1 << 16
 BATCH = 4 * SHARD
 CROWD = 1000
@@ -135,31 +136,35 @@ def runs_of(pieces: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]
 
 
 class Shard:
-    """Sorted suffixes of some bytes, and the walk from each sorted suffix to the one ``h`` bytes later."""
+    """Sorted suffixes of some bytes, their first bytes, and walks from each to the one ``h`` bytes later.
 
-    def __init__(self, data: np.ndarray, depth: int) -> None:
+    ``left``: how many bytes of its snippet are left from each byte on.
+    """
+
+    def __init__(self, data: np.ndarray, left: np.ndarray, depth: int) -> None:
         n = len(data)
-        padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+        padded = np.concatenate([data, np.zeros(FIRST, np.uint8)]).astype(np.uint64)
         key = np.zeros(n, dtype=np.uint64)
-        for k in range(8):
+        for k in range(FIRST):
             key = (key << np.uint64(8)) | padded[k : n + k]
-        order = np.argsort(key)
+        first, order = key, np.argsort(key)
         rank = self._ranks(key, order)
-        h = 8
+        h = FIRST
         while h < depth:
             step = min(h, depth - h)
-            later = np.zeros(n, dtype=np.int64)
-            later[: n - step] = rank[step:] + 1
-            key = rank * (n + 1) + later
-            order = np.argsort(key)
+            key = rank * (n + 1)
+            on = np.flatnonzero(left >= h + step)  # the others have no more bytes to compare
+            key[on] += rank[on + step] + 1
+            order = order[np.argsort(key[order], kind="stable")]
             rank = self._ranks(key, order)
             h += step
-        self.suffixes = order
-        place = np.empty(n + 1, dtype=np.int64)
-        place[order] = np.arange(n)
-        place[n] = n  # the empty suffix walks to itself
-        self.next = place[np.minimum(np.concatenate([order, [n]]) + 1, n)]
-        self.first = data[order].astype(np.int64) + 1
+        self.suffixes, self.first, self.left = order, first[order], left[order]
+        self.place = np.empty(n, dtype=np.int64)
+        self.place[order] = np.arange(n)
+
+    def walk(self, at: np.ndarray, h: int) -> np.ndarray:
+        """Where the suffixes ``h`` bytes after the sorted ones ``at`` stand."""
+        return self.place[self.suffixes[at] + h]
 
     @staticmethod
     def _ranks(key: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -170,36 +175,41 @@ class Shard:
 
 
 def _interleave(keys: list[np.ndarray]) -> list[np.ndarray]:
-    """Common block numbers for shards' ascending keys: only each shard's different keys are merged."""
+    """Common block numbers for shards' ascending keys: each shard's different keys, runs in order already, are merged."""
     new = [np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool) for k in keys]
-    merged = np.sort(np.concatenate([k[f] for k, f in zip(keys, new, strict=True)]))
-    merged = merged[np.concatenate([[True], merged[1:] != merged[:-1]])] if len(merged) else merged
-    return [(np.searchsorted(merged, k[f]) + 1)[np.cumsum(f) - 1] for k, f in zip(keys, new, strict=True)]
+    different = [k[f] for k, f in zip(keys, new, strict=True)]
+    merged = np.concatenate(different)
+    order = np.argsort(merged, kind="stable")  # merges runs
+    merged = merged[order]
+    number = np.empty(len(order), dtype=np.int64)
+    number[order] = np.cumsum(np.concatenate([[True], merged[1:] != merged[:-1]]) if len(order) else order)
+    parts = np.split(number, np.cumsum([len(k) for k in different])[:-1])
+    return [p[np.cumsum(f) - 1] for p, f in zip(parts, new, strict=True)]
 
 
 def merge_blocks(shards: list[Shard], depth: int) -> list[np.ndarray]:
     """For each shard, in its sorted order, the block number of every suffix at order ``depth`` over all shards.
 
-    Equal numbers mean a common prefix of ``depth`` bytes (the end of a shard counts as a byte below all others).
+    Equal numbers mean a common prefix of ``depth`` bytes. Suffixes with less than an order's bytes left in their
+    snippet aren't refined to it (number 0): none that is looks them up.
     """
-    blocks = _interleave([s.first for s in shards])
-    walks = {1: [s.next for s in shards]}  # to the suffix h later, by powers of two
-    h = 1
 
-    def refined(walk: list[np.ndarray]) -> list[np.ndarray]:
+    def numbered(keys: list[np.ndarray], at: list[np.ndarray]) -> list[np.ndarray]:
+        out = []
+        for shard, a, numbers in zip(shards, at, _interleave(keys), strict=True):
+            out.append(np.zeros(len(shard.left), dtype=np.int64))
+            out[-1][a] = numbers
+        return out
+
+    at = [np.flatnonzero(s.left >= FIRST) for s in shards]
+    blocks = numbered([s.first[a] for s, a in zip(shards, at, strict=True)], at)
+    h = FIRST
+    while h < depth:
+        step = min(h, depth - h)
         top = max((int(b.max()) for b in blocks if len(b)), default=0) + 1
-        later = [np.concatenate([b, [0]])[w[:-1]] for b, w in zip(blocks, walk, strict=True)]
-        return _interleave([b * top + x for b, x in zip(blocks, later, strict=True)])
-
-    while 2 * h <= depth:
-        blocks = refined(walks[h])
-        walks[2 * h] = [w[w] for w in walks[h]]
-        h *= 2
-    if rest := depth - h:
-        walk = None
-        for bit in (b for b in walks if rest & b):
-            walk = walks[bit] if walk is None else [w[x] for w, x in zip(walks[bit], walk, strict=True)]
-        blocks = refined(walk)
+        at = [np.flatnonzero(s.left >= h + step) for s in shards]
+        blocks = numbered([b[a] * top + b[s.walk(a, step)] for b, a, s in zip(blocks, at, shards, strict=True)], at)
+        h += step
     return blocks
 
 
@@ -210,14 +220,15 @@ def repeated_windows(snippets: list[tuple[bytes, int]], depth: int, shard_bytes:
     def close() -> None:
         nonlocal size, parts
         if parts:
-            shards.append(Shard(np.concatenate(parts), depth))
+            left = np.concatenate([np.arange(len(p), 0, -1) - 1 for p in parts])
+            shards.append(Shard(np.concatenate(parts), left, depth))
         size, parts = 0, []
 
     for data, _ in snippets:
         if size and size + len(data) + 1 > shard_bytes:
             close()
         places.append((len(shards), size))
-        parts += [np.frombuffer(data, np.uint8), np.zeros(1, np.uint8)]
+        parts.append(np.frombuffer(data + b"\0", np.uint8))
         size += len(data) + 1
     close()
     blocks = merge_blocks(shards, depth)
