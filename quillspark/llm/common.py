@@ -51,17 +51,17 @@ def scratch(spark: SparkSession, name: str) -> str:
 _SPACES: list[list[DataFrame]] = []
 
 
-def stored(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
+def stored(df: DataFrame, name: str, outlives: int = 0) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts lineage and survives lost executors.
 
-    It goes when the innermost ``scratch_space`` ends; with ``outlives``, when the one around that ends.
+    It goes when the innermost ``scratch_space`` ends; with ``outlives``, when the one so many further out ends.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
-    spaces = _SPACES[: len(_SPACES) - outlives]
+    spaces = _SPACES[: max(0, len(_SPACES) - outlives)]
     if spaces:
         spaces[-1].append(out)
     return out

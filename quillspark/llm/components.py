@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import discard, stored
 
+LINKS_PER_TASK = 250_000
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Links of a node's neighbours to the least of them and itself: of the larger neighbours, or of the others."""
@@ -31,13 +33,14 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     The result is stored; ``discard`` it when it isn't needed any more.
     """
     now = stored(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
-    mark = None
+    mark, left = None, now.count()
     while True:
-        after = stored(_star(_star(now, True), False), name)
+        # few links need few tasks and files, whatever the shuffle was set up for
+        after = stored(_star(_star(now, True), False).coalesce(-(-left // LINKS_PER_TASK) or 1), name)
         discard(now)
         seen = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
         if (seen.n, seen.s) == mark:
             out = after.select(F.col("u").alias("node"), F.col("v").alias("root"))
             out.scratch_path = after.scratch_path
             return out
-        mark, now = (seen.n, seen.s), after
+        mark, left, now = (seen.n, seen.s), seen.n, after

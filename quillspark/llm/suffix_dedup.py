@@ -365,7 +365,7 @@ def _join_windows(length: int):
     return run
 
 
-def covered(parts: DataFrame, length: int = LENGTH) -> DataFrame:
+def covered(parts: DataFrame, length: int = LENGTH, outlives: int = 0) -> DataFrame:
     """Repeated byte ranges: (h1, h2, spans) of documents given in parts (h1, h2, o, text binary). Stored."""
     with scratch_space():
         runs = stored(parts.filter(F.octet_length("text") >= length).mapInArrow(_emit_runs(length), RUNS), "suffix-runs")
@@ -383,15 +383,17 @@ def covered(parts: DataFrame, length: int = LENGTH) -> DataFrame:
         tasks = shuffle_partitions(parts.sparkSession)
         few = snippets.join(crowds.hint("merge"), "v", "left_anti").repartition(tasks, "v").sortWithinPartitions("v")
         settled = few.mapInArrow(_settle_groups(length), RANGES)
-        windows = stored(snippets.join(crowds.hint("merge"), "v", "left_semi").mapInArrow(_windows(length), "w binary, v long, d long, c long, at int"), "suffix-windows")
-        twice = stored(windows.groupBy("w").agg(F.sum("c").alias("c")).filter("c > 1").select("w"), "suffix-twice")
-        crowded = windows.join(twice.hint("merge"), "w").groupBy("v", "d").agg(F.collect_list("at").alias("at")).mapInArrow(_join_windows(length), RANGES)
-        spans = stored(settled.union(crowded), "suffix-spans")
+        if not crowds.isEmpty():
+            windows = stored(snippets.join(crowds.hint("merge"), "v", "left_semi").mapInArrow(_windows(length), "w binary, v long, d long, c long, at int"), "suffix-windows")
+            twice = stored(windows.groupBy("w").agg(F.sum("c").alias("c")).filter("c > 1").select("w"), "suffix-twice")
+            crowded = windows.join(twice.hint("merge"), "w").groupBy("v", "d").agg(F.collect_list("at").alias("at"))
+            settled = settled.union(crowded.mapInArrow(_join_windows(length), RANGES))
+        spans = stored(settled, "suffix-spans")
 
         whole = repeated.filter("not mixed").select("h1", "h2", F.col("s").alias("a"), (F.col("s") + F.col("n") + length - 1).alias("b"))
         mixed = repeated.filter("mixed").join(spans.hint("merge"), ["v", "d"]).select("h1", "h2", "s", F.explode("spans").alias("x"))
         mixed = mixed.select("h1", "h2", (F.col("s") + F.col("x.a")).alias("a"), (F.col("s") + F.col("x.b")).alias("b"))
-        return stored(whole.union(mixed).groupBy("h1", "h2").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "suffix-covered", outlives=True)
+        return stored(whole.union(mixed).groupBy("h1", "h2").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "suffix-covered", outlives + 1)
 
 
 def _regions(length: int):
@@ -415,8 +417,7 @@ def nested(docs: DataFrame, short: int, length: int) -> tuple[DataFrame, DataFra
     with scratch_space():
         within = docs.join(outer.hint("merge"), ["h1", "h2"]).select("h1", "h2", "text", "spans")
         regions = stored(within.mapInArrow(_regions(length), "h1 long, h2 long, o int, text binary"), "suffix-regions")
-        inner = covered(regions, length)
-        return outer, stored(inner, "suffix-inner", outlives=True)
+        return outer, covered(regions, length, 1)
 
 
 def maximal(spans: list[dict] | None) -> list[tuple[int, int]]:
