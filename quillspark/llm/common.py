@@ -12,7 +12,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The characters that separate words, as a Java/Python/RE2 character class.
@@ -95,6 +95,25 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column | None, id_col: str, text_col: str, max_rows: int, max_bytes: int) -> DataFrame:
+    """(id, label, text) of labelled documents, at most ``max_rows`` of them and ``max_bytes`` of text, chosen by hash of the id.
+
+    Rows that ``usable`` (over the id) refuses, with a null id or a label other than 0 and 1 are left out. An id with two
+    labels counts once with each; equal rows count once.
+    """
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("id").isNotNull())
+    if usable is not None:
+        known = known.filter(usable)
+    order = [F.xxhash64("id"), F.col("id"), F.col("label")]
+    chosen = known.distinct().orderBy(*order).limit(max_rows)
+    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    sized = texts.join(F.broadcast(chosen), "id").select("id", "label", "h", F.octet_length("text").cast("long").alias("bytes")).distinct()
+    sized = sized.orderBy(*order, "h").limit(max_rows)
+    so_far = Window.orderBy(*order, "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # of at most max_rows rows
+    wanted = sized.withColumn("total", F.sum("bytes").over(so_far)).filter(F.col("total") <= max_bytes).select("id", "label", "h")
+    return texts.join(F.broadcast(wanted), ["id", "h"]).groupBy("id", "label", "h").agg(F.first("text").alias("text")).drop("h")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,16 +1,18 @@
 """A quality classifier of supervised subword embeddings.
 
-Words and byte n-grams are hashed into buckets; each bucket has a learned vector. A document is the average of
+Words and character n-grams are hashed into buckets; each bucket has a learned vector. A document is the average of
 its words' vectors plus the average of its n-grams' vectors (plus a vector for words said twice in a row, by
 their share), and a softmax layer reads the class from it. Vectors and layer are trained on the driver by
-stochastic gradient descent in numpy, on at most ``max_rows`` labelled documents chosen by hash.
+stochastic gradient descent in numpy, on at most ``max_rows`` labelled documents and ``max_bytes`` of their text, chosen
+by hash.
 
 As the layer is linear, scoring needs one number per bucket: the vectors' inner products with the difference of
 the two class weights. Scoring reads every whole text, in blocks, inside map tasks; nothing is shuffled.
 
 Defined edge cases: null and empty texts have no features and score by the bias alone; rows with a null label
-are not learned from; with fewer than two classes among the labels the score is the share of label 1 (0.5
-without labels); repeated rows each get a score; only id and text columns are read.
+are not learned from; an id with two labels is learned from with each; with fewer than two classes among the labels the score is the share of label 1 (0.5
+without labels); repeated rows each get a score; only id and text columns are read. Very long texts are hashed ``BLOCK``
+characters at a time.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import small_batches
+from quillspark.llm.common import labelled_sample, small_batches
 
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
@@ -33,7 +35,9 @@ NGRAMS = (1, 2, 3, 4)
 SAME = 2 * BUCKETS  # the feature "equals the word before"
 FEATURES = 2 * BUCKETS + 1
 BLOCK = 1 << 20
-MAX_ROWS = 4000
+#: Odd multiplier between the characters of an n-gram.
+MIX = np.uint32(0x01000193)
+MAX_ROWS, MAX_BYTES = 4000, 32 << 20
 
 
 def _hash(values: np.ndarray, salt: int) -> np.ndarray:
@@ -41,33 +45,34 @@ def _hash(values: np.ndarray, salt: int) -> np.ndarray:
     return (mixed ^ (mixed >> np.uint32(15))) * np.uint32(2246822519) >> np.uint32(32 - BUCKET_BITS)
 
 
-def _word_codes(data: bytes) -> np.ndarray:
-    words = data.split()
+def _word_codes(text: str) -> np.ndarray:
+    words = text.encode("utf-8", "replace").split()
     return np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
 
 
-def _ngram_blocks(data: bytes) -> Iterator[np.ndarray]:
-    """Bucket numbers of all byte n-grams, block by block."""
-    whole = np.frombuffer(data, np.uint8)
-    for n in NGRAMS:
-        for at in range(0, len(whole) - n + 1, BLOCK):
-            part = whole[at : at + BLOCK + n - 1].astype(np.uint32)
-            value = part[: len(part) - n + 1].copy()
-            for k in range(1, n):
-                value |= part[k : len(part) - n + 1 + k] << np.uint32(8 * k)
-            yield _hash(value, n)
+def _ngram_blocks(text: str) -> Iterator[np.ndarray]:
+    """Bucket numbers of all character n-grams, block by block."""
+    for at in range(0, len(text), BLOCK):
+        codes = np.frombuffer(text[at : at + BLOCK + max(NGRAMS) - 1].encode("utf-32-le", "replace"), "<u4")
+        for n in NGRAMS:
+            size = min(BLOCK, len(codes) - n + 1)
+            if size > 0:
+                value = codes[:size].copy()
+                for k in range(1, n):
+                    value = value * MIX + codes[k : size + k]
+                yield _hash(value, n)
 
 
-def features(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers and their weights in the document's average."""
-    words = _word_codes(data)
+    words = _word_codes(text)
     counts = np.zeros(FEATURES, dtype=np.float32)
     if len(words):
         counts[:BUCKETS] = np.bincount(_hash(words, 0), minlength=BUCKETS) / len(words)
         counts[SAME] = np.count_nonzero(words[1:] == words[:-1]) / len(words)
     total = 0
     grams = np.zeros(BUCKETS, dtype=np.int64)
-    for block in _ngram_blocks(data):
+    for block in _ngram_blocks(text):
         grams += np.bincount(block, minlength=BUCKETS)
         total += len(block)
     if total:
@@ -83,14 +88,14 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def log_odds(self, data: bytes) -> float:
+    def log_odds(self, text: str) -> float:
         w = self.weights
-        words, out = _word_codes(data), self.bias
+        words, out = _word_codes(text), self.bias
         if len(words):
             out += w[_hash(words, 0)].sum(dtype=np.float64) / len(words)
             out += float(w[SAME]) * np.count_nonzero(words[1:] == words[:-1]) / len(words)
         total, found, grams = 0.0, 0, w[BUCKETS : 2 * BUCKETS]
-        for block in _ngram_blocks(data):
+        for block in _ngram_blocks(text):
             total += grams[block].sum(dtype=np.float64)
             found += len(block)
         return float(out + total / max(found, 1))
@@ -131,22 +136,18 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: in
     return Model((vectors @ diff).astype(np.float32), float(bias[1] - bias[0] + np.log(weight[0] / weight[1])))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> Model:
-    """Learns from at most ``max_rows`` labelled documents that ``usable`` (over the id) lets through."""
+def fit(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
+    """Learns from at most ``max_rows`` labelled documents that ``usable`` (over the id) lets through, ``max_bytes`` of text in all."""
     small_batches(docs.sparkSession)
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("id").isNotNull())
-    if usable is not None:
-        known = known.filter(usable)
-    chosen = known.orderBy(F.xxhash64("id"), "id", "label").limit(max_rows)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")  # at most max_rows rows
+    rows = labelled_sample(docs, labels, label_col, usable, id_col, text_col, max_rows, max_bytes)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, label, text in zip(b["id"].to_pylist(), b["label"].to_pylist(), b["text"].to_pylist(), strict=True):
-                at, x = features((text or "").encode("utf-8", "replace"))
+                at, x = features(text or "")
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([label], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], ["id", "label", "at", "x"])
 
-    got = rows.select(F.col("id").cast("long").alias("id"), "label", "text").mapInArrow(extract, "id long, label int, at binary, x binary").collect()
+    got = rows.select(F.xxhash64("id").alias("id"), "label", "text").mapInArrow(extract, "id long, label int, at binary, x binary").collect()
     got.sort(key=lambda r: (r.id, r.label, bytes(r.at)))
     return train([(np.frombuffer(bytes(r.at), np.int32), np.frombuffer(bytes(r.x), np.float32)) for r in got], np.array([r.label for r in got], dtype=np.int64))
 
@@ -157,7 +158,7 @@ def score_column(model: Model, text: Column) -> Column:
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         own = Model(weights, bias)
-        z = np.array([own.log_odds((t or "").encode("utf-8", "replace")) for t in texts], dtype=np.float64)
+        z = np.array([own.log_odds(t or "") for t in texts], dtype=np.float64)
         return pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
     return score(text)

@@ -6,14 +6,14 @@
 3. A token that looks disguised (letters mixed with look-alike signs, a letter repeated three times or more,
    letters set apart by spaces or dots) is a noisy channel's output: a lattice of what each sign may stand
    for, decoded by Viterbi under the character model. Other tokens have a one-path lattice: themselves.
-4. The restored text's score is the noisy-or of all its evidence over the base rate. A model holds the ``MAX_EVIDENCE``
-   strongest parts that were learned.
+4. The restored text's score is the noisy-or of all its evidence over the base rate.
 
 Whole texts are scored inside map tasks; nothing but counts is shuffled.
 
 Defined edge cases: null and empty texts score the base rate; null labels are not learned from; without toxic
 labels there is no evidence and the score is the share of label 1; repeated rows each get a score; an empty
-table gives an empty result; only id and text columns are read.
+table gives an empty result; only id and text columns are read. An id with two labels is learned from with each. Very
+long texts are scored token by token; a token without white space, however long, is decoded sign by sign.
 """
 
 from __future__ import annotations
@@ -31,10 +31,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import small_batches
+from quillspark.llm.common import labelled_sample, small_batches
 
-MAX_ROWS = 6000
-MAX_EVIDENCE = 20_000
+MAX_ROWS, MAX_BYTES = 6000, 64 << 20
 SYMBOLS = 29  # edge of a word, a to z, apostrophe, anything else
 CODE = np.full(256, 28, dtype=np.int64)
 CODE[[9, 10, 11, 12, 13, 32]] = 0
@@ -202,7 +201,8 @@ def _surprise(t: int, c: int, base: float) -> float:
 
 
 def learn_evidence(rows: list[tuple[str, int]]) -> tuple[dict[str, float], float]:
-    """Evidence from (text, label): parts found in toxic documents far beyond chance over all parts tried.
+    """Evidence from (text, label): parts found in toxic documents far beyond chance over all parts tried. Equal texts
+    with one label count once, so copies don't make a word look frequent.
 
     Parts are taken greedily by the toxic documents that no part taken before explains, so words that merely
     stand beside a toxic word in copies of one document aren't taken. Parts common among toxic documents and
@@ -258,17 +258,15 @@ def learn_evidence(rows: list[tuple[str, int]]) -> tuple[dict[str, float], float
             taken.add(p)
             toxic[p], clean[p] = t, beside[p]
     out = {p: math.log(1 - toxic[p] / (toxic[p] + clean[p] + 3)) for p in taken}
-    return dict(sorted(out.items(), key=lambda x: (x[1], x[0]))[:MAX_EVIDENCE]), base
+    return out, base
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> Model:
-    """The character model over all of ``docs``; evidence from at most ``max_rows`` labelled ones, chosen by hash."""
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
+    """The character model over all of ``docs``; evidence from at most ``max_rows`` labelled ones with ``max_bytes`` of text
+    in all, chosen by hash."""
     counts = trigram_counts(docs, text_col)
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("id").isNotNull())
-    if usable is not None:
-        known = known.filter(usable)
-    chosen = known.orderBy(F.xxhash64("id"), "id", "label").limit(max_rows)
-    got = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("text", "label").collect()  # at most max_rows rows
+    rows = labelled_sample(docs, labels, label_col, usable, id_col, text_col, max_rows, max_bytes)
+    got = rows.select("text", "label").collect()  # at most max_rows rows and max_bytes
     evidence, base = learn_evidence([(r.text or "", r.label) for r in got])
     weight = max(1.0, counts.sum() / 1e5)  # so that known evidence is likely to the character model however large the corpus
     for part in evidence:
