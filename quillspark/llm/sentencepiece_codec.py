@@ -12,14 +12,21 @@ segments with the least loss: any other change loses at least as much.
 
 Characters without a piece fall back to their UTF-8 bytes, so decoding gives back every text exactly.
 
+The public model was made by merging pairs: its scores are ranks of merges, and sums of ranks mean nothing. A piece's log
+probability is taken to fall with its rank as Zipf's law has it, -log(``ZIPF_SHIFT`` + rank); nothing is trained. Ids are those of the
+likeliest path through the lattice, which is not always the one that replaying merges gives; ``agreement`` measures how
+often both are the same.
+
 Defined edge cases: null counts as empty; an empty text has no pieces and score 0; fewer than N segmentations leave the
-rest null; repeated rows each get a result; an empty table gives an empty result; only id and text columns are read.
+rest null; repeated rows each get a result; an empty table gives an empty result; only id and text columns are read. Very
+long texts are searched segment by segment; a text without any place to split at takes some hundred bytes a character.
 """
 
 from __future__ import annotations
 
 import functools
 import heapq
+import math
 import re
 import struct
 import zlib
@@ -36,6 +43,8 @@ from quillspark.llm.common import small_batches
 
 SPACE_MARK = "▁"
 UNKNOWN_PENALTY = 10.0
+#: What stands before the first merge in rank: 256 bytes and three control pieces, and one.
+ZIPF_SHIFT = 260
 REMEMBERED, LONGEST_REMEMBERED = 600_000, 48
 LOW = float("-inf")
 #: Spaces with what follows: segments no piece reaches across.
@@ -198,9 +207,21 @@ def model(name: str = "piece_bpe_32k.model") -> Model:
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name))
+    log_probability = lambda rank: -math.log(ZIPF_SHIFT + rank)
     ids = [i for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
     byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-    return Model([(sp.id_to_piece(i).replace(SPACE_MARK, " "), sp.get_score(i)) for i in ids], byte_ids, ids)
+    return Model([(sp.id_to_piece(i).replace(SPACE_MARK, " "), log_probability(-sp.get_score(i))) for i in ids], byte_ids, ids)
+
+
+def agreement(texts: Sequence[str], name: str = "piece_bpe_32k.model") -> float:
+    """The share of the texts' words that get the ids the model's own encoder gives them."""
+    import public_tokenizers
+    import sentencepiece
+
+    sp, m = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(name)), model(name)
+    words = [w for t in texts for w in t.split()]
+    same = sum(np.frombuffer(m.encode(w)[0], "<u4").tolist() == ids for w, ids in zip(words, sp.encode(words, num_threads=1), strict=True))
+    return same / max(1, len(words))
 
 
 def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, load: Callable[[], Model] = model, keep_ids: bool = False) -> DataFrame:
