@@ -4,20 +4,21 @@
 2. The directory starts with one bucket and doubles while a bucket is overfull; what each bucket would hold is
    read from one bounded histogram of key prefixes, in which copies of a key count once, so a hot text never
    forces splits that can't help.
-3. Each bucket is a key range with one owner task. Map tasks first fold equal texts of their own input, so a
+3. Each bucket is a key range; an owner task has one, or neighbouring ones if there are far more than tasks. Map tasks first fold equal texts of their own input, so a
    text that a third of all rows hold reaches its owner once per map task. The owner reads its range in key
    order, chains different texts of one key and tells them apart by their bytes.
 4. Groups of two or more go back to the rows by (key, SHA-256).
 
 Defined edge cases: null text counts as empty, and empty texts form one group; a null id ranks after all
 others; of rows equal in text, length and id one stays; an empty table gives an empty result; other columns
-travel in one struct and can't clash.
+travel in one struct and can't clash. Very long texts are held whole, one at a time besides ``FOLD_BYTES`` in a map task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,9 @@ from quillspark.llm.common import SPACE, shuffle_partitions, small_batches, stor
 #: What an owner's bucket may hold (bytes of normalised text, copies once), and a map task's unsent texts.
 BUCKET_BYTES = 16 << 20
 FOLD_BYTES = 48 << 20
-#: The histogram has at most this many prefixes.
+OWNERS_PER_PARTITION = 8
+#: The histogram has at most 2 to this many prefixes. A bucket that its longest prefixes can't split further is read by
+#: its owner in key order like any other, a key at a time.
 MAX_DEPTH = 20
 
 
@@ -120,9 +123,11 @@ def with_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     pages = pages.select("*", F.xxhash64("norm").alias("key"), F.unhex(F.sha2("norm", 256)).alias("sha"), F.octet_length("norm").alias("bytes")).drop("norm")
     pages = stored(pages, "exact-pages")
     directory = _directory(pages, shuffle_partitions(spark))
-    owners, depth = directory.owner, directory.depth
+    tasks = min(len(directory.buckets), OWNERS_PER_PARTITION * shuffle_partitions(spark))
+    owners = np.array(directory.owner, dtype=np.int64) * tasks // len(directory.buckets)
+    owners, depth = owners.astype(np.int32), directory.depth
     id_type = pages.schema["doc_id"].dataType
-    fields = [("bucket", T.IntegerType()), ("key", T.LongType()), ("norm", T.BinaryType()), ("sha", T.BinaryType()), ("points", T.IntegerType()), ("doc_id", id_type), ("tag", T.LongType()), ("n", T.LongType())]
+    fields = [("owner", T.IntegerType()), ("key", T.LongType()), ("norm", T.BinaryType()), ("sha", T.BinaryType()), ("points", T.IntegerType()), ("doc_id", id_type), ("tag", T.LongType()), ("n", T.LongType())]
     schema = T.StructType([T.StructField(n, t) for n, t in fields])
 
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -137,7 +142,7 @@ def with_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         chains = Chains()
 
         def out() -> Iterator[pa.RecordBatch]:
-            rows = [(owners[(k & (1 << 64) - 1) >> (64 - depth) if depth else 0], k, text, sha, *best, n) for k, text, sha, best, n in chains.drain()]
+            rows = [(int(owners[(k & (1 << 64) - 1) >> (64 - depth) if depth else 0]), k, text, sha, *best, n) for k, text, sha, best, n in chains.drain()]
             for i in range(0, len(rows), 256):
                 yield batch(rows[i : i + 256], entry)
 
@@ -164,7 +169,7 @@ def with_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     norm = normalised(text_of(F.col("row")[text_col])).cast("binary").alias("norm")
     folded = pages.select("key", norm, "sha", "points", "doc_id", "tag").mapInArrow(fold, schema)
-    owned = folded.repartitionById(len(directory.buckets), F.col("bucket")).sortWithinPartitions("bucket", "key")
+    owned = folded.repartitionById(tasks, F.col("owner")).sortWithinPartitions("key")
     groups = stored(owned.mapInArrow(own, T.StructType([schema[c] for c in ("key", "sha", "doc_id", "tag", "n")])), "exact-groups")
     groups = groups.select("key", "sha", F.col("doc_id").alias("g_id"), F.col("tag").alias("g_tag"), "n")
     joined = pages.join(groups.hint("merge"), ["key", "sha"], "left")  # one plan at every size; hot groups are split by AQE

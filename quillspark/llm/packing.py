@@ -10,7 +10,8 @@
    their sequence. Offsets are running sums within a sequence.
 
 Defined edge cases: a null text counts as empty (its one id is the end id); a null id and repeated rows are
-packed like any other row; an empty table gives an empty result; only ``id_col`` and ``text_col`` are read.
+packed like any other row; an empty table gives an empty result; only ``id_col`` and ``text_col`` are read. Very long texts
+are tokenized whole, one at a time, and cut into whole sequences and one rest.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ come from a bounded hash-chosen sample and decide balance only, never results.
 
 Defined edge cases: a null url, or one without ``://``, has empty host and path and fits no rule; repeated rows
 each get a result; an empty table gives an empty result; only ``id_col`` and ``url_col`` are read. Of rules
-with the same host and path, block wins. A url without a rule gets ``default``.
+with the same host and path, block wins. A url without a rule gets ``default``. Very long urls are matched whole: each
+look-up compares a path with the rules' lengths only.
 """
 
 from __future__ import annotations
@@ -54,9 +55,11 @@ class Sweep:
         self._to(key)
         if not self.stack or self.stack[-1][0] != key:
             self.stack.append((key, {}, []))
-        paths = self.stack[-1][1]
+        _, paths, lengths = self.stack[-1]
         paths[path] = "block" if "block" in (verdict, paths.get(path)) else verdict
-        self.stack[-1][2][:] = sorted({len(p) for p in paths}, reverse=True)
+        at = bisect.bisect_left(lengths, -len(path), key=lambda n: -n)  # longest first
+        if at == len(lengths) or lengths[at] != len(path):
+            lengths.insert(at, len(path))
 
     def url(self, key: str, path: str) -> tuple[str, str] | None:
         """The longest fitting rule and its verdict."""
