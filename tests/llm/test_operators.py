@@ -457,6 +457,50 @@ def test_chat_format(spark):
     assert format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_format_hot_conversation(spark):
+    """One conversation of most rows, spread over many ranges, with ties and repeated rows; its snapshots collapse."""
+    from quillspark.llm import chat_format as C
+
+    rng = random.Random(2)
+    turns = [(t // 2, rng.choice(["user", "bot"]), f"t{rng.randint(0, 50)}") for t in range(3000)]
+    turns += [turns[-1]] * 700  # equal rows are repeated turns
+    rows = [(7, *t) for t in turns] + [(8, *t) for t in sorted(turns[:1000])] + [(c, 0, "user", f"hi {c}") for c in range(20, 40)] + [(None, 1, "user", "x"), (None, 0, "bot", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = {r.conv_id: r for r in C.format_chats(df).collect()}
+    assert set(got) == {7, None, *range(20, 40)}
+    assert got[7].n_turns == 3700 and got[7].copies == 1 and got[7].rendered.count("|>\n") == 3700
+    assert got[None].rendered == "<|bot|>\n\n<|user|>\nx\n<|end|>"
+    # prefixes are numbered through, whatever ranges they fell into
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        old = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", 16)
+        again = {r.conv_id: r.rendered for r in C.format_chats(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert again == {c: r.rendered for c, r in got.items()}
+
+
+def test_sentencepiece_agrees_with_the_public_encoder():
+    """Zipf scores give real words the ids that replaying merges gives; merge ranks as scores don't."""
+    from quillspark.llm.sentencepiece_codec import agreement
+
+    text = "The committee published a detailed report on public health, and several newspapers discussed its findings in the following weeks. Please note that the meeting was moved to Thursday."
+    assert agreement([text]) > 0.9
+    assert agreement([""]) == 0
+
+
+def test_sentencepiece_long_text(spark):
+    from quillspark.llm.sentencepiece_codec import encode_documents
+
+    rng = random.Random(3)
+    long = " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(1, 9))) for _ in range(60_000))
+    df = spark.createDataFrame([(1, long), (2, "字" * 20_000), (3, "a" * 20_000)], "doc_id int, text string")
+    got = {r.doc_id: r for r in encode_documents(df).collect()}
+    assert all(r.round_trip and r.n_pieces > 1000 for r in got.values())
+
+
 def test_sentencepiece(docs, empty):
     from quillspark.llm.sentencepiece_codec import Model, decode_documents, encode_documents
 
@@ -507,6 +551,113 @@ def labelled(spark, kind):
     return docs, spark.createDataFrame(marks, f"doc_id long, {kind} int")
 
 
+def test_quality_model_by_hand():
+    """One epoch of descent, and a score, against plain loops."""
+    import math
+    import zlib
+
+    from quillspark.llm import quality_classifier as Q
+
+    texts = ["good words here", "bad bad ünïcode", "more good text", "worse"]
+    labels = np.array([1, 0, 1, 0])
+    rows = [Q.features(t) for t in texts]
+    for t, (at, x) in zip(texts, rows, strict=True):
+        words = t.split()
+        want: dict = {}
+        for w in words:
+            b = int(Q._hash(np.array([zlib.crc32(w.encode())], np.uint32), 0)[0])
+            want[b] = want.get(b, 0) + 1 / len(words)
+        grams = [(n, t[i : i + n]) for n in Q.NGRAMS for i in range(len(t) - n + 1)]
+        for n, g in grams:
+            value = 0
+            for c in g:
+                value = (value * int(Q.MIX) + ord(c)) % (1 << 32)
+            b = Q.BUCKETS + int(Q._hash(np.array([value], np.uint32), n)[0])
+            want[b] = want.get(b, 0) + 1 / len(grams)
+        if any(a == b for a, b in zip(words, words[1:], strict=False)):
+            want[Q.SAME] = sum(a == b for a, b in zip(words, words[1:], strict=False)) / len(words)
+        assert dict(zip(at.tolist(), np.round(x, 5).tolist(), strict=True)) == pytest.approx(want, abs=1e-4)
+
+    dim, rate, seed = 3, 0.5, 4
+    got = Q.train(rows, labels, dim=dim, epochs=1, rate=rate, seed=seed)
+    rng = np.random.default_rng(seed)
+    vectors = rng.uniform(-1 / dim, 1 / dim, (Q.FEATURES, dim)).astype(np.float32).astype(float)
+    layer = rng.uniform(-1, 1, (dim, 2)).astype(np.float32).astype(float)
+    bias = [0.0, 0.0]
+    for done, i in enumerate(rng.permutation(4)):
+        at, x = rows[i]
+        lr = rate * (1 - done / 4)
+        hidden = [sum(float(x[k]) * vectors[f][d] for k, f in enumerate(at)) for d in range(dim)]
+        z = [sum(hidden[d] * layer[d][c] for d in range(dim)) + bias[c] for c in (0, 1)]
+        p = [math.exp(v) / sum(map(math.exp, z)) for v in z]
+        p[labels[i]] -= 1  # the gradient of the loss; both classes weigh one
+        back = [sum(layer[d][c] * p[c] for c in (0, 1)) for d in range(dim)]
+        for d in range(dim):
+            for c in (0, 1):
+                layer[d][c] -= lr * 0.1 * hidden[d] * p[c]
+        for c in (0, 1):
+            bias[c] -= lr * 0.05 * p[c]
+        for k, f in enumerate(at):
+            for d in range(dim):
+                vectors[f][d] -= lr * float(x[k]) * back[d]
+    diff = layer[:, 1] - layer[:, 0]
+    assert got.bias == pytest.approx(bias[1] - bias[0], abs=1e-5)
+    assert np.abs(got.weights - vectors @ diff).max() < 1e-4
+    for t in [*texts, "", "new good " * 50]:
+        at, x = Q.features(t)
+        assert got.log_odds(t) == pytest.approx(got.bias + float((got.weights[at].astype(float) * x).sum()), abs=1e-4)
+    old, Q.BLOCK = Q.BLOCK, 7  # blocks don't change a score
+    try:
+        assert [got.log_odds(t) for t in texts] == pytest.approx([got.bias + float((got.weights[a].astype(float) * x).sum()) for a, x in rows], abs=1e-4)
+    finally:
+        Q.BLOCK = old
+
+
+def test_labelled_sample(spark):
+    from quillspark.llm.common import labelled_sample
+
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(40)] + [(3, "x" * 100)] * 30 + [(5, None), (None, "n")], "doc_id int, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 30)] + [(3, 0), (4, None), (None, 1), (6, 7)], "doc_id int, y int")
+    take = lambda rows, size: labelled_sample(docs, labels, "y", F.col("id") != 2, "doc_id", "text", rows, size).collect()
+    whole = take(1000, 1 << 20)
+    assert sorted((r.id, r.label) for r in whole if r.text) == sorted([(i, i % 2) for i in range(30) if i != 2] + [(3, 0)])
+    assert len(take(10, 1 << 20)) == 10 and sum(len(r.text) for r in take(1000, 950)) == 900
+
+
+def test_decoding_by_enumeration():
+    """The lattice's cheapest path against all of its paths."""
+    import itertools
+
+    from quillspark.llm import toxicity as T
+
+    rng = np.random.default_rng(3)
+    cost = -np.log(rng.dirichlet(np.ones(T.SYMBOLS) * 0.3, (T.SYMBOLS, T.SYMBOLS)) + 1e-6)
+    m = T.Model(cost, {}, 0.1)
+
+    def options(sign, n):
+        if sign in T.GAPS:
+            return [("", T.GAP_COST), (" ", T.GAP_COST)]
+        if sign.isalpha():
+            return [(sign * k, T.REPEAT_COST * (n - k)) for k in (1, 2) if k <= n]
+        out = [(c * k, T.LOOK_COST * k + T.REPEAT_COST * (n - k)) for c in T.LOOKS.get(sign, "") for k in (1, 2) if k <= n]
+        if not out:
+            return [("", T.GAP_COST)]
+        return out + [("", T.GAP_COST + 1.5)] * (sign in T.PUNCTUATION)
+
+    def total(text, price):
+        codes = [0, 0, *(0 if c == " " else int(T.CODE[ord(c)]) if ord(c) < 128 else 28 for c in text), 0]
+        return price + sum(cost[a, b, c] for a, b, c in zip(codes, codes[1:], codes[2:], strict=False))
+
+    rand = random.Random(5)
+    for _ in range(200):
+        token = "".join(rand.choice("abs1!4$.- e3é#") for _ in range(rand.randint(1, 6)))
+        runs = [(k, len(list(g))) for k, g in itertools.groupby(token)]
+        ways = [("".join(p for p, _ in way), sum(c for _, c in way)) for way in itertools.product(*(options(*r) for r in runs))]
+        best = min(total(text, price) for text, price in ways)
+        found = m.decode(token)
+        assert min(total(text, price) for text, price in ways if text == found) == pytest.approx(best, abs=1e-9)
+
+
 def test_quality_classifier(spark):
     from quillspark.llm.common import held_out
     from quillspark.llm.quality_classifier import fit, score_quality
@@ -695,9 +846,10 @@ def test_near_dedup_both_sides_of_the_similarity(spark, monkeypatch):
     texts += [" ".join(edited(rng, base, 5, word)) for _ in range(120)]  # no original: about 0.72 to 0.85 to each other
     root = exact_components(texts)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
-    for cap, side in ((N.PAIR_CAP, N.SIDE), (4, 16)):
-        monkeypatch.setattr(N, "PAIR_CAP", cap)
+    for crowd, side, size in ((N.CROWD, N.SIDE, N.SIDE_BYTES), (4, 16, 1 << 30), (4, 1000, 20_000)):
+        monkeypatch.setattr(N, "CROWD", crowd)
         monkeypatch.setattr(N, "SIDE", side)
+        monkeypatch.setattr(N, "SIDE_BYTES", size)
         kept = [r.doc_id for r in N.with_groups(df).filter("kept").select("row.doc_id").collect()]
         assert len(kept) == len(set(root)) and {root[i] for i in kept} == set(root)
 
