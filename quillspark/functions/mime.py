@@ -12,7 +12,7 @@ from typing import NamedTuple
 
 from quillspark.functions import html, text
 
-#: Only headers are read to peek; they lie within this many bytes.
+#: Of a message in an mbox only so much is read to peek at its headers.
 PEEK_BYTES = 64 << 10
 
 
@@ -43,9 +43,9 @@ def trim_id(value: str | None) -> str | None:
     return (value or "").strip("<> ") or None
 
 
-def peek_id(raw: bytes) -> str | None:
-    """The Message-ID, without reading the body."""
-    head = raw[:PEEK_BYTES]
+def peek_id(raw: bytes, whole: bool = False) -> str | None:
+    """The Message-ID, without reading the body; looked for in the first ``PEEK_BYTES``, or anywhere in the headers."""
+    head = raw if whole else raw[:PEEK_BYTES]
     end = re.search(rb"\r?\n\r?\n", head)
     return trim_id(header(message_from_bytes(head[: end.end()] if end else head, policy=policy.compat32), "Message-ID"))
 

@@ -16,6 +16,7 @@ import pickle
 import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -29,6 +30,8 @@ from quillspark.settings import SOURCES, source
 from quillspark.sources import files
 
 CHUNK = 4 << 20
+#: What is read of a message at once, and how much of one file a fetching task answers for.
+READ_BLOCK, FETCH_RANGE = 64 << 10, 64 << 20
 PAIRS = ["source", "message_id", "locator", "path", "offset"]
 
 
@@ -151,7 +154,7 @@ class MailReader(DataSourceReader):
             return
         try:  # a broken .emlx file is passed over and doesn't make the scan incomplete
             with open(r.path, "rb") as f:
-                mid = mime.peek_id(mbox.emlx_message(f.read()))
+                mid = mime.peek_id(mbox.emlx_message(f.read()), whole=True)
         except (OSError, ValueError):
             return
         if mid:
@@ -204,7 +207,7 @@ def list_binary(content: DataFrame, name: str) -> DataFrame:
             for path, data in zip(b["path"].to_pylist(), b["content"].to_pylist(), strict=True):
                 if one_per_file:
                     try:
-                        found = [(mime.peek_id(mbox.emlx_message(data)), None)]
+                        found = [(mime.peek_id(mbox.emlx_message(data), whole=True), None)]
                     except ValueError:
                         found = []
                 else:
@@ -217,43 +220,105 @@ def list_binary(content: DataFrame, name: str) -> DataFrame:
     return content.select("path", "content").mapInArrow(listed, SCAN_PAIRS)
 
 
+def message_at(f: BinaryIO, offset: int) -> bytes:
+    """The message whose envelope starts at ``offset`` of an open mbox file; an error if none does.
+
+    Reads from the offset to the next envelope, in blocks, and nothing else of the file.
+    """
+    f.seek(offset)
+    data = bytearray(f.read(READ_BLOCK))
+    if not data.startswith(mbox.MARK):
+        raise ValueError(f"no message at {offset}")
+    seen = 0
+    while (end := data.find(b"\n" + mbox.MARK, seen)) < 0:
+        seen = max(0, len(data) - len(mbox.MARK))
+        more = f.read(READ_BLOCK)
+        if not more:
+            break
+        data += more
+    whole = bytes(data) if end < 0 else bytes(data[: end + 1])
+    line = whole.find(b"\n")
+    return mbox.unescape(whole[line + 1 :] if line >= 0 else b"")
+
+
+class Reader:
+    """Messages by locator; the file read last stays open."""
+
+    def __init__(self, opened: Callable[[str], BinaryIO] = lambda path: open(path, "rb")) -> None:  # noqa: SIM115
+        self.opened, self.path, self.file = opened, None, None
+
+    def __enter__(self) -> Reader:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        if self.file:
+            self.file.close()
+        self.path = self.file = None
+
+    def read(self, locator: str) -> bytes:
+        if "#offset=" not in locator:
+            with self.opened(locator) as f:
+                return mbox.emlx_message(f.read())
+        path, offset = mbox.parse_locator(locator)
+        if path != self.path:
+            self.__exit__()
+            self.file, self.path = self.opened(path), path
+        try:
+            return message_at(self.file, offset)
+        except ValueError:
+            raise ValueError(f"no message at {locator}") from None
+
+
 def read_message(locator: str) -> bytes:
     """The raw message behind a locator; an error if none is there."""
-    if "#offset=" not in locator:
-        with open(locator, "rb") as f:
-            return mbox.emlx_message(f.read())
-    path, offset = mbox.parse_locator(locator)
-    with open(path, "rb") as f:
-        data = f.read()
-    found = mbox.envelopes(data, offset)
-    if not found or found[0].envelope_start != offset:
-        raise ValueError(f"no message at {locator}")
-    return mbox.unescape(data[found[0].body_start : found[0].end])
+    with Reader() as reader:
+        return reader.read(locator)
 
 
 def fetch(pairs: DataFrame) -> DataFrame:
     """Raw messages of (source, message_id, locator) rows: with ``raw``, or ``error`` where reading failed.
 
-    Rows of one file are dealt to one task, file by file, so each file is opened in one place.
+    Rows are dealt by file and range of ``FETCH_RANGE`` bytes in it, in the order of their offsets: a task opens a file
+    once for each of its ranges and reads the wanted messages only; a huge file is read by many tasks.
     """
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with Reader() as reader:
+            for b in batches:
+                raw, errors = [], []
+                for where in b["locator"].to_pylist():
+                    try:
+                        raw.append(reader.read(where))
+                        errors.append(None)
+                    except (OSError, ValueError) as e:
+                        raw.append(None)
+                        errors.append(str(e))
+                yield pa.RecordBatch.from_arrays([*(b[c] for c in ("source", "message_id", "locator")), pa.array(raw, pa.binary()), pa.array(errors, pa.string())], ["source", "message_id", "locator", "raw", "error"])
+
+    file = F.regexp_replace("locator", r"#offset=[0-9]+$", "")
+    at = F.coalesce(F.nullif(F.regexp_extract("locator", r"#offset=0*([0-9]{1,18})$", 1), F.lit("")).cast("long"), F.lit(0))
+    dealt = pairs.select("source", "message_id", "locator", file.alias("file"), at.alias("at"))
+    dealt = dealt.repartition("file", F.floor(F.col("at") / FETCH_RANGE)).sortWithinPartitions("file", "at")
+    return dealt.select("source", "message_id", "locator").mapInArrow(read, "source string, message_id string, locator string, raw binary, error string")
+
+
+def fetch_binary(pairs: DataFrame, content: DataFrame) -> DataFrame:
+    """The same from ``binaryFile`` rows (path, content), for stores that only Spark can read."""
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, errors = [], []
-            for where in b["locator"].to_pylist():
+            for where, data in zip(b["locator"].to_pylist(), b["content"], strict=True):
                 try:
-                    raw.append(read_message(where))
+                    raw.append(message_at(pa.BufferReader(data.as_buffer()), mbox.parse_locator(where)[1]) if "#offset=" in where else mbox.emlx_message(data.as_py()))
                     errors.append(None)
-                except (OSError, ValueError) as e:
+                except ValueError as e:
                     raw.append(None)
                     errors.append(str(e))
             yield pa.RecordBatch.from_arrays([*(b[c] for c in ("source", "message_id", "locator")), pa.array(raw, pa.binary()), pa.array(errors, pa.string())], ["source", "message_id", "locator", "raw", "error"])
 
-    dealt = pairs.select("source", "message_id", "locator").withColumn("file", F.regexp_replace("locator", r"#offset=[0-9]+$", ""))
-    dealt = dealt.repartition("file").sortWithinPartitions("locator").drop("file")
-    return dealt.mapInArrow(read, "source string, message_id string, locator string, raw binary, error string")
-
-
+    wanted = pairs.select("source", "message_id", "locator", F.regexp_replace("locator", r"#offset=[0-9]+$", "").alias("path"))
+    return wanted.join(content.select("path", "content"), "path").select("source", "message_id", "locator", "content").mapInArrow(read, "source string, message_id string, locator string, raw binary, error string")
 
 
 def preview_path(message_id: str, ext: str, folder: str | None = None) -> str:
