@@ -47,7 +47,7 @@ def main(argv: list[str] | None = None) -> int:
         stores = dict(x.split("=", 1) for x in a.store) or ({"plain-mbox": settings.root} if settings.root else {})
         with Lock(Path(a.home) / "lock"):
             while True:
-                print(cycle(spark, store, {k: stores[k] for k in preference if k in stores}, encoder, a.mailing_lists))
+                print(cycle(spark, store, {k: stores[k] for k in preference if k in stores}, encoder, a.mailing_lists).report())
                 if a.once:
                     return 0
                 time.sleep(settings.index.poll_seconds)

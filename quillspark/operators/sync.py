@@ -58,21 +58,30 @@ def delete_sources(sources: DataFrame, gone: DataFrame) -> DataFrame:
     return sources.join(gone.select("source", "message_id"), ["source", "message_id"], "left_anti")
 
 
-def insert_sources(sources: DataFrame, new: DataFrame) -> DataFrame:
-    """Appends rows unless (source, message_id) or (source, locator) is taken; ties within ``new``: least id."""
-    columns = ["source", "message_id", "locator"]
+def _free(sources: DataFrame, new: DataFrame) -> DataFrame:
+    """The rows of ``new`` whose (source, message_id) and (source, locator) aren't taken; ties within: least id."""
     one = new.groupBy("source", "message_id").agg(F.min("locator").alias("locator"))
     free = one.join(sources.select("source", "message_id"), ["source", "message_id"], "left_anti").join(sources.select("source", "locator"), ["source", "locator"], "left_anti")
-    single = free.groupBy("source", "locator").agg(F.min("message_id").alias("message_id"))
-    return sources.select(*columns).unionByName(single.select(*columns))
+    return free.groupBy("source", "locator").agg(F.min("message_id").alias("message_id")).select("source", "message_id", "locator")
 
 
-def apply_sources(stored: DataFrame, changes: DataFrame, gates: DataFrame) -> DataFrame:
-    """The source table after a cycle: relocated rows always go first, removed ones if their gate allows."""
+def insert_sources(sources: DataFrame, new: DataFrame) -> DataFrame:
+    """Appends rows unless (source, message_id) or (source, locator) is taken; ties within ``new``: least id."""
+    return sources.select("source", "message_id", "locator").unionByName(_free(sources, new))
+
+
+def source_changes(stored: DataFrame, changes: DataFrame, gates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that go, rows that come): relocated rows always go first, removed ones if their gate allows."""
     allowed = gates.filter("allow").select("source")
     removed = changes.filter(F.col("change") == "removed").join(allowed, "source", "left_semi")
     gone = removed.select("source", "message_id").unionByName(changes.filter(F.col("change") == "relocated").select("source", "message_id"))
-    return insert_sources(delete_sources(stored, gone), changes.filter(F.col("change").isin("new", "relocated")))
+    return gone, _free(delete_sources(stored, gone), changes.filter(F.col("change").isin("new", "relocated")))
+
+
+def apply_sources(stored: DataFrame, changes: DataFrame, gates: DataFrame) -> DataFrame:
+    """The source table after a cycle."""
+    gone, more = source_changes(stored, changes, gates)
+    return delete_sources(stored, gone).select("source", "message_id", "locator").unionByName(more)
 
 
 def gc_emails(emails: DataFrame, sources: DataFrame) -> DataFrame:

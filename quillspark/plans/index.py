@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +18,24 @@ from quillspark.sources import mail
 
 @dataclass
 class Summary:
+    """What a store holds after a cycle, and what the cycle did."""
+
     emails: int
     sources: int
     vectors: int
+    new: int = 0
+    removed: int = 0
+    embedded: int = 0
+    pending: int = 0
+    seconds: float = 0.0
+    store_bytes: int = 0
+
+    def report(self) -> str:
+        share = 100 * self.vectors / (self.vectors + self.pending) if self.vectors + self.pending else 100
+        return (
+            f"{self.new} new, {self.removed} removed, {self.embedded} embedded in {self.seconds:.1f} s; "
+            f"{self.emails} messages from {self.sources} places, {share:.0f} % embedded, {self.store_bytes / 1e6:.1f} MB"
+        )
 
 
 def parsed(fresh: DataFrame) -> DataFrame:
@@ -36,42 +52,54 @@ def parsed(fresh: DataFrame) -> DataFrame:
     )
 
 
-def reconcile(store: Store, pairs: DataFrame, status: DataFrame, preference: list[str]) -> None:
-    """Brings the catalogue in line with a scan. The anti-join stands below the parse, so only new messages are read."""
+def reconcile(store: Store, pairs: DataFrame, status: DataFrame, preference: list[str]) -> int:
+    """Brings the catalogue in line with a scan; returns how many messages are new.
+
+    The scan is read once. The anti-join stands below the parse, so only new messages are read, and each once: their
+    rows are committed before the sources that name them, and messages that couldn't be read are those without a row.
+    """
     emails, sources = store.read("emails"), store.read("email_sources")
-    scanned = sync.last_wins(pairs)
+    status = store.staged(status, "status")
+    scanned = store.staged(sync.last_wins(pairs), "scan")
     seen = scanned.select("source").distinct().union(status.select("source").distinct()).distinct()
     stored = sources.join(seen, "source", "left_semi")  # sources that weren't scanned are left alone
-    changes = sync.diff(scanned, stored)
+    changes = store.staged(sync.diff(scanned, stored), "changes")
     gates = sync.gate(changes, sync.scan_complete(status))
-    _, fresh = sync.known_split(changes.filter(F.col("change").isin("new", "relocated")), emails)
-    new = parsed(sync.first_body_wins(fresh, preference))
-    bodies = emails.unionByName(new)
+    moved = changes.filter(F.col("change").isin("new", "relocated"))
+    _, fresh = sync.known_split(moved, emails)
+    new, _ = store.commit(add={"emails": parsed(sync.first_body_wins(fresh, preference))})["emails"]
     # a message whose body couldn't be read gets no source row either, so the next cycle tries it again
-    failed = changes.filter(F.col("change").isin("new", "relocated")).join(bodies.select("message_id"), "message_id", "left_anti")
+    failed = moved.join(store.known_ids(), "message_id", "left_anti")
     usable = changes.join(failed.select("source", "message_id"), ["source", "message_id"], "left_anti")
-    after = sync.apply_sources(sources, usable, gates)
-    store.commit(emails=bodies, email_sources=after)
+    gone, more = sync.source_changes(sources, usable, gates)
+    store.commit(gone={"email_sources": gone}, add={"email_sources": more})
+    return new
 
 
-def collect_garbage(store: Store) -> None:
+def collect_garbage(store: Store) -> int:
     """Drops messages that no source has, and their vectors, in one commit; runs once all sources are reconciled."""
-    emails = sync.gc_emails(store.read("emails"), store.read("email_sources"))
-    store.commit(emails=emails, email_vectors=sync.gc_vectors(store.read("email_vectors"), emails))
+    orphans = sync.orphans(store.read("emails"), store.read("email_sources"))
+    return store.commit(gone={"emails": orphans, "email_vectors": orphans})["emails"][1]
 
 
-def embed_pending(store: Store, encoder: E.Encoder, mailing_lists: bool = False) -> None:
+def embed_pending(store: Store, encoder: E.Encoder, mailing_lists: bool = False) -> int:
+    """Embeds what has no vector yet, then marks what has one; a crash between the two is made good by the next run."""
     emails, vectors = store.read("emails"), store.read("email_vectors")
-    new = E.embed(E.pending(emails, vectors, mailing_lists), encoder)
-    store.commit(email_vectors=vectors.unionByName(new))
-    store.commit(emails=E.mark_embedded(store.read("emails"), store.read("email_vectors")))
+    n, _ = store.commit(add={"email_vectors": E.embed(E.pending(emails, vectors, mailing_lists), encoder)})["email_vectors"]
+    unmarked = emails.filter("NOT embedded").join(store.read("email_vectors").select("id"), "id", "left_semi")
+    marked = store.staged(unmarked.withColumn("embedded", F.lit(True)), "marked")
+    store.commit(gone={"emails": marked}, add={"emails": marked})
+    return n
 
 
 def cycle(spark: SparkSession, store: Store, stores: dict[str, str], encoder: E.Encoder, mailing_lists: bool = False) -> Summary:
     """Scans ``stores`` (source to path, in order of preference) and brings everything up to date."""
+    began, before = time.monotonic(), store.parts()
     pairs, status = mail.scan(spark, stores)
-    reconcile(store, pairs, status, list(stores))
-    collect_garbage(store)
-    embed_pending(store, encoder, mailing_lists)
+    new = reconcile(store, pairs, status, list(stores))
+    removed = collect_garbage(store)
+    embedded = embed_pending(store, encoder, mailing_lists)
+    store.vacuum(but=before)  # a search that began before this cycle still finds its parts
     counts = store.counts()
-    return Summary(counts["emails"], counts["email_sources"], counts["email_vectors"])
+    pending = E.count_unembedded(store.read("emails"), mailing_lists).first().n
+    return Summary(counts["emails"], counts["email_sources"], counts["email_vectors"], new, removed, embedded, pending, time.monotonic() - began, store.size())

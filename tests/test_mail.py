@@ -131,9 +131,16 @@ def test_cycles(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     once = cycle(spark, store, stores, enc)
     assert (once.emails, once.sources, once.vectors) == (20, 20, 20)
-    assert cycle(spark, store, stores, enc) == once
+    assert (once.new, once.removed, once.embedded, once.pending) == (20, 0, 20, 0) and once.store_bytes > 0
+    assert "20 new" in once.report() and "100 % embedded" in once.report()
+    before = store.parts()
+    again = cycle(spark, store, stores, enc)
+    assert (again.emails, again.new, again.removed, again.embedded) == (20, 0, 0, 0)
+    assert store.parts() == before  # nothing changed, nothing written
     (box / "a").write_bytes(b"".join(_message(i) for i in range(1, 20)))  # one of twenty goes, all others move
-    assert cycle(spark, store, stores, enc).emails == 19
+    after = cycle(spark, store, stores, enc)
+    assert (after.emails, after.new, after.removed) == (19, 0, 1)
+    assert [kind for kind, _ in store.parts()["emails"]].count("add") == len([1 for kind, _ in before["emails"] if kind == "add"])  # bodies weren't written again
     # most go: refused; but the one left now has the place of a row that stays, so it loses its own
     (box / "a").write_bytes(_message(3))
     assert cycle(spark, store, stores, enc).emails == 18
@@ -160,6 +167,78 @@ def test_sources(spark, tmp_path):
     assert raw["id3@x"].endswith(b"zebra3\n\n")
     with pytest.raises(ValueError):
         mail.read_message(mbox.locator(str(box / "a"), 3))
+    back = {r.message_id: bytes(r.raw) for r in mail.fetch_binary(mail.list_binary(binary, "plain-mbox"), binary).collect()}
+    assert back == raw
+    broken = spark.createDataFrame([("plain-mbox", "x", mbox.locator(str(box / "a"), 10**9)), ("plain-mbox", "y", str(box / "none") + "#offset=0")], "source string, message_id string, locator string")
+    assert all(r.raw is None and r.error for r in mail.fetch(broken).collect())
+
+
+def test_fetch_reads_what_it_needs(tmp_path):
+    """One open per file, and no more than the wanted messages and a block after each."""
+    import io
+
+    body = b"".join(_message(i) + b"z" * 5000 + b"\n>From me\n\n" for i in range(1000))
+    (tmp_path / "a").write_bytes(body)
+    starts = [e.envelope_start for e in mbox.envelopes(body)]
+    opened, read = [], []
+
+    class Counted(io.FileIO):
+        def read(self, n=-1):
+            data = super().read(n)
+            read.append(len(data))
+            return data
+
+    def opener(path):
+        opened.append(path)
+        return Counted(path)
+
+    wanted = starts[100:900:100]
+    with mail.Reader(opener) as reader:
+        got = [reader.read(mbox.locator(str(tmp_path / "a"), s)) for s in wanted]
+    assert [g.split(b"@x")[0] for g in got] == [b"Message-ID: <id%d" % i for i in range(100, 900, 100)]
+    assert all(g.endswith(b"\nFrom me\n\n") for g in got)
+    assert len(opened) == 1 and sum(read) <= len(wanted) * mail.READ_BLOCK < len(body) / 4
+    for small in (7, 64, 5000):  # whatever the block, the same message
+        old, mail.READ_BLOCK = mail.READ_BLOCK, small
+        try:
+            with mail.Reader() as reader:
+                assert reader.read(mbox.locator(str(tmp_path / "a"), starts[3])) == mail.read_message(mbox.locator(str(tmp_path / "a"), starts[3])) == mbox.unescape(body[mbox.envelopes(body)[3].body_start : starts[4]])
+                assert reader.read(mbox.locator(str(tmp_path / "a"), starts[-1])).endswith(b"From me\n\n")
+        finally:
+            mail.READ_BLOCK = old
+
+
+def test_emlx_id_far_down(spark, tmp_path):
+    """In an .emlx file the whole header is searched, however long."""
+    message = b"X-Long: " + b"y" * 70_000 + b"\nMessage-ID: <far@x>\n\nbody\n"
+    (tmp_path / "1.emlx").write_bytes(b"%d\n" % len(message) + message)
+    pairs, status = mail.scan(spark, {"apple-mail": str(tmp_path)})
+    assert [r.message_id for r in pairs.collect()] == ["far@x"] and status.first().ok
+
+
+def test_store_parts(spark, tmp_path, monkeypatch):
+    """Rows come and go in parts; many parts become one; old ones stay for readers until the vacuum."""
+    import quillspark.plans.store as store_module
+
+    store = Store(spark, str(tmp_path / "s"))
+    row = lambda *ids: spark.createDataFrame([("s", f"m{i}", f"l{i}") for i in ids], "source string, message_id string, locator string")
+    ids = lambda: sorted(int(r.message_id[1:]) for r in store.read("email_sources").collect())
+    assert ids() == [] and store.size() == 0
+    assert store.commit(add={"email_sources": row(1, 2, 3)}) == {"email_sources": (3, 0)}
+    assert store.commit(gone={"email_sources": row(2, 9)}, add={"email_sources": row(4)}) == {"email_sources": (1, 2)}
+    assert ids() == [1, 3, 4]
+    assert store.commit(add={"email_sources": row(2)}) == {"email_sources": (1, 0)} and ids() == [1, 2, 3, 4]
+    assert store.commit(gone={"email_sources": row(1)}, add={"email_sources": row(1)}) and ids() == [1, 2, 3, 4]
+    at = store.parts()
+    assert store.commit(add={"email_sources": row().limit(0)}) == {"email_sources": (0, 0)} and store.parts() == at
+    old = store.read("email_sources")
+    monkeypatch.setattr(store_module, "MAX_PARTS", 3)
+    store.commit(gone={"email_sources": row(4)})
+    assert ids() == [1, 2, 3] and len(store.parts()["email_sources"]) == 1
+    store.vacuum(but=at)
+    assert old.count() == 4
+    store.vacuum()
+    assert ids() == [1, 2, 3] and len(list((tmp_path / "s" / "email_sources").iterdir())) == 1
 
 
 def test_connectors(spark, tmp_path):
