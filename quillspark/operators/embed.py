@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator, Sequence
 from typing import Protocol
@@ -41,6 +42,44 @@ class HashingEncoder:
         return np.divide(out, norm, out=out, where=norm > 0).astype(np.float32)
 
 
+@functools.cache
+def _tokenizer(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+class TokenEncoder:
+    """Signed hashing of token ids under a public vocabulary file: a stand-in with a real encoder's token handling.
+
+    A text's ids are cut to the budget less two and set between ``start`` and ``end``; a batch is as wide as its longest
+    text. The vector is the state at a text's last token, here the sum over all its tokens, at unit length.
+    """
+
+    def __init__(self, path: str, start: int = 0, end: int = 0, dim: int = 768, max_tokens: int = MAX_TOKENS) -> None:
+        self.path, self.start, self.end, self.dim, self.max_tokens = path, start, end, dim, max_tokens
+
+    def tokens(self, text: str) -> list[int]:
+        ids = _tokenizer(self.path).encode(text, add_special_tokens=False).ids
+        return [self.start, *ids[: self.max_tokens - 2], self.end]
+
+    def longest(self, texts: Sequence[str]) -> int:
+        """The most tokens of a text in a batch: how wide its context must be."""
+        return max((len(self.tokens(t)) for t in texts), default=0)
+
+    def encode(self, texts: Sequence[str]) -> np.ndarray:
+        rows = [self.tokens(t) for t in texts]
+        grid = np.full((len(rows), max(map(len, rows), default=0)), -1, dtype=np.int64)
+        for line, ids in zip(grid, rows, strict=True):
+            line[: len(ids)] = ids
+        out = np.zeros((len(rows), self.dim))
+        at, col = np.nonzero(grid >= 0)
+        codes = (grid[at, col] + 1) * 0x9E3779B1 & 0xFFFFFFFF
+        np.add.at(out, (at, (codes >> 8) % self.dim), np.where(codes & 0x80, 1.0, -1.0))
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        return np.divide(out, norm, out=out, where=norm > 0).astype(np.float32)
+
+
 def embed_query(encoder: Encoder, text: str) -> list[float]:
     return encoder.encode([QUERY + text])[0].tolist()
 

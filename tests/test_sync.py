@@ -71,6 +71,7 @@ def test_pick_source(spark):
     sources = spark.createDataFrame([("b", "m", "1"), ("a", "m", "2"), ("z", "n", "3")], SRC)
     assert rows(S.pick_source(sources, ["b"])) == [("m", "b", "1"), ("n", "z", "3")]
     assert rows(S.pick_source(sources, [])) == [("m", "a", "2"), ("n", "z", "3")]
+    assert rows(S.pick_source(sources, ["b"], ["a", "b"])) == [("m", "b", "1")]
 
 
 def test_embedding(spark):
@@ -83,6 +84,49 @@ def test_embedding(spark):
     assert abs(sum(x * x for x in done.first().embedding) - 1) < 1e-5
 
 
+def test_token_encoder():
+    import public_tokenizers
+
+    enc = E.TokenEncoder(public_tokenizers.path("byte_bpe_50k.json"), start=7, end=9, dim=32, max_tokens=20)
+    texts = ["one two", "one two", "a much longer text " * 30, ""]
+    assert enc.tokens("")[0] == 7 and enc.tokens("")[-1] == 9 and len(enc.tokens("")) == 2
+    assert [len(enc.tokens(t)) for t in texts[1:3]] == [4, 20] and enc.longest(texts) == 20 and enc.longest([]) == 0
+    v = enc.encode(texts)
+    assert v.shape == (4, 32) and (v[0] == v[1]).all() and not (v[0] == v[2]).all()
+    assert abs((v * v).sum(axis=1) - 1).max() < 1e-5
+    # a text's vector doesn't depend on what stands beside it
+    assert (enc.encode(texts[:1])[0] == v[0]).all()
+
+
+def test_search_batch_against_all_pairs(spark):
+    """Blocks of every size; equal vectors tie by id; vectors of zeros; a third of the rows equal."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    data = [rng.normal(size=6).astype("float32") for _ in range(90)] + [np.ones(6, "float32")] * 45 + [np.zeros(6, "float32")]
+    vectors = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "id long, embedding array<float>").repartition(3)
+    queries = spark.createDataFrame([(i, [float(x) for x in data[i]]) for i in range(0, 136, 5)] + [(999, None)], "query_id long, query array<float>")
+
+    def distance(a, b):
+        n = float(np.sqrt((a.astype("f8") ** 2).sum() * (b.astype("f8") ** 2).sum()))
+        return 1 - float(a.astype("f8") @ b.astype("f8")) / n if n else 1.0
+
+    want = {}
+    for q in range(0, 136, 5):
+        best = sorted((round(distance(data[q], v), 9), i) for i, v in enumerate(data))[:7]
+        want[q] = [i for _, i in best]
+    for size, block in ((S.BLOCK_BYTES, S.QUERY_BLOCK), (24 * 10, 4)):
+        old = S.BLOCK_BYTES, S.QUERY_BLOCK
+        S.BLOCK_BYTES, S.QUERY_BLOCK = size, block
+        try:
+            got = {}
+            for r in S.search_batch(vectors, queries, 7).orderBy("query_id", "rank").collect():
+                got.setdefault(r.query_id, []).append(r.id)
+        finally:
+            S.BLOCK_BYTES, S.QUERY_BLOCK = old
+        assert got == want
+
+
 def test_dedup_stream(spark, tmp_path):
     from quillspark.streaming.poll import upsert_first
 
