@@ -7,6 +7,7 @@ vectors, ``pages`` for HTML bodies, ``conversations`` for scan order. Marks that
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,7 @@ from quillspark.functions.text import INVISIBLE
 from quillspark.operators import embed as E
 from quillspark.operators import search as S
 from quillspark.operators import sync
+from quillspark.sources import mail
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -93,13 +95,13 @@ def semantic_search_rerank(spark, sf_dir):
 @_query(
     "search_batch_queries",
     """
-WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 5),
+WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0),
 a AS (SELECT q.query_id, e.vec_id AS id, 1 - list_cosine_similarity(e.embedding::DOUBLE[], q.v) AS distance FROM embeddings e, q),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank FROM a)
 SELECT query_id, id, round(distance, 6) + 0.0 AS distance, rank FROM r WHERE rank <= 5""",
 )
 def search_batch_queries(spark, sf_dir):
-    queries = _table(spark, sf_dir, "embeddings").filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    queries = _table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return S.search_batch(vectors(spark, sf_dir), queries, 5).withColumn("distance", F.round("distance", 6))
 
 
@@ -225,15 +227,21 @@ def sync_delete_sources(spark, sf_dir):
     return sync.delete_sources(stored, stored.filter("source = 'src5'"))
 
 
-@_query("source_scan", f"SELECT message_id, locator FROM ({STORED}) WHERE source = 'src3'")
+def _by_source(rows: DataFrame) -> DataFrame:
+    """The scans of all sources that ``rows`` names, one after the other."""
+    names = sorted(r[0] for r in rows.filter("source IS NOT NULL").select("source").distinct().collect())  # a store has a few sources
+    parts = [rows.filter(F.col("source") == name) for name in names]
+    return functools.reduce(DataFrame.unionByName, parts) if parts else rows
+
+
+@_query("source_scan", f"SELECT source, message_id, locator FROM ({STORED}) WHERE source IS NOT NULL")
 def source_scan(spark, sf_dir):
-    return _stored(spark, sf_dir).filter(F.col("source") == "src3").select("message_id", "locator")
+    return _by_source(_stored(spark, sf_dir)).select("source", "message_id", "locator")
 
 
-@_query("source_scan_union", f"SELECT source, message_id, locator FROM ({SCANNED}) WHERE source = 'src1' UNION ALL SELECT source, message_id, locator FROM ({SCANNED}) WHERE source = 'src2'")
+@_query("source_scan_union", f"SELECT source, message_id, locator FROM ({SCANNED}) WHERE source IS NOT NULL")
 def source_scan_union(spark, sf_dir):
-    s = _scanned(spark, sf_dir)
-    return s.filter("source = 'src1'").unionByName(s.filter("source = 'src2'"))
+    return _by_source(_scanned(spark, sf_dir)).select("source", "message_id", "locator")
 
 
 @_query("gc_orphans", f"SELECT d.doc_id AS id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM ({STORED}) s WHERE s.message_id = 'm' || d.doc_id)")
@@ -286,10 +294,10 @@ def embed_batch(spark, sf_dir):
     return E.next_batch(emails(spark, sf_dir)).select("id", "body_length", C.embed_input().alias("input"))
 
 
-@_query("embed_pending", "SELECT doc_id AS id, 64 AS dim FROM documents d WHERE lang <> 'de' AND NOT EXISTS (SELECT 1 FROM embeddings v WHERE v.vec_id = d.doc_id)")
+@_query("embed_pending", "SELECT doc_id AS id, 64 AS dim, 1.0::DOUBLE AS norm FROM documents d WHERE lang <> 'de' AND NOT EXISTS (SELECT 1 FROM embeddings v WHERE v.vec_id = d.doc_id)")
 def embed_pending(spark, sf_dir):
     todo = E.pending(emails(spark, sf_dir), vectors(spark, sf_dir))
-    return E.embed(todo, E.HashingEncoder(64)).select("id", F.size("embedding").alias("dim"))
+    return E.embed(todo, E.HashingEncoder(64)).select("id", F.size("embedding").alias("dim"), F.round(C.l2_norm("embedding"), 4).alias("norm"))
 
 
 @_query("mark_embedded", "SELECT doc_id AS id, EXISTS (SELECT 1 FROM embeddings v WHERE v.vec_id = d.doc_id) AS embedded FROM documents d")
@@ -323,7 +331,7 @@ _scalar("bare_address", f"CASE WHEN doc_id % 3 = 0 THEN concat('  a', {ID}, '@x.
 _scalar("preview", "text", lambda t: C.preview(t, 118), "replace(left(t, 118), chr(10), ' ')")
 _scalar("locator_parse", f"concat('/a#b/', source, '#offset=', {ID})", lambda t: F.concat(C.locator_parts(t)["path"], F.lit("|"), C.locator_parts(t)["offset"]), "regexp_extract(t, '^(.*)#offset=([0-9]+)$', 1) || '|' || regexp_extract(t, '^(.*)#offset=([0-9]+)$', 2)")
 _scalar("open_url", f"concat('id', {ID}, '@x')", lambda t: F.concat_ws(" ", C.open_url(F.lit("apple-mail"), t), C.open_url(F.lit("thunderbird"), t)), "'message://%3C' || t || '%3E mid:' || t")
-_scalar("xml_escape", "concat(left(text, 200), '<a href=\"x\">&''')", C.xml_escape, "replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '''', '&apos;'), '\"', '&quot;')")
+_scalar("xml_escape", "concat(text, '<a href=\"x\">&''')", C.xml_escape, "replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '''', '&apos;'), '\"', '&quot;')")
 _scalar("unix_lines", f"replace(text, {NL}, concat(chr(13), {NL}))", C.unix_lines, "replace(t, chr(13) || chr(10), chr(10))")
 _scalar("url_strip", f"concat(text, ' (https://ex.com/', {ID}, ') see http://a.b/c?d=', {ID}, '> end http://')", C.strip_urls, "regexp_replace(regexp_replace(t, 'https://[^ \\t\\n\\f\\r>\")]*', '', 'g'), 'http://[^ \\t\\n\\f\\r>\")]+', '', 'g')")
 _scalar("empty_parens", f"concat(text, ' ( ', {NL}, ') x (y) () ', {ID})", C.strip_empty_parens, "regexp_replace(t, '\\([ \\t\\n\\f\\r]*\\)', '', 'g')")
@@ -353,8 +361,8 @@ _scalar(
     C.moz_deleted,
     "regexp_extract(t, 'Status: ([0-9a-f]+)', 1) = '0009' OR contains(t, '00810000')",
 )
-_scalar("pgp_strip", f"concat('-----BEGIN PGP SIGNED MESSAGE-----', {NL}, 'Hash: x', {NL}, {NL}, left(text, 50), {NL}, '-----BEGIN PGP SIGNATURE-----', {NL}, 'abc', {NL}, '-----END PGP SIGNATURE-----', {NL}, {ID})", U.strip_pgp, "left(replace(t, '-----BEGIN PGP SIGNED MESSAGE-----' || chr(10) || 'Hash: x' || chr(10) || chr(10), ''), 51) || doc_id")
-SQL["pgp_strip"] = f"SELECT doc_id, concat(left(text, 50), chr(10), {ID}) AS out FROM documents"
+_scalar("pgp_strip", f"concat('-----BEGIN PGP SIGNED MESSAGE-----', {NL}, 'Hash: x', {NL}, {NL}, text, {NL}, '-----BEGIN PGP SIGNATURE-----', {NL}, 'abc', {NL}, '-----END PGP SIGNATURE-----', {NL}, {ID})", U.strip_pgp, None)
+SQL["pgp_strip"] = f"SELECT doc_id, concat(text, {NL}, {ID}) AS out FROM documents"
 DIRTY = f"concat(replace(text, ' the ', '  the ('), ' https://ex.com/', {ID}, ')', {NL}, '> q', {NL}, {NL}, {NL}, 'On T, N wrote:', {NL}, {NL}, 'end ')"
 _scalar("clean_text", DIRTY, U.clean_text, None)
 _scalar("clean_text_native", DIRTY, C.clean_body, None)
@@ -407,9 +415,94 @@ def peek_message_id(spark, sf_dir):
     return d.select("doc_id", U.peek_message_id(_raw(d)).alias("message_id"))
 
 
-@_query("mbox_envelopes", "SELECT doc_id, 2 AS n, (strlen(text) + 12)::BIGINT AS second FROM documents")
+STARTS = "len(regexp_extract_all(text, '(^|\\n)From '))"
+
+
+@_query("mbox_envelopes", f"SELECT doc_id, ({STARTS} + 2)::INTEGER AS n, (strlen(text) + 13)::BIGINT AS last FROM documents")
 def mbox_envelopes(spark, sf_dir):
     d = _table(spark, sf_dir, "documents")
-    data = F.encode(F.concat(F.lit("From a\nx: y\n"), F.replace("text", F.lit("From "), F.lit("from ")), F.lit("\nFrom b\n\nz")), "UTF-8")
+    data = F.encode(F.concat(F.lit("From a\nx: y\n"), "text", F.lit("\nFrom b\n\nz")), "UTF-8")
     e = d.select("doc_id", U.envelopes(data).alias("e"))
-    return e.select("doc_id", F.size("e").alias("n"), (F.col("e")[1]["envelope_start"] - 1).alias("second"))
+    return e.select("doc_id", F.size("e").alias("n"), F.element_at("e", -1)["envelope_start"].alias("last"))
+
+
+# ---- whole mailboxes, made of the documents: 20 in a file ----
+
+BOX = 20
+#: Flags are looked for in the first 256 bytes, and only if those are whole characters; so the headers are longer.
+HEADERS = f"concat('X-Mozilla-Status: ', CASE WHEN doc_id % 6 = 0 THEN '0009' ELSE '0001' END, {NL}, 'Message-ID: <m', {ID}, '@x>', {NL}, 'X-Pad: ', repeat('p', 256), {NL}, {NL})"
+TOLD = f"concat('From x', {NL}, {HEADERS}, QUOTED, {NL}, {NL})"
+#: Lines that begin with any number of > and "From " get one more >.
+DUCK_TOLD = TOLD.replace("QUOTED", r"regexp_replace(text, '(^|\n)(>*From )', '\1>\2', 'g')")
+BOXES_SQL = f"""WITH t AS (SELECT doc_id, text, concat('/box/', doc_id // {BOX}) AS path, {DUCK_TOLD} AS told FROM documents),
+o AS (SELECT *, coalesce(sum(strlen(told)) OVER (PARTITION BY path ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS began FROM t)"""
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents").withColumn("quoted", F.regexp_replace("text", r"(^|\n)(>*From )", "$1>$2"))
+    d = d.select("doc_id", F.expr(TOLD.replace("QUOTED", "quoted")).alias("told"))
+    files = d.groupBy(F.floor(F.col("doc_id") / BOX).alias("box")).agg(F.sort_array(F.collect_list(F.struct("doc_id", "told"))).alias("m"))  # BOX messages each
+    return files.select(F.concat(F.lit("/box/"), "box").alias("path"), F.encode(F.array_join(F.transform("m", lambda x: x["told"]), ""), "UTF-8").alias("content"))
+
+
+@_query("mbox_listing", f"{BOXES_SQL} SELECT 'm' || doc_id || '@x' AS message_id, path, began AS \"offset\", path || '#offset=' || began AS locator FROM o WHERE doc_id % 6 <> 0")
+def mbox_listing(spark, sf_dir):
+    return mail.list_binary(_boxes(spark, sf_dir), "thunderbird").select("message_id", "path", "offset", "locator")
+
+
+@_query("mbox_fetch", f"SELECT 'm' || doc_id || '@x' AS message_id, sha256(concat({HEADERS}, text, {NL}, {NL})) AS raw_sha256, NULL::VARCHAR AS error FROM documents")
+def mbox_fetch(spark, sf_dir):
+    """Every message found in the mailboxes, read back by its locator."""
+    boxes = _boxes(spark, sf_dir)
+    found = mail.fetch_binary(mail.list_binary(boxes, "plain-mbox"), boxes)
+    return found.select("message_id", F.sha2("raw", 256).alias("raw_sha256"), "error")
+
+
+# ---- HTML, entities and MIME with known answers ----
+
+
+def _known(name: str, made: str, kernel: Callable[[Column], Column], answer: str) -> None:
+    _scalar(name, made, kernel, None)
+    SQL[name] = f"SELECT doc_id, {answer} AS out FROM documents"
+
+
+_known(
+    "html_page",
+    "concat('<html><head><title>T</title><style>b{}</style></head><body><!-- note --><p>Dear ', lang, '</p><script>x()</script><blockquote>old words</blockquote>"
+    "<div class=\"a Mobile-Hide\">secret</div><table><tr><th>Item</th><th>No</th></tr><tr><td>', source, '</td><td>', doc_id, '</td></tr></table><p>one<br>two &amp; three</p></body></html>')",
+    U.html_text,
+    f"concat('Dear ', lang, {NL}, {NL}, 'Item: ', source, ', No: ', doc_id, {NL}, 'one', {NL}, 'two & three')",
+)
+_known(
+    "html_tables",
+    "concat('<p>Dear ', lang, '</p><table><tr><td>State:</td><td>', source, '</td></tr><tr><td>No</td><td>', doc_id, '</td></tr></table><table><thead><tr><th>A</th><th>B</th></tr></thead>"
+    "<tr><td>x', doc_id, '</td><td></td></tr><tfoot><tr><td>Sum:</td><td>', doc_id, '</td></tr></tfoot></table><div data-sonar-role=\"footer\">f</div><p>end</p>')",
+    U.html_text,
+    f"concat('Dear ', lang, {NL}, {NL}, 'State: ', source, {NL}, 'No: ', doc_id, {NL}, {NL}, 'A: x', doc_id, {NL}, 'Sum: ', doc_id, {NL}, 'end')",
+)
+_known("entities", "concat('A&amp;B &#65;&#x42; &eacute; &nosuch; &shy;x &lt ', doc_id)", U.clean_text, "concat('A&B AB é &nosuch; x &lt ', doc_id)")
+
+
+@_query(
+    "mime_multipart",
+    "SELECT doc_id, 'm' || doc_id || '@x' AS message_id, (doc_id % 60)::BIGINT AS date, 'Jö <u' || doc_id || '@x>' AS sender, 'b' || doc_id || '@x' AS recipient, source AS subject, 'rich ' || lang AS body_text, doc_id % 2 = 0 AS mailing_list FROM documents",
+)
+def mime_multipart(spark, sf_dir):
+    """Two alternatives, encoded words, a date from Received, a list's mark on every second message."""
+    d = _table(spark, sf_dir, "documents")
+    parts = (
+        F.lit("Message-ID: <m"), "doc_id", F.lit("@x>\nFrom: =?utf-8?q?J=C3=B6?= <u"), "doc_id", F.lit("@x>\nTo: b"), "doc_id",
+        F.lit("@x\nSubject: =?utf-8?b?"), F.base64(F.encode("source", "UTF-8")),
+        F.lit("?=\nReceived: from a by b; Thu, 01 Jan 1970 00:00:"), F.lpad((F.col("doc_id") % 60).cast("string"), 2, "0"),
+        F.when(F.col("doc_id") % 2 == 0, " +0000\nList-Id: <l.x>\n").otherwise(" +0000\n"),
+        F.lit('Content-Type: multipart/alternative; boundary="BB"\n\n--BB\nContent-Type: text/plain; charset=utf-8\n\nplain\n--BB\nContent-Type: text/html; charset=utf-8\n\n<p>rich '),
+        "lang", F.lit("</p><blockquote>q</blockquote>\n--BB--\n"),
+    )
+    p = d.select("doc_id", U.parse_message(F.encode(F.concat(*parts), "UTF-8")).alias("p"))
+    return p.select("doc_id", *(f"p.{c}" for c in ("message_id", "date", "sender", "recipient", "subject", "body_text", "mailing_list")))
+
+
+@_query("pick_open_known", f"WITH m AS ({MANY}), r AS (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY {RANKED}, source, locator) AS n FROM m WHERE source IN ('src1', 'src2', 'src3')) SELECT source, message_id, locator FROM r WHERE n = 1")
+def pick_open_known(spark, sf_dir):
+    """The opener with some sources unknown: their rows are passed over."""
+    return S.pick_source(_many(spark, sf_dir), PREFERENCE, ["src1", "src2", "src3"])
