@@ -388,10 +388,9 @@ def covered(parts: DataFrame, length: int = LENGTH, outlives: int = 0) -> DataFr
             twice = stored(windows.groupBy("w").agg(F.sum("c").alias("c")).filter("c > 1").select("w"), "suffix-twice")
             crowded = windows.join(twice.hint("merge"), "w").groupBy("v", "d").agg(F.collect_list("at").alias("at"))
             settled = settled.union(crowded.mapInArrow(_join_windows(length), RANGES))
-        spans = stored(settled, "suffix-spans")
 
         whole = repeated.filter("not mixed").select("h1", "h2", F.col("s").alias("a"), (F.col("s") + F.col("n") + length - 1).alias("b"))
-        mixed = repeated.filter("mixed").join(spans.hint("merge"), ["v", "d"]).select("h1", "h2", "s", F.explode("spans").alias("x"))
+        mixed = repeated.filter("mixed").join(settled.hint("merge"), ["v", "d"]).select("h1", "h2", "s", F.explode("spans").alias("x"))
         mixed = mixed.select("h1", "h2", (F.col("s") + F.col("x.a")).alias("a"), (F.col("s") + F.col("x.b")).alias("b"))
         return stored(whole.union(mixed).groupBy("h1", "h2").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "suffix-covered", outlives + 1)
 
