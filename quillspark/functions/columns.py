@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.text import INVISIBLE, OUTLOOK, WHITE
 
-_WHITE = f"[{WHITE}]"
+_DIGITS = "0123456789"
 
 
 def _col(value: Column | str) -> Column:
@@ -21,12 +21,12 @@ def _col(value: Column | str) -> Column:
 
 
 def unicode_trim(text: Column | str) -> Column:
-    return F.regexp_replace(_col(text), f"^{_WHITE}+|{_WHITE}+\\z", "")
+    return F.btrim(_col(text), F.lit(WHITE))
 
 
 def message_id(text: Column | str) -> Column:
     """Angle brackets and spaces trimmed off both ends; null if nothing is left."""
-    return F.nullif(F.regexp_replace(_col(text), "^[<> ]+|[<> ]+\\z", ""), F.lit(""))
+    return F.nullif(F.btrim(_col(text), F.lit("<> ")), F.lit(""))
 
 
 def unix_lines(text: Column | str) -> Column:
@@ -51,7 +51,7 @@ def strip_footer(text: Column | str) -> Column:
 
 
 def _is_attribution(line: Column) -> Column:
-    return line.startswith("On ") & (F.octet_length(line) <= 200) & F.regexp_replace(line, f"{_WHITE}+\\z", "").endswith(" wrote:")
+    return line.startswith("On ") & (F.octet_length(line) <= 200) & F.rtrim(line, F.lit(WHITE)).endswith(" wrote:")
 
 
 def _is_blank(line: Column) -> Column:
@@ -71,7 +71,7 @@ def strip_attribution(text: Column | str) -> Column:
 
         def line(x: Column, i: Column) -> Column:
             # a blank line goes only if the line before is an attribution
-            eaten = (i > 0) & _is_blank(x) & _is_attribution(F.get(lines, i - 1))
+            eaten = (i > 0) & _is_attribution(F.get(lines, i - 1)) & _is_blank(x)
             whole = F.when(i < n - 1, F.concat(x, F.lit("\n"))).otherwise(x)
             return F.when(_is_attribution(x) | eaten, "").otherwise(whole)
 
@@ -81,7 +81,12 @@ def strip_attribution(text: Column | str) -> Column:
 
 
 def _reflows(line: Column) -> Column:
-    return ~_is_blank(line) & ~line.rlike("^(  |\t)") & ~line.rlike(f"^{_WHITE}*([-*>#|+=_]|[0-9]+[.)])")
+    """Neither blank, nor indented, nor a list item or the like; told from the line's first characters."""
+    indented = line.startswith("  ") | line.startswith("\t")
+    text = F.ltrim(line, F.lit(WHITE))
+    first = F.left(text, F.lit(1))
+    numbered = first.between("0", "9") & F.left(F.ltrim(text, F.lit(_DIGITS)), F.lit(1)).isin(".", ")")
+    return ~indented & (first != "") & ~first.isin(*"-*>#|+=_") & ~numbered
 
 
 def unwrap(text: Column | str) -> Column:
@@ -91,8 +96,8 @@ def unwrap(text: Column | str) -> Column:
         n = F.size(lines)
 
         def line(x: Column, i: Column) -> Column:
-            following = F.get(lines, i + 1)
-            soft = _reflows(x) & _reflows(following) & (F.char_length(x) >= 50) & ~x.rlike(f"[.!?:;]{_WHITE}*\\z")
+            ends = F.right(F.rtrim(x, F.lit(WHITE)), F.lit(1)).isin(*".!?:;")
+            soft = (F.char_length(x) >= 50) & ~ends & _reflows(x) & _reflows(F.get(lines, i + 1))  # cheap tests first
             return F.when(i == n - 1, x).when(soft, F.concat(x, F.lit(" "))).otherwise(F.concat(x, F.lit("\n")))
 
         return F.array_join(F.transform(lines, line), "")
@@ -120,7 +125,7 @@ def strip_quotes(text: Column | str) -> Column:
 
 
 def collapse_space(text: Column | str) -> Column:
-    return F.regexp_replace(F.regexp_replace(_col(text), r"[ \t]+", " "), r"\n{3,}", "\n\n")
+    return F.regexp_replace(F.regexp_replace(_col(text), r"[ \t]{2,}|\t", " "), r"\n{3,}", "\n\n")
 
 
 def clean_body(text: Column | str) -> Column:
