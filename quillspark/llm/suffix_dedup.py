@@ -5,9 +5,9 @@ fall into runs with one least hash v each, and equal strings lie in runs of equa
 that can be settled apart, whatever documents they come from.
 
 1. Map tasks emit (v, digest of the run's bytes, where) per run; the bytes stay where they are.
-2. A v seen once is done (unless its run could repeat itself). A v whose runs all have one digest is done too: all
-   of it is repeated. Both are decided by one aggregation with map-side partials, so copies fold early.
-3. Of the rest, one snippet of bytes per different digest is fetched and dealt out by v. A task joins whole groups
+2. A v seen once is done, unless its run could repeat itself: one aggregation with map-side partials.
+3. Of the rest, one snippet of bytes per different digest, with how often it occurs, is fetched and dealt out by v, so
+   copies fold early. A task joins whole groups
    into shards of bounded size, builds each shard's suffix array once, and merges the shards: the interleave of
    their sorted suffixes is refined from order h to 2h through the shards' own BWT walks (suffix to suffix h
    later), merging only the different keys of each shard, never sorting suffixes again. Suffixes in one block at
@@ -369,12 +369,11 @@ def covered(parts: DataFrame, length: int = LENGTH, outlives: int = 0) -> DataFr
     """Repeated byte ranges: (h1, h2, spans) of documents given in parts (h1, h2, o, text binary). Stored."""
     with scratch_space():
         runs = stored(parts.filter(F.octet_length("text") >= length).mapInArrow(_emit_runs(length), RUNS), "suffix-runs")
-        groups = runs.groupBy("v").agg(F.count("*").alias("total"), F.min("d").alias("low"), F.max("d").alias("high"), F.max("twice").alias("self"))
-        groups = groups.filter((F.col("total") > 1) | F.col("self")).select("v", ((F.col("low") != F.col("high")) | (F.col("total") == 1)).alias("mixed"))
-        groups = stored(groups, "suffix-groups")  # a table of its own, so that Spark can split a hot v in the join
+        groups = runs.groupBy("v").agg(F.count("*").alias("total"), F.max("twice").alias("self"))
+        groups = stored(groups.filter((F.col("total") > 1) | F.col("self")).select("v"), "suffix-groups")  # a table of its own, so that Spark can split a hot v in the join
         repeated = stored(runs.drop("twice").join(groups.hint("merge"), "v"), "suffix-repeated")
 
-        classes = repeated.filter("mixed").groupBy("v", "d").agg(F.count("*").alias("c"), F.min(F.struct("h1", "h2", "o", "s", "n")).alias("at"))
+        classes = repeated.groupBy("v", "d").agg(F.count("*").alias("c"), F.min(F.struct("h1", "h2", "o", "s", "n")).alias("at"))
         wanted = classes.groupBy("at.h1", "at.h2", "at.o").agg(F.collect_list(F.struct("v", "d", "c", "at.s", "at.n")).alias("wanted"))
         found = parts.join(wanted.hint("merge"), ["h1", "h2", "o"]).select("o", "text", "wanted")
         snippets = stored(found.mapInArrow(_cut_snippets(length), "v long, d long, c long, bytes binary"), "suffix-snippets")
@@ -389,10 +388,9 @@ def covered(parts: DataFrame, length: int = LENGTH, outlives: int = 0) -> DataFr
             crowded = windows.join(twice.hint("merge"), "w").groupBy("v", "d").agg(F.collect_list("at").alias("at"))
             settled = settled.union(crowded.mapInArrow(_join_windows(length), RANGES))
 
-        whole = repeated.filter("not mixed").select("h1", "h2", F.col("s").alias("a"), (F.col("s") + F.col("n") + length - 1).alias("b"))
-        mixed = repeated.filter("mixed").join(settled.hint("merge"), ["v", "d"]).select("h1", "h2", "s", F.explode("spans").alias("x"))
-        mixed = mixed.select("h1", "h2", (F.col("s") + F.col("x.a")).alias("a"), (F.col("s") + F.col("x.b")).alias("b"))
-        return stored(whole.union(mixed).groupBy("h1", "h2").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "suffix-covered", outlives + 1)
+        found = repeated.join(settled.hint("merge"), ["v", "d"]).select("h1", "h2", "s", F.explode("spans").alias("x"))
+        found = found.select("h1", "h2", F.struct((F.col("s") + F.col("x.a")).alias("a"), (F.col("s") + F.col("x.b")).alias("b")).alias("span"))
+        return stored(found.groupBy("h1", "h2").agg(F.collect_set("span").alias("spans")), "suffix-covered", outlives + 1)
 
 
 def _regions(length: int):
