@@ -878,3 +878,39 @@ def test_pipeline(spark, tmp_path):
     packed = P.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.collect()} == {1, 3, 6, 7}
     assert [n for n, _ in P.STAGES] == [*left, "packing"]
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls in any column, repeated rows, clashing names, an empty table: every stage has its defined result."""
+    import corpus_pipeline as P
+
+    rng = random.Random(19)
+    word = lambda: "".join(rng.choice(["ba", "ne", "ti", "lo", "ru"]) for _ in range(3))
+    prose = lambda n: " ".join(word() for _ in range(n)) + "."
+    base, passage = prose(200), prose(60)
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, row string, kept int, tag int, fp int, key int, h1 int"
+    extra = ("r", 1, 2, 3, 4, 5)
+    rows = [(1, base), (1, base), (None, base), (2, None), (3, ""), (4, prose(150) + "\n" + passage + "\n" + prose(90)), (5, prose(150) + "\n" + passage + "\n" + prose(90)), (None, prose(120))]
+    rows = [(i, t, None, None if i == 4 else "s", None if t is None else len(t), *extra) for i, t in rows]
+    for name, data in (("some", rows), ("none", [])):
+        here = f"{tmp_path}/{name}"
+        spark.createDataFrame(data, ddl).write.parquet(f"{here}/documents.parquet")
+        docs, left = spark.read.parquet(f"{here}/documents.parquet"), {}
+        for stage, function in P.STAGES[:-1]:
+            out = function(spark, docs, here)
+            assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+            out.write.parquet(f"{here}/{stage}")
+            docs = spark.read.parquet(f"{here}/{stage}")
+            left[stage] = docs.collect()
+        packed = P.run(spark, here)
+        assert packed.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+        if not data:
+            assert packed.count() == 0 and not any(left.values())
+            continue
+        ids = {k: sorted((r.doc_id is None, r.doc_id or 0) for r in v) for k, v in left.items()}
+        assert ids["quality_rules"] == [(False, 1), (False, 1), (False, 4), (False, 5), (True, 0), (True, 0)]
+        assert ids["exact_dedup"] == ids["simhash_near_dedup"] == ids["suffix_array_dedup"] == [(False, 1), (False, 4), (False, 5), (True, 0)]
+        final = {r.doc_id: r for r in left["suffix_array_dedup"]}
+        assert passage not in final[4].text and passage not in final[5].text and final[1].text == base
+        assert all(r.n_chars == len(r.text) and (r.row, r.kept, r.h1) == ("r", 1, 5) for r in final.values())
+        assert {r.doc_id for r in packed.collect()} == {1, 4, 5, None}
