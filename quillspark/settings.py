@@ -25,6 +25,13 @@ def source(name: str) -> str:
     return name
 
 
+def preference(saved: list[str], known: list[str] | None = None) -> list[str]:
+    """Sources in the saved order, those that were never saved after them; names that are no sources are dropped."""
+    known = list(SOURCES) if known is None else known
+    kept = [name for name in dict.fromkeys(saved) if name in known]
+    return kept + [name for name in known if name not in kept]
+
+
 def expand(path: str | None) -> str | None:
     """``~`` and ``~/...`` replaced by the home folder."""
     return os.path.expanduser(path) if path and (path == "~" or path.startswith("~/")) else path

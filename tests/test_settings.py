@@ -22,3 +22,9 @@ def test_errors(tmp_path):
     with pytest.raises(ValueError):
         st.source("nope")
     assert st.expand("~/x") != "~/x" and st.expand("a~") == "a~"
+
+
+def test_preference():
+    assert st.preference([]) == list(st.SOURCES)
+    assert st.preference(["plain-mbox", "gone", "plain-mbox"]) == ["plain-mbox", "apple-mail", "thunderbird"]
+    assert st.preference(["b", "a"], ["a", "b", "c"]) == ["b", "a", "c"]
