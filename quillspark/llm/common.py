@@ -119,6 +119,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what a Python worker is handed at once: texts can be very long."""
+    """Bounds what a Python worker is handed at once: texts can be very long.
+
+    The settings stay: frames are lazy, so there is no moment at which they could be put back. They change how
+    rows are cut into batches in this session, never a result.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 256)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)

@@ -914,3 +914,15 @@ def test_pipeline_edges(spark, tmp_path):
         assert passage not in final[4].text and passage not in final[5].text and final[1].text == base
         assert all(r.n_chars == len(r.text) and (r.row, r.kept, r.h1) == ("r", 1, 5) for r in final.values())
         assert {r.doc_id for r in packed.collect()} == {1, 4, 5, None}
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    from types import SimpleNamespace as Fake
+
+    from quillspark.llm.common import shared_dir
+
+    unset = Fake(getCheckpointDir=lambda: Fake(isDefined=lambda: False))
+    cluster = lambda path: Fake(conf=Fake(get=lambda *_: path), sparkContext=Fake(master="spark://x:7077", _jsc=Fake(sc=lambda: unset)))
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(cluster(None))
+    assert shared_dir(cluster("hdfs://a/b/")) == "hdfs://a/b"
