@@ -1,7 +1,7 @@
 """HTML bodies to text: a small tree builder over the standard tokenizer, then pruning, table folding and output.
 
-Implied end tags are handled for paragraphs, list items, table parts and the head; the standard's foster parenting
-and adoption rules are not.
+Implied end tags are handled for paragraphs, list items, table parts and the head, and what stands in a table outside of its
+cells goes before the table (foster parenting); the standard's adoption rules are not.
 """
 
 from __future__ import annotations
@@ -33,16 +33,21 @@ ENDS = {
     "tfoot": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
     "option": ({"option"}, {"select"}),
 }
+#: Where a table holds nothing but its parts, what those are, and what holds anything.
+ROWS = frozenset("table tbody thead tfoot tr".split())
+PARTS = frozenset("caption col colgroup tbody tfoot thead tr td th".split())
+IN_PLACE = PARTS | frozenset("form script style template".split())
+CELLS = frozenset("caption td th".split())
 _WHITE = re.compile(f"[{WHITE}]+")
 
 
 class Node:
     """An element: its children are elements and strings."""
 
-    __slots__ = ("attrs", "children", "tag")
+    __slots__ = ("attrs", "children", "parent", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str] | None = None) -> None:
-        self.tag, self.attrs, self.children = tag, attrs or {}, []
+        self.tag, self.attrs, self.children, self.parent = tag, attrs or {}, [], None
 
     def elements(self) -> Iterator[Node]:
         """Elements below, in document order."""
@@ -81,6 +86,20 @@ class _Builder(HTMLParser):
             if self.open[i].tag in stop:
                 return
 
+    def _add(self, child: Node | str, in_place: bool) -> None:
+        """Appends to the open element, or before its table where that holds only parts of a table."""
+        here = self.open[-1]
+        if not in_place and here.tag in ROWS:
+            table = next((x for x in reversed(self.open) if x.tag == "table"), None)
+            if table is not None and table.parent is not None:
+                here, around = table.parent, table.parent.children
+                at = next(i for i in range(len(around) - 1, -1, -1) if around[i] is table)
+                around.insert(at, child)
+        if here is self.open[-1]:
+            here.children.append(child)
+        if isinstance(child, Node):
+            child.parent = here
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.open[-1].tag == "head" and tag not in HEAD_PARTS:
             self.open.pop()
@@ -88,8 +107,12 @@ class _Builder(HTMLParser):
             self._end(*ENDS[tag])
         elif tag in ENDS_P:
             self._end({"p"}, {"table", "td", "th", "button"})
+        if tag in PARTS:  # ends what was put before the table
+            last = max((i for i, x in enumerate(self.open) if x.tag in ROWS | CELLS), default=None)
+            if last is not None and self.open[last].tag in ROWS:
+                del self.open[last + 1 :]
         node = Node(tag, {k: v or "" for k, v in attrs})
-        self.open[-1].children.append(node)
+        self._add(node, tag in IN_PLACE)
         if tag not in VOID:
             self.open.append(node)
 
@@ -98,14 +121,14 @@ class _Builder(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
-            self.open[-1].children.append(Node("br"))
+            self._add(Node("br"), False)
         elif tag not in VOID:
             self._end({tag}, {"table"} if tag not in {"table", "html", "body"} else set())
 
     def handle_data(self, data: str) -> None:
         if self.open[-1].tag == "head" and data.strip():
             self.open.pop()
-        self.open[-1].children.append(data)
+        self._add(data, not data.strip())
 
 
 def parse(html: str) -> Node:

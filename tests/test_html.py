@@ -45,3 +45,11 @@ def test_hidden_wrappers():
 def test_unclosed():
     assert body_text("<p>a<p>b<ul><li>c<li>d</ul>") == "a\nb\nc\nd"
     assert body_text("") == ""
+
+
+def test_loose_content_goes_before_its_table():
+    assert body_text("<p>a</p><table>loose<tr><td>k</td><td>v</td></tr></table>") == "a\nloose\nk: v"
+    assert body_text("<table><tr><b>bold</b> words<td>k</td><td>v</td></tr></table>") == "bold words\nk: v"
+    assert body_text("<table><tr><td>k<b>1</b></td><td>v</td></tr> \n </table>") == "k1: v"
+    assert body_text("<table><tr><td><table>in<tr><td>x</td></tr></table></td></tr></table>after") == "in x\nafter"
+    assert body_text("<table><div>d<tr><td>x</td></tr></table>") == "d\n\nx"
