@@ -5,7 +5,8 @@ fall into runs with one least hash v each, and equal strings lie in runs of equa
 that can be settled apart, whatever documents they come from.
 
 1. Map tasks emit (v, digest of the run's bytes, where) per run; the bytes stay where they are.
-2. A v seen once is done, unless its run could repeat itself: one aggregation with map-side partials.
+2. A v seen once is done, unless its run could repeat itself: one aggregation with map-side partials. For passages (not
+   for ``length``) a v whose runs all have one digest is done as well: all of it is repeated.
 3. Of the rest, one snippet of bytes per different digest, with how often it occurs, is fetched and dealt out by v, so
    copies fold early. A task joins whole groups
    into shards of bounded size, builds each shard's suffix array once, and merges the shards: the interleave of
@@ -365,15 +366,19 @@ def _join_windows(length: int):
     return run
 
 
-def covered(parts: DataFrame, length: int = LENGTH, outlives: int = 0) -> DataFrame:
-    """Repeated byte ranges: (h1, h2, spans) of documents given in parts (h1, h2, o, text binary). Stored."""
+def covered(parts: DataFrame, length: int = LENGTH, by_digest: bool = False, outlives: int = 0) -> DataFrame:
+    """Repeated byte ranges: (h1, h2, spans) of documents given in parts (h1, h2, o, text binary). Stored.
+
+    ``by_digest``: runs that are equal wherever their v occurs are taken as repeated without a merge, which halves the work.
+    """
     with scratch_space():
         runs = stored(parts.filter(F.octet_length("text") >= length).mapInArrow(_emit_runs(length), RUNS), "suffix-runs")
-        groups = runs.groupBy("v").agg(F.count("*").alias("total"), F.max("twice").alias("self"))
-        groups = stored(groups.filter((F.col("total") > 1) | F.col("self")).select("v"), "suffix-groups")  # a table of its own, so that Spark can split a hot v in the join
+        groups = runs.groupBy("v").agg(F.count("*").alias("total"), F.max("twice").alias("self"), F.min("d").alias("low"), F.max("d").alias("high"))
+        merged = (F.col("low") != F.col("high")) | (F.col("total") == 1) | F.lit(not by_digest)
+        groups = stored(groups.filter((F.col("total") > 1) | F.col("self")).select("v", merged.alias("merged")), "suffix-groups")  # a table of its own, so that Spark can split a hot v in the join
         repeated = stored(runs.drop("twice").join(groups.hint("merge"), "v"), "suffix-repeated")
 
-        classes = repeated.groupBy("v", "d").agg(F.count("*").alias("c"), F.min(F.struct("h1", "h2", "o", "s", "n")).alias("at"))
+        classes = repeated.filter("merged").groupBy("v", "d").agg(F.count("*").alias("c"), F.min(F.struct("h1", "h2", "o", "s", "n")).alias("at"))
         wanted = classes.groupBy("at.h1", "at.h2", "at.o").agg(F.collect_list(F.struct("v", "d", "c", "at.s", "at.n")).alias("wanted"))
         found = parts.join(wanted.hint("merge"), ["h1", "h2", "o"]).select("o", "text", "wanted")
         snippets = stored(found.mapInArrow(_cut_snippets(length), "v long, d long, c long, bytes binary"), "suffix-snippets")
@@ -388,8 +393,11 @@ def covered(parts: DataFrame, length: int = LENGTH, outlives: int = 0) -> DataFr
             crowded = windows.join(twice.hint("merge"), "w").groupBy("v", "d").agg(F.collect_list("at").alias("at"))
             settled = settled.union(crowded.mapInArrow(_join_windows(length), RANGES))
 
-        found = repeated.join(settled.hint("merge"), ["v", "d"]).select("h1", "h2", "s", F.explode("spans").alias("x"))
+        found = repeated.filter("merged").join(settled.hint("merge"), ["v", "d"]).select("h1", "h2", "s", F.explode("spans").alias("x"))
         found = found.select("h1", "h2", F.struct((F.col("s") + F.col("x.a")).alias("a"), (F.col("s") + F.col("x.b")).alias("b")).alias("span"))
+        if by_digest:
+            whole = F.struct(F.col("s").alias("a"), (F.col("s") + F.col("n") + length - 1).alias("b"))
+            found = found.union(repeated.filter("NOT merged").select("h1", "h2", whole.alias("span")))
         return stored(found.groupBy("h1", "h2").agg(F.collect_set("span").alias("spans")), "suffix-covered", outlives + 1)
 
 
@@ -410,11 +418,11 @@ def _regions(length: int):
 
 def nested(docs: DataFrame, short: int, length: int) -> tuple[DataFrame, DataFrame]:
     """``covered`` for both lengths (short < length): the second reads only what the first found. Both stored."""
-    outer = covered(docs, short)
+    outer = covered(docs, short, by_digest=True)
     with scratch_space():
         within = docs.join(outer.hint("merge"), ["h1", "h2"]).select("h1", "h2", "text", "spans")
         regions = stored(within.mapInArrow(_regions(length), "h1 long, h2 long, o int, text binary"), "suffix-regions")
-        return outer, covered(regions, length, 1)
+        return outer, covered(regions, length, outlives=1)
 
 
 def maximal(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -489,7 +497,7 @@ def without_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     words, looked for from ``length`` bytes on, are removed wherever they stand."""
     small_batches(df.sparkSession)
     keyed = _keyed(df, id_col, text_col)
-    found = covered(keyed.select("h1", "h2", "o", "text"), length)
+    found = covered(keyed.select("h1", "h2", "o", "text"), length, by_digest=True)
 
     @F.pandas_udf("n_passages long, kept_text string")
     def cut(data: pd.Series, spans: pd.Series) -> pd.DataFrame:
