@@ -67,6 +67,12 @@ def stored(df: DataFrame, name: str, outlives: int = 0) -> DataFrame:
     return out
 
 
+def compact(df: DataFrame, rows: int, per_task: int = 1_000_000) -> DataFrame:
+    """``df``, which has about ``rows`` rows, in tasks of about ``per_task``: few rows make few files, however many partitions
+    the shuffle before them was set up for. Never more tasks than there were."""
+    return df.coalesce(max(1, -(-rows // per_task)))
+
+
 @contextlib.contextmanager
 def scratch_space() -> Iterator[None]:
     """What is ``stored`` in here is deleted at the end."""

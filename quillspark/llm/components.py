@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import discard, stored
+from quillspark.llm.common import compact, discard, stored
 
 LINKS_PER_TASK = 250_000
 
@@ -36,7 +36,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     mark, left = None, now.count()
     while True:
         # few links need few tasks and files, whatever the shuffle was set up for
-        after = stored(_star(_star(now, True), False).coalesce(-(-left // LINKS_PER_TASK) or 1), name)
+        after = stored(compact(_star(_star(now, True), False), left, LINKS_PER_TASK), name)
         discard(now)
         seen = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
         if (seen.n, seen.s) == mark:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import discard, small_batches, stored
+from quillspark.llm.common import compact, discard, small_batches, stored
 from quillspark.llm.components import components
 
 #: Generator polynomial of the binary Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 (fixed value).
@@ -138,7 +138,7 @@ def links(fps: DataFrame) -> DataFrame:
     differs in at most two bits. Stored."""
     keys = stored(fps.select("fp").mapInArrow(_key_rows, "key long, fp long"), "simhash-keys")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = stored(keys.join(shared, "key"), "simhash-met")
+    met = stored(compact(keys.join(shared, "key"), keys.count()), "simhash-met")
     discard(keys)
     few = met.filter(F.col("n") <= PAIR_CAP)
     a, b = few.select("key", F.col("fp").alias("u")), few.select("key", F.col("fp").alias("v"))
@@ -148,7 +148,7 @@ def links(fps: DataFrame) -> DataFrame:
     around = crowd.mapInArrow(_neighbours, "mid long, fp long")
     stars = around.groupBy("mid").agg(F.sort_array(F.collect_list("fp")).alias("fps")).filter(F.size("fps") > 1)
     starred = stars.select(F.col("fps")[0].alias("u"), F.explode(F.slice("fps", 2, 65)).alias("v"))
-    out = stored(pairs.union(starred).distinct(), "simhash-links")
+    out = stored(compact(pairs.union(starred).distinct(), met.count()), "simhash-links")
     discard(met)
     return out
 
@@ -165,12 +165,12 @@ def with_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = T.StructType([rows.schema["row"], rows.schema["doc_id"], rows.schema["tag"], T.StructField("fp", T.LongType())])
     rows = stored(rows.mapInArrow(_fingerprints(shingle), kind), "simhash-rows")
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("tag").alias("tag"))
-    classes = stored(rows.groupBy("fp").agg(F.min(first).alias("first")), "simhash-classes")
+    classes = stored(compact(rows.groupBy("fp").agg(F.min(first).alias("first")), rows.count()), "simhash-classes")
     found = links(classes)
     roots = components(found, "simhash-stars")
     discard(found)
     labelled = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    labelled = stored(labelled, "simhash-labelled")
+    labelled = stored(compact(labelled, classes.count()), "simhash-labelled")
     discard(classes, roots)
     least = labelled.groupBy("root").agg(F.min("first").alias("least"))
     of = labelled.join(least, "root").select("fp", "least")

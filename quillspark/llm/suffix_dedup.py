@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import scratch_space, shuffle_partitions, small_batches, stored, text_of
+from quillspark.llm.common import compact, scratch_space, shuffle_partitions, small_batches, stored, text_of
 
 LENGTH = 400
 #: Passages are looked for from this many bytes on: 51 words of three letters.
@@ -375,30 +375,34 @@ def covered(parts: DataFrame, length: int = LENGTH, by_digest: bool = False, out
         runs = stored(parts.filter(F.octet_length("text") >= length).mapInArrow(_emit_runs(length), RUNS), "suffix-runs")
         groups = runs.groupBy("v").agg(F.count("*").alias("total"), F.max("twice").alias("self"), F.min("d").alias("low"), F.max("d").alias("high"))
         merged = (F.col("low") != F.col("high")) | (F.col("total") == 1) | F.lit(not by_digest)
-        groups = stored(groups.filter((F.col("total") > 1) | F.col("self")).select("v", merged.alias("merged")), "suffix-groups")  # a table of its own, so that Spark can split a hot v in the join
-        repeated = stored(runs.drop("twice").join(groups.hint("merge"), "v"), "suffix-repeated")
+        n = runs.count()
+        groups = groups.filter((F.col("total") > 1) | F.col("self")).select("v", merged.alias("merged"))
+        groups = stored(compact(groups, n), "suffix-groups")  # a table of its own, so that Spark can split a hot v in the join
+        repeated = stored(compact(runs.drop("twice").join(groups.hint("merge"), "v"), n), "suffix-repeated")
+        n = repeated.count()
 
         classes = repeated.filter("merged").groupBy("v", "d").agg(F.count("*").alias("c"), F.min(F.struct("h1", "h2", "o", "s", "n")).alias("at"))
         wanted = classes.groupBy("at.h1", "at.h2", "at.o").agg(F.collect_list(F.struct("v", "d", "c", "at.s", "at.n")).alias("wanted"))
         found = parts.join(wanted.hint("merge"), ["h1", "h2", "o"]).select("o", "text", "wanted")
-        snippets = stored(found.mapInArrow(_cut_snippets(length), "v long, d long, c long, bytes binary"), "suffix-snippets")
-
-        crowds = stored(snippets.groupBy("v").agg(F.count("*").alias("k")).filter(F.col("k") > CROWD).select("v"), "suffix-crowds")
-        tasks = shuffle_partitions(parts.sparkSession)
-        few = snippets.join(crowds.hint("merge"), "v", "left_anti").repartition(tasks, "v").sortWithinPartitions("v")
-        settled = few.mapInArrow(_settle_groups(length), RANGES)
+        snippets = found.mapInArrow(_cut_snippets(length), "v long, d long, c long, bytes binary")
+        crowds = classes.groupBy("v").agg(F.count("*").alias("k")).filter(F.col("k") > CROWD).select("v")
+        crowded = None
         if not crowds.isEmpty():
+            crowds, snippets = stored(compact(crowds, n), "suffix-crowds"), stored(snippets, "suffix-snippets")
             windows = stored(snippets.join(crowds.hint("merge"), "v", "left_semi").mapInArrow(_windows(length), "w binary, v long, d long, c long, at int"), "suffix-windows")
-            twice = stored(windows.groupBy("w").agg(F.sum("c").alias("c")).filter("c > 1").select("w"), "suffix-twice")
-            crowded = windows.join(twice.hint("merge"), "w").groupBy("v", "d").agg(F.collect_list("at").alias("at"))
-            settled = settled.union(crowded.mapInArrow(_join_windows(length), RANGES))
+            twice = stored(compact(windows.groupBy("w").agg(F.sum("c").alias("c")).filter("c > 1").select("w"), windows.count()), "suffix-twice")
+            crowded = windows.join(twice.hint("merge"), "w").groupBy("v", "d").agg(F.collect_list("at").alias("at")).mapInArrow(_join_windows(length), RANGES)
+            snippets = snippets.join(crowds.hint("merge"), "v", "left_anti")
+        few = snippets.repartition(shuffle_partitions(parts.sparkSession), "v").sortWithinPartitions("v")
+        settled = few.mapInArrow(_settle_groups(length), RANGES)
+        settled = settled.union(crowded) if crowded is not None else settled
 
         found = repeated.filter("merged").join(settled.hint("merge"), ["v", "d"]).select("h1", "h2", "s", F.explode("spans").alias("x"))
         found = found.select("h1", "h2", F.struct((F.col("s") + F.col("x.a")).alias("a"), (F.col("s") + F.col("x.b")).alias("b")).alias("span"))
         if by_digest:
             whole = F.struct(F.col("s").alias("a"), (F.col("s") + F.col("n") + length - 1).alias("b"))
             found = found.union(repeated.filter("NOT merged").select("h1", "h2", whole.alias("span")))
-        return stored(found.groupBy("h1", "h2").agg(F.collect_set("span").alias("spans")), "suffix-covered", outlives + 1)
+        return stored(compact(found.groupBy("h1", "h2").agg(F.collect_set("span").alias("spans")), n), "suffix-covered", outlives + 1)
 
 
 def _regions(length: int):
@@ -421,7 +425,8 @@ def nested(docs: DataFrame, short: int, length: int) -> tuple[DataFrame, DataFra
     outer = covered(docs, short, by_digest=True)
     with scratch_space():
         within = docs.join(outer.hint("merge"), ["h1", "h2"]).select("h1", "h2", "text", "spans")
-        regions = stored(within.mapInArrow(_regions(length), "h1 long, h2 long, o int, text binary"), "suffix-regions")
+        regions = within.mapInArrow(_regions(length), "h1 long, h2 long, o int, text binary")
+        regions = stored(compact(regions, outer.count(), 10_000), "suffix-regions")
         return outer, covered(regions, length, outlives=1)
 
 
