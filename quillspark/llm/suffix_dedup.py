@@ -381,8 +381,10 @@ def covered(parts: DataFrame, length: int = LENGTH, by_digest: bool = False, out
         repeated = stored(compact(runs.drop("twice").join(groups.hint("merge"), "v"), n), "suffix-repeated")
         n = repeated.count()
 
-        classes = repeated.filter("merged").groupBy("v", "d").agg(F.count("*").alias("c"), F.min(F.struct("h1", "h2", "o", "s", "n")).alias("at"))
-        wanted = classes.groupBy("at.h1", "at.h2", "at.o").agg(F.collect_list(F.struct("v", "d", "c", "at.s", "at.n")).alias("wanted"))
+        # any one of the places, all columns of one row; numbers, so that it is hashed and not sorted
+        place = [F.first(x).alias(x) for x in ("h1", "h2", "o", "s", "n")]
+        classes = repeated.filter("merged").groupBy("v", "d").agg(F.count("*").alias("c"), *place)
+        wanted = classes.groupBy("h1", "h2", "o").agg(F.collect_list(F.struct("v", "d", "c", "s", "n")).alias("wanted"))
         found = parts.join(wanted.hint("merge"), ["h1", "h2", "o"]).select("o", "text", "wanted")
         snippets = found.mapInArrow(_cut_snippets(length), "v long, d long, c long, bytes binary")
         crowds = classes.groupBy("v").agg(F.count("*").alias("k")).filter(F.col("k") > CROWD).select("v")
