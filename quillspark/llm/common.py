@@ -91,6 +91,18 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def as_read(df: DataFrame) -> bool:
+    """Whether ``df`` is a table's files with columns chosen and rows filtered only, so that its rows come back in the same
+    partitions and order whenever a task is repeated."""
+
+    def simple(node) -> bool:
+        if node.children().isEmpty():
+            return node.nodeName() == "LogicalRelation"
+        return node.nodeName() in ("Project", "Filter") and simple(node.children().head())
+
+    return simple(df._jdf.queryExecution().optimizedPlan())
+
+
 def text_of(column: str | Column) -> Column:
     """A text column with null counted as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
