@@ -229,11 +229,12 @@ def l2_normalize(v: Column | str) -> Column:
 
 
 def cosine_distance(a: Column | str, b: Column | str | Sequence[float]) -> Column:
-    """1 - cosine. A fixed vector is folded to a literal with its norm, so each row costs two sums."""
+    """1 - cosine; 1 where either vector is all zeros. A fixed vector is folded to a literal with its norm, so each row costs two sums."""
     a = _col(a)
     if isinstance(b, (str, Column)):
         b = _col(b)
-        return F.lit(1.0) - dot(a, b) / (l2_norm(a) * l2_norm(b))
+        cosine = F.try_divide(dot(a, b), l2_norm(a) * l2_norm(b))
+        return F.when(a.isNotNull() & b.isNotNull(), F.lit(1.0) - F.coalesce(cosine, F.lit(0.0)))
     fixed = F.array(*[F.lit(float(x)) for x in b])
     norm = sum(float(x) ** 2 for x in b) ** 0.5
-    return F.lit(1.0) - dot(a, fixed) / (l2_norm(a) * F.lit(norm))
+    return F.when(a.isNotNull(), F.lit(1.0) - F.coalesce(F.try_divide(dot(a, fixed), l2_norm(a) * F.lit(norm)), F.lit(0.0)))

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import columns as C
+from quillspark.operators.grid import best_of, nearest_in_cells
 from quillspark.settings import SOURCES
 
 OVERFETCH = 3
-#: Vectors come in blocks of so many bytes, queries in blocks of at most so many.
-BLOCK_BYTES, QUERY_BLOCK = 1 << 20, 256
+#: Hits are broadcast to their messages up to so many rows of two numbers (about 2 MB).
+BROADCAST_HITS = 100_000
 #: What a search without hits prints (fixed value).
 NOTHING = "No results found. Have you indexed your emails yet?"
 
@@ -25,8 +24,9 @@ def knn(vectors: DataFrame, query: Sequence[float], k: int) -> DataFrame:
 
 
 def rerank(hits: DataFrame, emails: DataFrame, limit: int) -> DataFrame:
-    """Hits that still have a message, by score; the hits are at most a few hundred rows, so they are broadcast."""
-    found = emails.join(F.broadcast(hits), "id")
+    """Hits that still have a message, by score. ``hits``: ``OVERFETCH`` times ``limit`` rows at most."""
+    few = F.broadcast(hits) if OVERFETCH * limit <= BROADCAST_HITS else hits.hint("merge")
+    found = emails.join(few, "id")
     length = C.body_length("subject", "body_text")
     scored = found.withColumn("score", (F.lit(1.0) - F.col("distance")) * C.length_factor(length))
     top = scored.orderBy(F.desc("score"), "distance", "id").limit(limit)
@@ -38,84 +38,15 @@ def search(vectors: DataFrame, emails: DataFrame, query: Sequence[float], limit:
     return rerank(knn(vectors, query, OVERFETCH * limit), emails, limit)
 
 
-def _blocks(key: str, vector: str, size: int):
-    """Rows of (ids, matrix): up to ``size`` vectors in one row, as 32-bit floats."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, size):
-                part = b.slice(at, size)
-                flat = part[vector].flatten().to_numpy(zero_copy_only=False).astype(np.float32)
-                ids = pa.array([part[key].to_pylist()], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([flat.tobytes()], pa.binary())], ["ids", "matrix"])
-
-    return run
-
-
-class _Nearest:
-    """The ``k`` nearest vectors of each query of a block, over the blocks of vectors a task sees."""
-
-    def __init__(self, queries: np.ndarray, k: int) -> None:
-        self.queries, self.k = queries, k
-        self.norms = np.sqrt(np.einsum("ij,ij->i", queries, queries))
-        self.rows = np.empty(0, np.int64)
-        self.ids = np.empty(0, np.int64)
-        self.distances = np.empty(0)
-        self.worst = np.full(len(queries), np.inf)
-
-    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            near = 1 - (self.queries @ vectors.T) / np.outer(self.norms, norms)
-        near = np.where(np.isnan(near), 1.0, near)
-        cut = np.partition(near, self.k - 1, axis=1)[:, self.k - 1] if len(ids) > self.k else np.full(len(near), np.inf)
-        row, col = np.nonzero(near <= np.minimum(cut, self.worst)[:, None] + 1e-9)
-        # the same sum for every pair, wherever it stands in a block, so that equal vectors tie
-        with np.errstate(divide="ignore", invalid="ignore"):
-            exact = 1 - np.einsum("ij,ij->i", self.queries[row], vectors[col]) / (self.norms[row] * norms[col])
-        rows, found = np.concatenate([self.rows, row]), np.concatenate([self.ids, ids[col]])
-        distances = np.concatenate([self.distances, np.where(np.isnan(exact), 1.0, exact)])
-        order = np.lexsort((found, distances, rows))
-        rows = rows[order]
-        nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        keep = nth < self.k
-        self.rows, self.ids, self.distances = rows[keep], found[order][keep], distances[order][keep]
-        last = nth[keep] == self.k - 1
-        self.worst[self.rows[last]] = self.distances[last]
-
-
 def search_batch(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, id, distance, rank) for a table of queries (query_id, query) against all vectors, ties by id.
 
-    Both sides are packed into blocks of about a megabyte; each task multiplies its blocks as matrices and keeps the ``k``
-    nearest per query, so what is shuffled is k rows per query and task. Null vectors are left out; a vector of zeros has
-    distance 1 to all.
+    A grid of query blocks and shares of vectors, dealt by one shuffle; a task holds one block of queries and k rows for each. Null
+    vectors are left out; a vector of zeros has distance 1 to all.
     """
-    width = queries.filter("query IS NOT NULL").select(F.size("query").alias("n")).first()
-    size = max(1, BLOCK_BYTES // (4 * max(1, width.n if width else 1)))
-    kind = "ids array<bigint>, matrix binary"
-    asked = queries.filter("query IS NOT NULL").select(F.col("query_id").cast("long"), F.col("query").cast("array<float>"))
-    asked = asked.mapInArrow(_blocks("query_id", "query", min(size, QUERY_BLOCK)), kind).select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
-    there = vectors.filter("embedding IS NOT NULL").select(F.col("id").cast("long"), F.col("embedding").cast("array<float>"))
-    there = there.mapInArrow(_blocks("id", "embedding", size), kind)
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: dict[bytes, tuple[np.ndarray, _Nearest]] = {}
-        for b in batches:
-            for q_ids, q_matrix, ids, matrix in zip(*(b[c] for c in ("q_ids", "q_matrix", "ids", "matrix")), strict=True):
-                query_ids = q_ids.values.to_numpy()
-                found = blocks.get(key := query_ids.tobytes())
-                if found is None:
-                    block = np.frombuffer(q_matrix.as_buffer(), np.float32).reshape(len(query_ids), -1).astype(np.float64)
-                    found = blocks[key] = (query_ids.copy(), _Nearest(block, k))
-                own = ids.values.to_numpy()
-                found[1].add(own.copy(), np.frombuffer(matrix.as_buffer(), np.float32).reshape(len(own), -1).astype(np.float64))
-        for query_ids, best in blocks.values():
-            yield pa.RecordBatch.from_arrays([pa.array(query_ids[best.rows]), pa.array(best.ids), pa.array(best.distances)], ["query_id", "id", "distance"])
-
-    some = there.crossJoin(asked).mapInArrow(nearest, "query_id long, id long, distance double")
-    last = Window.partitionBy("query_id").orderBy("distance", "id")
-    return some.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= k).select("query_id", "id", "distance", "rank")
+    asked = queries.filter("query IS NOT NULL").select(F.lit(0).alias("cell"), "query_id", "query", F.lit(float("inf")).alias("farthest"))
+    there = vectors.filter("embedding IS NOT NULL").select(F.lit(0).alias("cell"), "id", "embedding")
+    return best_of(nearest_in_cells(asked, there, k, {0: (asked.count(), vectors.count())}), k)
 
 
 def results(ranked: DataFrame, preview: int = 118) -> DataFrame:

@@ -19,6 +19,7 @@ from quillspark.functions.text import INVISIBLE
 from quillspark.operators import embed as E
 from quillspark.operators import search as S
 from quillspark.operators import sync
+from quillspark.operators.ball_index import BallIndex
 from quillspark.sources import mail
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,6 +106,17 @@ def search_batch_queries(spark, sf_dir):
     return S.search_batch(vectors(spark, sf_dir), queries, 5).withColumn("distance", F.round("distance", 6))
 
 
+@_query("ball_knn", SQL["knn_topk"])
+def ball_knn(spark, sf_dir):
+    return BallIndex.build(vectors(spark, sf_dir)).search(_vector(spark, sf_dir), 10).withColumn("distance", F.round("distance", 6))
+
+
+@_query("ball_search_batch", SQL["search_batch_queries"])
+def ball_search_batch(spark, sf_dir):
+    queries = _table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return BallIndex.build(vectors(spark, sf_dir)).search_batch(queries, 5).withColumn("distance", F.round("distance", 6))
+
+
 @_query("search_json")
 def search_json(spark, sf_dir):
     return S.to_json(S.results(S.search(vectors(spark, sf_dir), emails(spark, sf_dir), _vector(spark, sf_dir))))

@@ -1,7 +1,11 @@
-"""A Spark session with the settings the engine is tested under."""
+"""A Spark session with the settings the engine is tested under, and the folder that all its machines share."""
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -17,3 +21,31 @@ def session(master: str | None = None, app: str = "quillspark", **conf: object)
     if master:
         builder = builder.master(master)
     return builder.config(map=settings).getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
+
+    Only where the session names none and runs on one machine (``local`` masters, as in tests) a temporary folder is
+    set in its place; on a cluster that is an error, as each machine would write to its own disk.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()  # noqa: SLF001
+        if current.isDefined():
+            path = current.get()
+        elif re.match(r"local(\[|$)", spark.sparkContext.master):
+            path = "file://" + tempfile.mkdtemp(prefix="quillspark-")
+            spark.sparkContext.setCheckpointDir(path)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return path.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -98,10 +98,12 @@ def test_token_encoder():
     assert (enc.encode(texts[:1])[0] == v[0]).all()
 
 
-def test_search_batch_against_all_pairs(spark):
+def test_search_batch_against_all_pairs(spark, monkeypatch):
     """Blocks of every size; equal vectors tie by id; vectors of zeros; a third of the rows equal."""
     import numpy as np
 
+    from quillspark.operators import grid
+
     rng = np.random.default_rng(1)
     data = [rng.normal(size=6).astype("float32") for _ in range(90)] + [np.ones(6, "float32")] * 45 + [np.zeros(6, "float32")]
     vectors = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "id long, embedding array<float>").repartition(3)
@@ -115,15 +117,12 @@ def test_search_batch_against_all_pairs(spark):
     for q in range(0, 136, 5):
         best = sorted((round(distance(data[q], v), 9), i) for i, v in enumerate(data))[:7]
         want[q] = [i for _, i in best]
-    for size, block in ((S.BLOCK_BYTES, S.QUERY_BLOCK), (24 * 10, 4)):
-        old = S.BLOCK_BYTES, S.QUERY_BLOCK
-        S.BLOCK_BYTES, S.QUERY_BLOCK = size, block
-        try:
-            got = {}
-            for r in S.search_batch(vectors, queries, 7).orderBy("query_id", "rank").collect():
-                got.setdefault(r.query_id, []).append(r.id)
-        finally:
-            S.BLOCK_BYTES, S.QUERY_BLOCK = old
+    for block, share in ((grid.QUERY_BLOCK, grid.SHARE), (4, 10)):
+        monkeypatch.setattr(grid, "QUERY_BLOCK", block)
+        monkeypatch.setattr(grid, "SHARE", share)
+        got = {}
+        for r in S.search_batch(vectors, queries, 7).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.id)
         assert got == want
 
 
