@@ -20,10 +20,10 @@ def scan_complete(status: DataFrame) -> DataFrame:
 
 def diff(scan: DataFrame, stored: DataFrame) -> DataFrame:
     """(source, message_id, locator, old_locator, change): new, relocated, unchanged or removed."""
-    old = stored.select("source", "message_id", F.col("locator").alias("old_locator"))
-    both = scan.select("source", "message_id", "locator").join(old, ["source", "message_id"], "full_outer")
-    change = F.when(F.col("old_locator").isNull(), "new").when(F.col("locator").isNull(), "removed").when(F.col("locator").eqNullSafe(F.col("old_locator")), "unchanged").otherwise("relocated")
-    return both.withColumn("change", change)
+    old = stored.select("source", "message_id", F.col("locator").alias("old_locator"), F.lit(True).alias("_was"))
+    both = scan.select("source", "message_id", "locator", F.lit(True).alias("_is")).join(old, ["source", "message_id"], "full_outer")
+    change = F.when(F.col("_was").isNull(), "new").when(F.col("_is").isNull(), "removed").when(F.col("locator").eqNullSafe(F.col("old_locator")), "unchanged").otherwise("relocated")
+    return both.withColumn("change", change).drop("_was", "_is")
 
 
 def gate(changes: DataFrame, complete: DataFrame, limit: float = REMOVAL_LIMIT) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import columns as C
 from quillspark.functions.udfs import parse_message
 from quillspark.operators import embed as E
-from quillspark.operators import sync
+from quillspark.operators import fingerprints, sync
 from quillspark.plans.store import Store
 from quillspark.sources import mail
 
@@ -63,7 +63,7 @@ def reconcile(store: Store, pairs: DataFrame, status: DataFrame, preference: lis
     scanned = store.staged(sync.last_wins(pairs), "scan")
     seen = scanned.select("source").distinct().union(status.select("source").distinct()).distinct()
     stored = sources.join(seen, "source", "left_semi")  # sources that weren't scanned are left alone
-    changes = store.staged(sync.diff(scanned, stored), "changes")
+    changes = store.staged(fingerprints.diff(scanned, stored), "changes")
     gates = sync.gate(changes, sync.scan_complete(status))
     moved = changes.filter(F.col("change").isin("new", "relocated"))
     _, fresh = sync.known_split(moved, emails)

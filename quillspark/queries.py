@@ -18,7 +18,7 @@ from quillspark.functions import udfs as U
 from quillspark.functions.text import INVISIBLE
 from quillspark.operators import embed as E
 from quillspark.operators import search as S
-from quillspark.operators import sync
+from quillspark.operators import fingerprints, sync
 from quillspark.operators.ball_index import BallIndex
 from quillspark.sources import mail
 
@@ -180,6 +180,25 @@ def sync_diff(spark, sf_dir):
     return _changes(spark, sf_dir)
 
 
+@_query("sync_diff_buckets", SQL["sync_diff"])
+def sync_diff_buckets(spark, sf_dir):
+    return fingerprints.diff(_scanned(spark, sf_dir), _stored(spark, sf_dir))
+
+
+FEW_STORED = "SELECT source, 'm' || doc_id AS message_id, '/mb/' || source || '#offset=' || doc_id AS locator FROM documents WHERE doc_id % 397 <> 5"
+FEW_SCANNED = "SELECT source, 'm' || doc_id AS message_id, '/mb/' || source || '#offset=' || (doc_id + CASE WHEN doc_id % 311 = 7 THEN 1000000 ELSE 0 END) AS locator FROM documents WHERE doc_id % 499 <> 11"
+
+
+@_query("sync_diff_few", f"WITH {CHANGES.replace(STORED, FEW_STORED).replace(SCANNED, FEW_SCANNED)} SELECT source, message_id, locator, old_locator, change FROM changes")
+def sync_diff_few(spark, sf_dir):
+    """Few changes: nearly all buckets are equal, and their rows stay where they are."""
+    d = _table(spark, sf_dir, "documents")
+    row = lambda offset: ("source", F.concat(F.lit("m"), F.col("doc_id")).alias("message_id"), C.locator(F.concat(F.lit("/mb/"), F.col("source")), offset).alias("locator"))
+    stored = d.filter("doc_id % 397 <> 5").select(*row("doc_id"))
+    scanned = d.filter("doc_id % 499 <> 11").select(*row(F.col("doc_id") + F.when(F.col("doc_id") % 311 == 7, 1_000_000).otherwise(0)))
+    return fingerprints.diff(scanned, stored, bits=12)
+
+
 @_query("sync_removed", f"WITH stored AS ({STORED}), scanned AS ({SCANNED}) SELECT source, message_id FROM stored o WHERE NOT EXISTS (SELECT 1 FROM scanned n WHERE n.source = o.source AND n.message_id = o.message_id)")
 def sync_removed(spark, sf_dir):
     return _stored(spark, sf_dir).join(_scanned(spark, sf_dir), ["source", "message_id"], "left_anti").select("source", "message_id")
