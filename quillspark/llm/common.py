@@ -7,14 +7,15 @@ written below ``spark.checkpoint.dir`` with Spark's own writers.
 from __future__ import annotations
 
 import contextlib
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.session import delete, scratch, shared_dir, shuffle_partitions
+
+__all__ = ["delete", "scratch", "shared_dir", "shuffle_partitions"]
+
 #: The characters that separate words, as a Java/Python/RE2 character class.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -23,30 +24,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where the session names none and runs on one machine (``local`` masters, as in tests) a temporary folder is
-    set in its place; on a cluster that is an error, as each machine would write to its own disk.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            path = current.get()
-        elif re.match(r"local(\[|$)", spark.sparkContext.master):
-            path = "file://" + tempfile.mkdtemp(prefix="quillspark-")
-            spark.sparkContext.setCheckpointDir(path)
-        else:
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-    return path.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 #: The tables of each open ``scratch_space``, innermost last.
 _SPACES: list[list[DataFrame]] = []
 
@@ -86,9 +63,7 @@ def scratch_space() -> Iterator[None]:
 def discard(*frames: DataFrame) -> None:
     """Deletes what ``stored`` wrote, once all that was made from it is stored itself."""
     for df in frames:
-        spark = df.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, df.scratch_path)
 
 
 def as_read(df: DataFrame) -> bool:
@@ -113,12 +88,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def fitting(sizes: list[int], room: int) -> list[int]:
+    """Places, in order, of what fits into the room that is left; what doesn't is passed over and takes nothing from what follows."""
+    out = []
+    for k, size in enumerate(sizes):
+        if size <= room:
+            out.append(k)
+            room -= size
+    return out
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column | None, id_col: str, text_col: str, max_rows: int, max_bytes: int) -> DataFrame:
     """(id, label, text) of labelled documents, at most ``max_rows`` of them and ``max_bytes`` of text, chosen by hash of the id.
 
     Rows that ``usable`` (over the id) refuses, with a null id or a label other than 0 and 1 are left out. An id with two
-    labels counts once with each; equal rows count once.
+    labels counts once with each; equal rows count once. A text that doesn't fit into the bytes left is passed over.
     """
+    spark = docs.sparkSession
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("id").isNotNull())
     if usable is not None:
         known = known.filter(usable)
@@ -127,15 +113,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, usable:
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
     sized = texts.join(F.broadcast(chosen), "id").select("id", "label", "h", F.octet_length("text").cast("long").alias("bytes")).distinct()
     sized = sized.orderBy(*order, "h").limit(max_rows)
-    so_far = Window.orderBy(*order, "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # of at most max_rows rows
-    wanted = sized.withColumn("total", F.sum("bytes").over(so_far)).filter(F.col("total") <= max_bytes).select("id", "label", "h")
+    rows = sized.collect()  # ids and sizes of at most max_rows
+    fits = [(r.id, r.label, r.h) for r in (rows[k] for k in fitting([r.bytes for r in rows], max_bytes))]
+    wanted = spark.createDataFrame(fits, sized.select("id", "label", "h").schema)
     return texts.join(F.broadcast(wanted), ["id", "h"]).groupBy("id", "label", "h").agg(F.first("text").alias("text")).drop("h")
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bounds what a Python worker is handed at once: texts can be very long.
 

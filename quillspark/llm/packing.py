@@ -62,6 +62,16 @@ def encoder(name: str = "byte_bpe_50k") -> Callable[[str], list[int]]:
     return encode
 
 
+@functools.cache
+def decoder(name: str = "byte_bpe_50k") -> Callable[[list[int]], str]:
+    """The text of ids that ``encoder`` gave."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    full = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+    return lambda ids: full.decode(ids, skip_special_tokens=False)
+
+
 def best_pattern(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     """Unbounded knapsack: the multiset of sizes within ``room`` of the highest value (dynamic program over room)."""
     worth = np.zeros(room + 1)
@@ -175,36 +185,43 @@ def plan(histogram: dict[int, int], room: int) -> tuple[np.ndarray, int]:
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 5), sequence
 
 
-def pieces_of(df: DataFrame, id_col: str, text_col: str, capacity: int, unit: int, encode: Callable[[], Callable[[str], list[int]]], end_id: int | None) -> DataFrame:
-    """Every piece: id, start, length, crc of its ids, tokens of its document, and (pid, cls, idx) to rank by."""
+def pieces_of(df: DataFrame, id_col: str, text_col: str, capacity: int, unit: int, encode: Callable[[], Callable[[str], list[int]]], end_id: int | None, ids: bool = False) -> DataFrame:
+    """Every piece: id, start, length, crc of its ids, tokens of its document, (pid, cls, idx) to rank by, and its ids if asked for."""
     spark = df.sparkSession
     small_batches(spark)
     id_type = df.schema[id_col].dataType
     longs = ("start", "length", "ids_crc32", "doc_tokens", "pid", "cls", "idx")
-    schema = T.StructType([T.StructField("id", id_type), *(T.StructField(n, T.LongType()) for n in longs)])
+    schema = T.StructType([T.StructField("id", id_type), *(T.StructField(n, T.LongType()) for n in longs), *[T.StructField("ids", T.ArrayType(T.IntegerType()))] * ids])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids, seen, pid = encode(), {}, TaskContext.get().partitionId()
         for b in batches:
-            rows, of = [], []
+            rows, of, parts = [], [], []
             for i, text in enumerate(b["text"].to_pylist()):
-                ids = to_ids(text or "") + ([end_id] if end_id is not None else [])
-                data = np.array(ids, dtype="<u4")
-                for start in range(0, len(ids), capacity):
+                tokens = to_ids(text or "") + ([end_id] if end_id is not None else [])
+                data = np.array(tokens, dtype="<u4")
+                for start in range(0, len(tokens), capacity):
                     part = data[start : start + capacity]
                     c = -(-len(part) // unit) if len(part) < capacity else capacity // unit + 1
-                    rows.append((start, len(part), zlib.crc32(part.tobytes()), len(ids), pid, c, seen.get(c, 0)))
+                    rows.append((start, len(part), zlib.crc32(part.tobytes()), len(tokens), pid, c, seen.get(c, 0)))
                     seen[c] = seen.get(c, 0) + 1
                     of.append(i)
+                    if ids:
+                        parts.append(part.astype(np.int32))
             cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] or [pa.array([], pa.int64())] * len(longs)
-            yield pa.RecordBatch.from_arrays([b["id"].take(pa.array(of, pa.int64())), *cols], ["id", *longs])
+            cols += [pa.array(parts, pa.list_(pa.int32()))] * ids
+            yield pa.RecordBatch.from_arrays([b["id"].take(pa.array(of, pa.int64())), *cols], ["id", *longs, *["ids"] * ids])
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, schema)
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, unit: int = UNIT, encode: Callable[[], Callable[[str], list[int]]] = encoder, end_id: int | None = END_ID) -> DataFrame:
-    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    pieces = stored(pieces_of(df, id_col, text_col, capacity, unit, encode, end_id), "pack-pieces")
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, unit: int = UNIT, encode: Callable[[], Callable[[str], list[int]]] = encoder, end_id: int | None = END_ID, ids: bool = False) -> DataFrame:
+    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with ``ids`` the ids themselves.
+
+    Ids stay where they were stored until all pieces have their places, and are joined once.
+    """
+    whole_pieces = stored(pieces_of(df, id_col, text_col, capacity, unit, encode, end_id, ids), "pack-pieces")
+    pieces = whole_pieces.drop("ids")
     counts = stored(pieces.groupBy("cls", "pid").agg(F.max("idx").alias("top")), "pack-counts")
     whole = capacity // unit + 1
     histogram = {r.cls: r.n for r in counts.groupBy("cls").agg(F.sum(F.col("top") + 1).alias("n")).collect()}
@@ -212,7 +229,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
     intervals, sequences = plan(histogram, capacity // unit)
     before = Window.partitionBy("cls").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("cls", "pid", F.coalesce(F.sum(F.col("top") + 1).over(before), F.lit(0)).alias("first"))
-    ranked = pieces.join(first, ["cls", "pid"]).withColumn("rank", F.col("first") + F.col("idx")).drop("first", "idx", "pid")
+    ranked = pieces.join(first, ["cls", "pid"]).withColumn("rank", F.col("first") + F.col("idx")).drop("first", *["idx", "pid"] * (not ids))
 
     keys = intervals[:, 0] * (1 << 40) + intervals[:, 1]  # ascending by (class, first rank)
 
@@ -232,4 +249,23 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
     placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(so_far), F.lit(0)))
     full = ranked.filter(F.col("cls") == whole).select("*", (F.col("rank") + sequences).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     out = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    return placed.select(*out).unionByName(full.select(*out)).withColumnRenamed("id", id_col)
+    place = ["cls", "pid", "idx"] * ids
+    told = placed.select(*out, *place).unionByName(full.select(*out, *place))
+    if ids:
+        told = told.join(whole_pieces.select(*place, "ids").hint("merge"), place).select(*out, "ids")
+    return told.withColumnRenamed("id", id_col)
+
+
+def unpack(packed: DataFrame, id_col: str = "doc_id", decode: Callable[[], Callable[[list[int]], str]] = decoder, end_id: int | None = END_ID) -> DataFrame:
+    """(id, text) of every document in pieces with ``ids``, wherever its pieces were placed; ids must be unique."""
+    kind = T.StructType([packed.schema[id_col], T.StructField("text", T.StringType())])
+    ordered = F.sort_array(F.collect_list(F.struct("start", "ids")))  # a document's own pieces
+    whole = packed.groupBy(id_col).agg(F.flatten(F.transform(ordered, lambda p: p["ids"])).alias("ids"))
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to_text = decode()
+        for b in batches:
+            rows = [ids[:-1] if end_id is not None else ids for ids in b["ids"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b[id_col], pa.array([to_text(ids) for ids in rows], pa.string())], [id_col, "text"])
+
+    return whole.mapInArrow(told, kind)

@@ -345,6 +345,20 @@ def test_packing(docs, empty, spark):
     assert pack(spark.createDataFrame([(1, "a" + " a" * 2046)], "doc_id long, text string")).count() == 1  # whole sequences only
 
 
+def test_packed_ids_and_back(docs, empty):
+    """With ids: the same pieces, each with its ids, and every text decoded from them."""
+    from quillspark.llm.packing import pack, unpack
+
+    known = docs.filter("doc_id <> 9").dropDuplicates(["doc_id"]).repartition(1)
+    packed = pack(known, capacity=64, unit=1, ids=True)
+    plain = pack(known, capacity=64, unit=1)
+    assert sorted(map(str, packed.drop("ids").collect())) == sorted(map(str, plain.collect()))
+    for r in packed.collect():
+        assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+    assert {r.doc_id: r.text for r in unpack(packed).collect()} == {r.doc_id: r.text or "" for r in known.collect()}
+    assert pack(empty, ids=True).columns == packed.columns and pack(empty, ids=True).count() == 0
+
+
 def test_special_token_text():
     from tokenizers import Tokenizer
 
@@ -624,6 +638,19 @@ def test_labelled_sample(spark):
     assert len(take(10, 1 << 20)) == 10 and sum(len(r.text) for r in take(1000, 950)) == 900
 
 
+def test_a_labelled_text_over_the_bound_is_passed_over(spark):
+    """It comes first by hash, and the others are learned from all the same."""
+    from quillspark.llm.common import fitting, labelled_sample
+
+    ids = spark.range(40).select(F.col("id"), F.xxhash64("id").alias("h")).orderBy("h", "id").collect()
+    first = ids[0].id
+    docs = spark.createDataFrame([(r.id, "y" * 5_000 if r.id == first else "x" * 100) for r in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(r.id, r.id % 2) for r in ids], "doc_id long, y int")
+    got = labelled_sample(docs, labels, "y", None, "doc_id", "text", 1000, 4_000).collect()
+    assert sorted(r.id for r in got) == sorted(r.id for r in ids if r.id != first)
+    assert fitting([9, 3, 5, 2, 2, 1], 8) == [1, 2] and fitting([], 5) == [] and fitting([9], 5) == []
+
+
 def test_decoding_by_enumeration():
     """The lattice's cheapest path against all of its paths."""
     import itertools
@@ -856,6 +883,7 @@ def test_near_dedup_both_sides_of_the_similarity(spark, monkeypatch):
 
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as P
+    from quillspark.llm.packing import unpack
 
     rng = random.Random(9)
     prose = lambda n: " ".join("".join(rng.choice(["ba", "ne", "ti", "lo"]) for _ in range(3)) + "." * (rng.random() < 0.1) for _ in range(n))
@@ -877,6 +905,9 @@ def test_pipeline(spark, tmp_path):
     assert final[1] == base and final[3] == texts[3] and shared not in final[6] and shared not in final[7]
     packed = P.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.collect()} == {1, 3, 6, 7}
+    assert {r.doc_id: r.text for r in unpack(packed).collect()} == final  # the sequences hold the cleaned texts
+    room = [sorted((r.offset, r.length, len(r.ids)) for r in packed.collect() if r.sequence_id == k) for k in {r.sequence_id for r in packed.collect()}]
+    assert all(n == m and at == sum(x[1] for x in row[:i]) for row in room for i, (at, n, m) in enumerate(row))
     assert [n for n, _ in P.STAGES] == [*left, "packing"]
 
 
@@ -903,7 +934,7 @@ def test_pipeline_edges(spark, tmp_path):
             docs = spark.read.parquet(f"{here}/{stage}")
             left[stage] = docs.collect()
         packed = P.run(spark, here)
-        assert packed.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+        assert packed.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
         if not data:
             assert packed.count() == 0 and not any(left.values())
             continue
