@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import argparse
 import sys
-import time
 from pathlib import Path
 
 from quillspark.operators import embed as E
@@ -14,6 +13,7 @@ from quillspark.plans.store import Lock, Store
 from quillspark.session import session
 from quillspark.settings import SOURCES, active
 from quillspark.sources.mail import open_target
+from quillspark.streaming.poll import poll
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -46,13 +46,14 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "index":
         stores = dict(x.split("=", 1) for x in a.store) or ({"plain-mbox": settings.root} if settings.root else {})
         with Lock(Path(a.home) / "lock"):
-            while True:
-                print(cycle(spark, store, {k: stores[k] for k in preference if k in stores}, encoder, a.mailing_lists).report())
-                if a.once:
-                    return 0
-                time.sleep(settings.index.poll_seconds)
+            wanted = {k: stores[k] for k in preference if k in stores}
+            if a.once:
+                print(cycle(spark, store, wanted, encoder, a.mailing_lists).report())
+            else:
+                poll(spark, store, wanted, encoder, f"{a.home}/stream", settings.index.poll_seconds, a.mailing_lists, lambda done: print(done.report(), flush=True)).awaitTermination()
+            return 0
     if a.command == "open":
-        return _show(S.open_rows(store.read("email_sources"), a.message_id, preference).collect(), settings.webmail)
+        return _show(S.open_rows(store.look_up("email_sources", [a.message_id]), a.message_id, preference).collect(), settings.webmail)
     limit, preview = a.limit or settings.search.limit, a.preview or settings.search.preview
     ranked = S.search(store.read("email_vectors"), store.read("emails"), E.embed_query(encoder, a.query), limit)
     kind = a.format or settings.search.format
@@ -62,7 +63,7 @@ def main(argv: list[str] | None = None) -> int:
         if hit is None:
             print(f"no result {a.open}", file=sys.stderr)
             return 1
-        return _show(S.open_rows(store.read("email_sources"), hit.message_id, preference).collect(), settings.webmail)
+        return _show(S.open_rows(store.look_up("email_sources", [hit.message_id]), hit.message_id, preference).collect(), settings.webmail)
     return 0
 
 

@@ -28,7 +28,7 @@ def envelopes(data: bytes, scan_from: int = 0) -> list[Envelope]:
         return []
     found = [at] if data.startswith(MARK, at) else []
     found += [m + 1 for m in _offsets(data, b"\n" + MARK, at)]
-    ends = [*found[1:], len(data)]
+    ends = [*found[1:], len(data)] if found else []
     out = []
     for start, end in zip(found, ends, strict=True):
         line = data.find(b"\n", start, end)

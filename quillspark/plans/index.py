@@ -92,14 +92,33 @@ def embed_pending(store: Store, encoder: E.Encoder, mailing_lists: bool = False)
     return n
 
 
-def cycle(spark: SparkSession, store: Store, stores: dict[str, str], encoder: E.Encoder, mailing_lists: bool = False) -> Summary:
-    """Scans ``stores`` (source to path, in order of preference) and brings everything up to date."""
-    began, before = time.monotonic(), store.parts()
-    pairs, status = mail.scan(spark, stores)
-    new = reconcile(store, pairs, status, list(stores))
+def _finish(store: Store, new: int, encoder: E.Encoder, mailing_lists: bool, before: dict, began: float) -> Summary:
     removed = collect_garbage(store)
     embedded = embed_pending(store, encoder, mailing_lists)
     store.vacuum(but=before)  # a search that began before this cycle still finds its parts
     counts = store.counts()
     pending = E.count_unembedded(store.read("emails"), mailing_lists).first().n
     return Summary(counts["emails"], counts["email_sources"], counts["email_vectors"], new, removed, embedded, pending, time.monotonic() - began, store.size())
+
+
+def cycle(spark: SparkSession, store: Store, stores: dict[str, str], encoder: E.Encoder, mailing_lists: bool = False) -> Summary:
+    """Scans ``stores`` (source to path, in order of preference) and brings everything up to date. All files are read, once."""
+    began, before = time.monotonic(), store.parts()
+    found = store.staged(mail.events(spark, stores), "events")
+    new = reconcile(store, mail.pairs_of(found), mail.status_of(found), list(stores))
+    return _finish(store, new, encoder, mailing_lists, before, began)
+
+
+def absorb(store: Store, changed: DataFrame, preference: list[str], encoder: E.Encoder, mailing_lists: bool = False) -> Summary:
+    """The same from the events of changed files only; what unchanged files hold is known from earlier scans.
+
+    A file of which any range failed keeps what was known of it. Absorbing the same events again changes nothing.
+    """
+    began, before = time.monotonic(), store.parts()
+    found = store.staged(changed, "events")
+    file = ["source", "path"]
+    failed = found.filter("kind = 'failed'").select(*file)
+    touched = found.filter("kind IN ('read', 'gone')").select(*file).distinct().join(failed, file, "left_anti")
+    store.commit(gone={"scan_pairs": touched}, add={"scan_pairs": mail.pairs_of(found).join(touched, file, "left_semi")})
+    new = reconcile(store, store.read("scan_pairs"), mail.status_of(found), preference)
+    return _finish(store, new, encoder, mailing_lists, before, began)

@@ -1,4 +1,4 @@
-"""The catalogue: three tables, each a list of Parquet parts, that change together.
+"""The catalogue: three tables (and one of scans), each a list of Parquet parts, that change together.
 
 Built-in tables know no MERGE, so a change appends parts: rows that come, and keys that go. One pointer file names the
 parts of all tables and is moved by an atomic rename: readers see all of a change or nothing, and a crash leaves the
@@ -15,15 +15,19 @@ import uuid
 from pathlib import Path
 from types import TracebackType
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.schema import EMAIL_SOURCES, EMAIL_VECTORS, EMAILS
+from quillspark.schema import EMAIL_SOURCES, EMAIL_VECTORS, EMAILS, SCAN_PAIRS
 
-TABLES = {"emails": EMAILS, "email_sources": EMAIL_SOURCES, "email_vectors": EMAIL_VECTORS}
+CATALOGUE = {"emails": EMAILS, "email_sources": EMAIL_SOURCES, "email_vectors": EMAIL_VECTORS}
+#: Besides the catalogue: where the last scan of each file found messages, for scans that read changed files only.
+TABLES = CATALOGUE | {"scan_pairs": SCAN_PAIRS}
 #: What tells a table's rows apart, for those that go.
-KEYS = {"emails": ["message_id"], "email_sources": ["source", "message_id"], "email_vectors": ["id"]}
-MAX_PARTS = 12
+KEYS = {"emails": ["message_id"], "email_sources": ["source", "message_id"], "email_vectors": ["id"], "scan_pairs": ["source", "path"]}
+#: What point look-ups name.
+LOOKED_UP = {"emails": ["message_id", "id"], "email_sources": ["message_id"], "email_vectors": ["id"], "scan_pairs": ["path"]}
+MAX_PARTS, ROW_GROUP = 12, 16 << 20
 
 Parts = list[list[str]]  # [["add" or "gone", folder], ...], in order
 
@@ -33,8 +37,8 @@ def _columns(ddl: str) -> list[str]:
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, row_group: int = ROW_GROUP) -> None:
+        self.spark, self.path, self.row_group = spark, path.rstrip("/"), row_group
         jvm = spark.sparkContext._jvm  # noqa: SLF001
         self._path = jvm.org.apache.hadoop.fs.Path
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()  # noqa: SLF001
@@ -54,8 +58,11 @@ class Store:
     def _key_ddl(self, table: str) -> str:
         return ", ".join(c for c in TABLES[table].split(", ") if c.split()[0] in KEYS[table])
 
-    def _rows(self, table: str, parts: Parts) -> DataFrame:
-        """Rows of all parts but for those whose key a later part takes away: one anti-join, if any part does."""
+    def _rows(self, table: str, parts: Parts, only: Column | None = None) -> DataFrame:
+        """Rows of all parts but for those whose key a later part takes away: one anti-join, if any part does.
+
+        ``only``: a condition on the rows that stands at the scan.
+        """
         ddl, keys = TABLES[table], KEYS[table]
         folder = f"{self.path}/{table}"
         add = [(k, name) for k, (kind, name) in enumerate(parts) if kind == "add"]
@@ -63,7 +70,8 @@ class Store:
         if not add:
             return self.spark.createDataFrame([], ddl)
         if not gone or gone[-1][0] < add[0][0]:
-            return self.spark.read.schema(ddl).parquet(*(f"{folder}/{name}" for _, name in add))
+            read = self.spark.read.schema(ddl).parquet(*(f"{folder}/{name}" for _, name in add))
+            return read if only is None else read.filter(only)
 
         def numbered(schema: str, named: list[tuple[int, str]], number: str) -> DataFrame:
             read = [self.spark.read.schema(schema).parquet(f"{folder}/{name}").withColumn(number, F.lit(k)) for k, name in named]
@@ -71,6 +79,7 @@ class Store:
 
         last = numbered(self._key_ddl(table), gone, "_gone").groupBy(*keys).agg(F.max("_gone").alias("_gone"))
         rows = numbered(ddl, add, "_part")
+        rows = rows if only is None else rows.filter(only)
         same = functools.reduce(lambda x, y: x & y, (rows[c] == last[c] for c in keys))
         return rows.join(last, same & (last["_gone"] > rows["_part"]), "left_anti").drop("_part")
 
@@ -82,12 +91,24 @@ class Store:
         columns = _columns(TABLES[table]) if kind == "add" else KEYS[table]
         name, seen = f"{kind}-{uuid.uuid4().hex}", Observation()
         rows = df.select(*columns) if kind == "add" else df.select(*columns).distinct()
-        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{self.path}/{table}/{name}")
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).sortWithinPartitions(*LOOKED_UP[table]).write.options(**self._layout(table)).parquet(f"{self.path}/{table}/{name}")
         n = seen.get["n"]
         if not n:
             self._fs().delete(self._path(f"{self.path}/{table}/{name}"), True)
         return ([kind, name] if n else None), n
 
+    def _layout(self, table: str) -> dict[str, str]:
+        """Row groups of bounded size, each with a Bloom filter of the keys that look-ups name."""
+        filters = {f"parquet.bloom.filter.enabled#{key}": "true" for key in LOOKED_UP[table]}
+        return {"parquet.block.size": str(self.row_group), "parquet.bloom.filter.adaptive.enabled": "true"} | filters
+
+    def look_up(self, table: str, values: list, key: str | None = None) -> DataFrame:
+        """The rows whose key (the first that the table is looked up by) is among ``values``.
+
+        Parts are sorted by it and their row groups have a range and a Bloom filter, so few row groups are read.
+        """
+        return self._rows(table, self.parts().get(table, []), F.col(key or LOOKED_UP[table][0]).isin(values))
+
     def commit(self, add: dict[str, DataFrame] | None = None, gone: dict[str, DataFrame] | None = None) -> dict[str, tuple[int, int]]:
         """Takes the rows with the keys of ``gone`` away, then appends ``add``; all of it becomes current at once.
 
@@ -141,7 +162,7 @@ class Store:
                     fs.delete(status.getPath(), True)
 
     def counts(self) -> dict[str, int]:
-        return {t: self.read(t).count() for t in TABLES}
+        return {t: self.read(t).count() for t in CATALOGUE}
 
     def size(self) -> int:
         """Bytes of the parts on disk."""

@@ -14,13 +14,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import columns as C
+from quillspark.functions import headers
 from quillspark.functions import udfs as U
 from quillspark.functions.text import INVISIBLE
 from quillspark.operators import embed as E
 from quillspark.operators import search as S
 from quillspark.operators import fingerprints, sync
 from quillspark.operators.ball_index import BallIndex
-from quillspark.sources import mail
+from quillspark.session import scratch
+from quillspark.sources import mail, split
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -446,6 +448,12 @@ def peek_message_id(spark, sf_dir):
     return d.select("doc_id", U.peek_message_id(_raw(d)).alias("message_id"))
 
 
+@_query("peek_message_id_columns", SQL["peek_message_id"])
+def peek_message_id_columns(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents")
+    return d.select("doc_id", headers.message_id(_raw(d)).alias("message_id"))
+
+
 STARTS = "len(regexp_extract_all(text, '(^|\\n)From '))"
 
 
@@ -481,6 +489,18 @@ def mbox_listing(spark, sf_dir):
     return mail.list_binary(_boxes(spark, sf_dir), "thunderbird").select("message_id", "path", "offset", "locator")
 
 
+@_query("mbox_listing_split", SQL["mbox_listing"])
+def mbox_listing_split(spark, sf_dir):
+    """The same mailboxes, written as files and split by Spark's text reader."""
+    d = _table(spark, sf_dir, "documents").withColumn("quoted", F.regexp_replace("text", r"(^|\n)(>*From )", "$1>$2"))
+    told = F.expr(TOLD.replace("QUOTED", "quoted"))
+    rows = d.select("doc_id", F.floor(F.col("doc_id") / BOX).alias("box"), F.left(told, F.length(told) - 1).alias("told"))  # the writer ends each row with a line break
+    path = scratch(spark, "boxes")
+    rows.repartition("box").sortWithinPartitions("box", "doc_id").select("told", "box").write.partitionBy("box").text(path)
+    box = F.concat(F.lit("/box/"), F.regexp_extract("path", "box=([0-9]+)/", 1))
+    return split.list_text(spark, f"{path}/*", "thunderbird").select("message_id", box.alias("path"), "offset", C.locator(box, "offset").alias("locator"))
+
+
 @_query("mbox_fetch", f"SELECT 'm' || doc_id || '@x' AS message_id, sha256(concat({HEADERS}, text, {NL}, {NL})) AS raw_sha256, NULL::VARCHAR AS error FROM documents")
 def mbox_fetch(spark, sf_dir):
     """Every message found in the mailboxes, read back by its locator."""

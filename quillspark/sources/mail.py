@@ -1,9 +1,15 @@
 """Mail stores as Spark data sources.
 
-``quillmail`` lists where messages are (source, message_id, locator, path, offset) or, with ``status=true``, how
-reading each file went. Large mbox files are split by byte ranges; each range owns the messages that start in it.
-Only headers are read. Register with ``register(spark)``; read with ``spark.read.format("quillmail")`` and the options
-``source`` (apple-mail, thunderbird, plain-mbox), ``path`` and, for tests, ``chunk``.
+``quillmail`` lists where messages are (source, message_id, locator, path, offset); with ``status=true`` how
+reading each file went; with ``events=true`` both, from one reading. Large mbox files are split by byte ranges; each range owns the
+messages that start in it. Only headers are read. Register with ``register(spark)``; read with ``spark.read.format("quillmail")`` and
+the options ``source`` (apple-mail, thunderbird, plain-mbox), ``path`` and, for tests, ``chunk``.
+
+``find`` hands filters on source, path, locator and message_id to the source: files and ranges that can't hold a wanted message
+get no partition.
+
+As a stream (option ``manifests``: a folder), an offset stands for a manifest of all files with their sizes and times. A batch reads
+the files that are new or other than in the manifest before, names those that are gone, and touches no other.
 
 Stores that only Spark can read go through ``list_binary``, which takes ``binaryFile`` rows.
 """
@@ -11,6 +17,9 @@ Stores that only Spark can read go through ``list_binary``, which takes ``binary
 from __future__ import annotations
 
 import base64
+import functools
+import hashlib
+import json
 import os
 import pickle
 import tempfile
@@ -20,12 +29,12 @@ from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition, StringStartsWith
 
 from quillspark.functions import mbox, mime
-from quillspark.schema import SCAN_PAIRS, SCAN_STATUS
+from quillspark.schema import SCAN_EVENTS, SCAN_PAIRS, SCAN_STATUS
 from quillspark.settings import SOURCES, source
 from quillspark.sources import files
 
@@ -103,50 +112,99 @@ def scan_mbox(path: str, lo: int, hi: int, skip: Callable[[bytes], bool]) -> Ite
             message = head[line + 1 :]
             if len(message) < mime.PEEK_BYTES:
                 message += f.read(mime.PEEK_BYTES - len(message))
-            message = message[: mime.PEEK_BYTES]
+            end = (b"\n" + message).find(b"\n" + mbox.MARK)  # the next envelope
+            message = message[: end if end >= 0 else mime.PEEK_BYTES]
             if not skip(message) and (mid := mime.peek_id(message)):
                 yield mid, start
 
 
+#: What a filter taken over asks of a column: equal to one of some values, or starting with one.
+Wanted = list[tuple[str, str, tuple]]
+
+
+def _fits(wanted: Wanted, **row: object) -> bool:
+    for column, how, values in wanted:
+        if column in row:
+            value = row[column]
+            if not (value in values if how == "in" else isinstance(value, str) and value.startswith(values)):
+                return False
+    return True
+
+
 class MailReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         packed = options.get("connector")  # planned in another process, which knows the built-in ones only
         self.connector = pickle.loads(base64.b64decode(packed)) if packed else CONNECTORS[source(options["source"])]  # noqa: S301
         self.path = options["path"]
         self.chunk = int(options.get("chunk", CHUNK))
-        self.status = options.get("status", "false").lower() == "true"
+        self.rows = next((m for m in ("status", "events") if options.get(m, "false").lower() == "true"), "pairs")
+        self.wanted: Wanted = []
+
+    def _places(self) -> list[dict[str, int | None]]:
+        """For each filter on whole locators: the files they name, with the offset if there is one only."""
+        out = []
+        for column, how, values in self.wanted:
+            if column == "locator" and how == "in":
+                named: dict[str, list[int]] = {}
+                for value in values:
+                    try:
+                        path, offset = mbox.parse_locator(value)
+                        named.setdefault(path, []).append(offset)
+                    except ValueError:
+                        named.setdefault(value, []).append(0)
+                out.append({p: at[0] if len(at) == 1 else None for p, at in named.items()})
+        return out
+
+    def ranges(self, path: str, size: int) -> list[Range]:
+        step = max(1, size) if self.connector.one_per_file else self.chunk
+        return [Range(path, lo, min(lo + step, max(1, size)), self.connector.name) for lo in range(0, max(1, size), step)]
 
     def partitions(self) -> list[InputPartition]:
-        kind = self.connector.name
+        nothing = [Range("", 0, 0, "")]
+        if not _fits(self.wanted, source=self.connector.name):
+            return nothing
         paths, complete = self.connector.files(self.path)
         out: list[InputPartition] = []
+        places = self._places()
         for p in paths:
-            size = os.path.getsize(p) if os.path.exists(p) else 0
-            step = max(1, size) if self.connector.one_per_file else self.chunk
-            out += [Range(p, lo, min(lo + step, max(1, size)), kind) for lo in range(0, max(1, size), step)]
-        if not complete:
-            out.append(Range("", 0, 0, kind))
-        return out or [Range("", 0, 0, "")]
-
-    def read(self, partition: Range) -> Iterator[tuple]:
+            if not _fits(self.wanted, path=p) or not all(p in named for named in places):
+                continue
+            found = self.ranges(p, os.path.getsize(p) if os.path.exists(p) else 0)
+            for named in places:
+                at = named[p]
+                found = [r for r in found if at is None or r.lo <= at < r.hi]
+            out += found
+        if not complete and self.rows != "pairs":
+            out.append(Range("", 0, 0, self.connector.name))
+        return out or nothing
+
+    def events(self, partition: Range) -> Iterator[tuple]:
+        """What reading a range found: that it was read and its messages, or that it failed."""
         kind, path = partition.kind, partition.path
         if not kind:
             return
         if not path:  # stands for a folder that couldn't be read
-            if self.status:
-                yield kind, self.path, False, "a folder could not be read"
+            yield kind, self.path, "failed", None, None, None, "a folder could not be read"
             return
         try:
-            found = [(*x,) for x in self._messages(partition)]
-            failure = None
+            found = list(self._messages(partition))
         except OSError as e:
-            found, failure = [], str(e)
-        if self.status:
-            yield kind, path, failure is None, failure
-        else:
-            for mid, offset in found:
-                where = path if self.connector.one_per_file else mbox.locator(path, offset)
-                yield kind, mid, where, path, offset
+            yield kind, path, "failed", None, None, None, str(e)
+            return
+        yield kind, path, "read", None, None, None, None
+        for mid, offset in found:
+            yield kind, path, "message", mid, path if self.connector.one_per_file else mbox.locator(path, offset), offset, None
+
+    def read(self, partition: Range) -> Iterator[tuple]:
+        for name, path, kind, mid, where, offset, error in self.events(partition):
+            if self.rows == "events":
+                if _fits(self.wanted, source=name, path=path, message_id=mid, locator=where):
+                    yield name, path, kind, mid, where, offset, error
+            elif self.rows == "status":
+                if kind != "message" and _fits(self.wanted, source=name, path=path):
+                    yield name, path, kind == "read", error
+            elif kind == "message" and _fits(self.wanted, source=name, path=path, message_id=mid, locator=where):
+                yield name, mid, where, path, offset
 
     def _messages(self, r: Range) -> Iterator[tuple[str, int]]:
         if not self.connector.one_per_file:
@@ -161,39 +219,167 @@ class MailReader(DataSourceReader):
             yield mid, 0
 
 
+class FindingReader(MailReader):
+    """Takes filters over; only for frames that ``find`` makes."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802 - Spark's name
+        for f in filters:
+            column = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            if column in ("source", "path", "locator", "message_id") and isinstance(f, EqualTo):
+                self.wanted.append((column, "in", (f.value,)))
+            elif column in ("source", "path", "locator", "message_id") and isinstance(f, In):
+                self.wanted.append((column, "in", tuple(f.value)))
+            elif column in ("path", "locator") and isinstance(f, StringStartsWith):
+                self.wanted.append((column, "starts", (f.value,)))
+            else:
+                yield f
+
+
+@dataclass
+class Gone(InputPartition):
+    """Files that were there before."""
+
+    paths: list[str]
+
+
+class MailStreamReader(DataSourceStreamReader):
+    """Offsets name manifests: {path: [size, time of last change]}, kept as JSON files in a folder until they are behind.
+
+    A folder that can't be read leaves the manifest as it was there, so nothing below it counts as gone.
+    """
+
+    def __init__(self, options: dict[str, str]) -> None:
+        self.reader = MailReader(options | {"events": "true"})
+        self.folder = options["manifests"].removeprefix("file:")
+        os.makedirs(self.folder, exist_ok=True)
+
+    def _file(self, name: str) -> str:
+        return os.path.join(self.folder, f"{name}.json")
+
+    def _manifest(self, name: str) -> dict[str, list[int]]:
+        if not name:
+            return {}
+        with open(self._file(name), encoding="utf-8") as f:
+            return json.load(f)
+
+    def _keep(self, name: str, text: str) -> None:
+        with open(self._file(f".{name}"), "w", encoding="utf-8") as f:
+            f.write(text)
+        os.replace(self._file(f".{name}"), self._file(name))
+
+    def initialOffset(self) -> dict:  # noqa: N802 - Spark's name
+        return {"manifest": ""}
+
+    def latestOffset(self) -> dict:  # noqa: N802 - Spark's name
+        try:
+            paths, complete = self.reader.connector.files(self.reader.path)
+        except OSError:
+            paths, complete = [], False
+        found = {}
+        for p in paths:
+            try:
+                told = os.stat(p)
+            except OSError:
+                continue  # gone since it was listed
+            found[p] = [told.st_size, told.st_mtime_ns]
+        if not complete and os.path.exists(self._file("last")):
+            found = self._manifest("last") | found
+        text = json.dumps(found, sort_keys=True)
+        name = hashlib.sha256(text.encode()).hexdigest()
+        self._keep(name, text)
+        self._keep("last", text)
+        return {"manifest": name}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        before, after = self._manifest(start["manifest"]), self._manifest(end["manifest"])
+        out: list[InputPartition] = [r for p, told in after.items() if before.get(p) != told for r in self.reader.ranges(p, told[0])]
+        gone = sorted(set(before) - set(after))
+        return out + [Gone(gone)] * bool(gone)
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        if isinstance(partition, Gone):
+            for path in partition.paths:
+                yield self.reader.connector.name, path, "gone", None, None, None, None
+        else:
+            yield from self.reader.events(partition)
+
+    def commit(self, end: dict) -> None:
+        """Manifests older than the one that is done are behind."""
+        done = os.stat(self._file(end["manifest"])).st_mtime_ns
+        for entry in os.scandir(self.folder):
+            if entry.name not in ("last.json", f"{end['manifest']}.json") and entry.stat().st_mtime_ns < done:
+                os.unlink(entry.path)
+
+
 class MailSource(DataSource):
     @classmethod
     def name(cls) -> str:
         return "quillmail"
 
     def schema(self) -> str:
-        return SCAN_STATUS if self.options.get("status", "false").lower() == "true" else SCAN_PAIRS
+        asked = lambda name: self.options.get(name, "false").lower() == "true"
+        return SCAN_EVENTS if "manifests" in self.options or asked("events") else SCAN_STATUS if asked("status") else SCAN_PAIRS
 
     def reader(self, schema) -> MailReader:  # noqa: ANN001
-        return MailReader(dict(self.options))
+        return FindingReader(dict(self.options)) if "find" in self.options else MailReader(dict(self.options))
+
+    def streamReader(self, schema) -> MailStreamReader:  # noqa: ANN001, N802 - Spark's name
+        return MailStreamReader(dict(self.options))
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(MailSource)
 
 
+def _options(name: str, path: str) -> dict[str, str]:
+    own = {} if name in BUILT_IN else {"connector": base64.b64encode(cloudpickle.dumps(CONNECTORS[name])).decode()}
+    return {"source": name, "path": path} | own
+
+
+def _each(spark: SparkSession, stores: dict[str, str], ddl: str, **options: object) -> DataFrame:
+    """One reading of each available store, one after the other."""
+    register(spark)
+    there = [(name, path) for name, path in stores.items() if available(source(name), path)]
+    parts = [spark.read.format("quillmail").options(**_options(name, path), **options).load() for name, path in there]
+    return functools.reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], ddl)
+
+
 def scan(spark: SparkSession, stores: dict[str, str], **options: object) -> tuple[DataFrame, DataFrame]:
-    """(pairs, status) of all available stores, given as source to path, in order of preference."""
+    """(pairs, status) of all available stores, given as source to path, in order of preference: two readings."""
+    return _each(spark, stores, SCAN_PAIRS, **options), _each(spark, stores, SCAN_STATUS, status="true", **options)
+
+
+def find(spark: SparkSession, stores: dict[str, str], condition: Column, **options: object) -> DataFrame:
+    """The pairs that meet a condition; what it says of source, path, locator and message_id is settled in the source.
+
+    The session's setting for such filters is on from then on. A loaded source keeps the filters it took over last, so each store is loaded
+    for this frame alone, with a filter on its name that makes every query on the frame hand over its own.
+    """
     register(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     there = [(name, path) for name, path in stores.items() if available(source(name), path)]
+    parts = [spark.read.format("quillmail").options(**_options(name, path), find="true", **options).load().filter((F.col("source") == name) & condition) for name, path in there]
+    return functools.reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], SCAN_PAIRS)
+
+
+def events(spark: SparkSession, stores: dict[str, str], **options: object) -> DataFrame:
+    """Messages and how reading their files went, from one reading of all available stores."""
+    return _each(spark, stores, SCAN_EVENTS, events="true", **options)
+
+
+def follow(spark: SparkSession, stores: dict[str, str], manifests: str, **options: object) -> DataFrame:
+    """A stream of the same: files that are new, changed or gone since the batch before. ``manifests``: a folder of its own."""
+    register(spark)
+    parts = [spark.readStream.format("quillmail").options(**_options(source(name), path), manifests=f"{manifests}/{name}", **options).load() for name, path in stores.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def pairs_of(found: DataFrame) -> DataFrame:
+    return found.filter("kind = 'message'").select(*PAIRS)
 
-    def read(name: str, path: str, status: bool) -> DataFrame:
-        own = {} if name in BUILT_IN else {"connector": base64.b64encode(cloudpickle.dumps(CONNECTORS[name])).decode()}
-        return spark.read.format("quillmail").options(source=name, path=path, status=str(status).lower(), **own, **options).load()
 
-    out = []
-    for status, ddl in ((False, SCAN_PAIRS), (True, SCAN_STATUS)):
-        parts = [read(name, path, status) for name, path in there]
-        one = parts[0] if parts else spark.createDataFrame([], ddl)
-        for more in parts[1:]:
-            one = one.unionByName(more)
-        out.append(one)
-    return out[0], out[1]
+def status_of(found: DataFrame) -> DataFrame:
+    return found.filter("kind <> 'message'").select("source", "path", (F.col("kind") != "failed").alias("ok"), "error")
 
 
 def list_binary(content: DataFrame, name: str) -> DataFrame:
@@ -211,7 +397,7 @@ def list_binary(content: DataFrame, name: str) -> DataFrame:
                     except ValueError:
                         found = []
                 else:
-                    heads = [(e, data[e.body_start : e.body_start + mime.PEEK_BYTES]) for e in mbox.envelopes(data) if e.body_start < len(data)]
+                    heads = [(e, data[e.body_start : min(e.end, e.body_start + mime.PEEK_BYTES)]) for e in mbox.envelopes(data) if e.body_start < e.end]
                     found = [(mime.peek_id(h), e.envelope_start) for e, h in heads if not skip(h)]
                 rows += [(name, mid, path if at is None else mbox.locator(path, at), path, at or 0) for mid, at in found if mid]
             cols = list(zip(*rows, strict=True)) or [()] * 5

@@ -20,6 +20,7 @@ def test_envelopes():
     assert mbox.envelopes(data, 31) == [(31, 38, len(data))]
     assert mbox.envelopes(b"From x") == [(0, 6, 6)]
     assert mbox.envelopes(data, 30) == [(31, 38, len(data))]
+    assert mbox.envelopes(b"no mail at all\n") == []
 
 
 def test_unescape():

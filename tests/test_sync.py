@@ -124,14 +124,3 @@ def test_search_batch_against_all_pairs(spark, monkeypatch):
         for r in S.search_batch(vectors, queries, 7).orderBy("query_id", "rank").collect():
             got.setdefault(r.query_id, []).append(r.id)
         assert got == want
-
-
-def test_dedup_stream(spark, tmp_path):
-    from quillspark.streaming.poll import upsert_first
-
-    src, out, point = (str(tmp_path / x) for x in ("in", "out", "cp"))
-    schema = "message_id string, v int"
-    for k in range(2):
-        spark.createDataFrame([("a", k), (f"n{k}", k)], schema).coalesce(1).write.mode("append").parquet(src)
-        upsert_first(spark.readStream.schema(schema).parquet(src), out, point).awaitTermination(120)
-    assert sorted(r.message_id for r in spark.read.parquet(out).collect()) == ["a", "n0", "n1"]
