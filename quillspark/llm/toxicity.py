@@ -13,7 +13,8 @@ Whole texts are scored inside map tasks; nothing but counts is shuffled.
 Defined edge cases: null and empty texts score the base rate; null labels are not learned from; without toxic
 labels there is no evidence and the score is the share of label 1; repeated rows each get a score; an empty
 table gives an empty result; only id and text columns are read. An id with two labels is learned from with each. Very
-long texts are scored token by token; a token without white space, however long, is decoded sign by sign.
+long texts are scored token by token; a token without white space, however long, is decoded sign by sign, in time in proportion to its length. A labelled text beyond
+``max_bytes`` isn't learned from.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ CODE[[*range(97, 123)]] = range(1, 27)
 CODE[[*range(65, 91)]] = range(1, 27)
 CODE[39] = 27
 BLOCK = 1 << 20
+CACHED = 40  # signs of a token that is remembered, at most
 
 #: What a sign may stand for (fixed values).
 LOOKS = {
@@ -108,6 +110,15 @@ def parts_of(word: str) -> list[str]:
     return ["=" + word, *(word[:n] for n in range(3, min(11, len(word) + 1)))]
 
 
+def _told(taken: tuple) -> str:
+    """The pieces of a path, from its last one back."""
+    pieces = []
+    while taken:
+        taken, piece = taken
+        pieces.append(piece)
+    return "".join(reversed(pieces))
+
+
 @dataclass
 class Model:
     """Negative log probabilities of trigrams, evidence with its weight log(1 - share), and the base rate."""
@@ -127,7 +138,7 @@ class Model:
     def decode(self, token: str, gaps: bool = True) -> str:
         """The likeliest original of a disguised token: Viterbi over what its signs may stand for."""
         runs = [(m[0][0], len(m[0])) for m in RUNS.finditer(token)]
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}  # costs, and what was taken: (what was taken before, piece)
         cost = self.cost
         for sign, n in runs:
             options: list[tuple[str, float]] = []
@@ -143,8 +154,8 @@ class Model:
                     options = [("", GAP_COST)]
                 elif sign in ".!|(" or sign in PUNCTUATION:
                     options.append(("", GAP_COST + 1.5))
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (so_far, text) in best.items():
+            new: dict[tuple[int, int], tuple[float, tuple]] = {}
+            for (a, b), (so_far, taken) in best.items():
                 for piece, price in options:
                     x, y, total = a, b, so_far + price
                     for c in piece:
@@ -152,10 +163,11 @@ class Model:
                         total += cost[x, y, code]
                         x, y = y, code
                     if (x, y) not in new or total < new[x, y][0]:
-                        new[x, y] = (total, text + piece)
+                        new[x, y] = (total, (taken, piece))
             best = new
-        end = [(total + cost[a, b, 0], text) for (a, b), (total, text) in best.items()]
-        return min(end)[1]
+        end = [(total + cost[a, b, 0], taken) for (a, b), (total, taken) in best.items()]
+        least = min(total for total, _ in end)
+        return min(_told(taken) for total, taken in end if total == least)
 
     def _weights(self, text: str) -> dict[str, float]:
         """The strongest evidence of each word."""
@@ -181,9 +193,11 @@ class Model:
         for token in set(low.split()):
             known = cache.get(token)
             if known is None:
-                if len(cache) > 300_000:
+                if len(cache) > 200_000:
                     cache.clear()
-                known = cache[token] = self.of_token(token) or ()
+                known = self.of_token(token) or ()
+                if len(token) <= CACHED:
+                    cache[token] = known
             if known:
                 evidence |= known
         for m in SPACED.finditer(low):
@@ -277,8 +291,13 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", usable: Co
                 counts[a * SYMBOLS**2 + b * SYMBOLS + c] += weight
     cube = counts.reshape(SYMBOLS, SYMBOLS, SYMBOLS) + 0.5
     cost = -np.log(cube / cube.sum(axis=2, keepdims=True))
-    # a document's score without evidence: label 1 documents that show none are rare
-    return Model(cost, evidence, 0.02 * base if evidence else base)
+    return Model(cost, evidence, unexplained(Model(cost, evidence, 0.0), set(got), base) if evidence else base)
+
+
+def unexplained(model: Model, rows: set, base: float) -> float:
+    """The share of label 1 among documents that show no evidence: a document's score without any."""
+    none = [r.label for r in rows if model.score(r.text or "") == 0]
+    return (sum(none) + base) / (len(none) + 1)
 
 
 def score_column(model: Model, text: Column) -> Column:

@@ -747,6 +747,23 @@ def test_near_dedup(docs, empty, spark):
     assert agreement(b[0], b[0]) == 1.0 and agreement(b[0], b[1]) == 0.0 and agreement(b[1], b[2]) > 0.9
 
 
+def test_toxicity_of_one_very_long_token():
+    """Decoding takes time in proportion to the token: four times the signs, not sixteen times the seconds."""
+    import time
+
+    from quillspark.llm import toxicity as T
+
+    cost = -np.log(np.random.default_rng(3).dirichlet(np.ones(T.SYMBOLS), (T.SYMBOLS, T.SYMBOLS)) + 1e-6)
+    m = T.Model(cost, {"=bad": -2.0}, 0.1)
+    took = []
+    for n in (50_000, 200_000):
+        began = time.process_time()
+        assert len(m.decode("b4d1!x" * (n // 6))) > n // 3
+        took.append(time.process_time() - began)
+    assert took[1] < 9 * took[0]
+    assert 0 <= m.score("b4d1!x" * 20_000 + " bad") <= 1 and not any(len(t) > T.CACHED for t in m.cache)
+
+
 def test_toxicity_counts_all_evidence():
     from quillspark.llm.toxicity import Model
 
