@@ -9,14 +9,16 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import columns as C
+from quillspark.session import shuffle_partitions
 
 DOCUMENT, QUERY = "Document:", "Query:"
 MAX_TOKENS = 8192
 BATCH = 256
+BYTES_PER_TOKEN, CLASSES = 4.0, 1024
 
 
 class Encoder(Protocol):
@@ -99,11 +101,37 @@ def next_batch(emails: DataFrame, n: int = BATCH, mailing_lists: bool = False) -
     return pending(emails, mailing_lists=mailing_lists).orderBy("body_length", "id").limit(n)
 
 
+def token_cost(length: Column) -> Column:
+    """What encoding a text of so many bytes costs, in tokens: four bytes each up to the budget, two for start and end."""
+    return F.least(length / BYTES_PER_TOKEN + 2, F.lit(float(MAX_TOKENS)))
+
+
+def by_cost(rows: DataFrame, n: int, length: str = "body_length", key: str = "id") -> DataFrame:
+    """``rows`` in ``n`` partitions of about equal cost, those of like length together and in order of length.
+
+    Lengths fall into at most ``CLASSES`` classes, whose costs are summed once. In order of length each class gets the stretch of
+    partitions that its share of the cost fills, and its rows are spread over that stretch by hash of ``key``: a length that half of all
+    rows have is as many partitions as it costs.
+    """
+    spark = rows.sparkSession
+    # as far as the logarithm of a length has come, in 32nds of a doubling
+    kind = F.least(F.floor(F.log2(F.greatest(F.coalesce(F.col(length), F.lit(0)), F.lit(0)).cast("double") + 1.0) * 32), F.lit(CLASSES - 1)).cast("int")
+    sums = {r.kind: r.cost for r in rows.groupBy(kind.alias("kind")).agg(F.sum(token_cost(F.coalesce(F.col(length), F.lit(0)))).alias("cost")).collect()}  # CLASSES at most
+    total = sum(sums.values()) or 1.0
+    starts, shares, at = [0.0] * CLASSES, [0.0] * CLASSES, 0.0
+    for k in sorted(sums):
+        starts[k], shares[k] = n * at / total, n * sums[k] / total
+        at += sums[k]
+    spread = F.pmod(F.xxhash64(key), F.lit(1 << 20)) / float(1 << 20)
+    place = F.get(F.lit(starts), F.col("_kind")) + F.get(F.lit(shares), F.col("_kind")) * spread
+    placed = rows.withColumn("_kind", kind).withColumn("_part", F.least(F.floor(place), F.lit(n - 1)).cast("int"))
+    return placed.repartitionById(n, F.col("_part")).drop("_kind", "_part").sortWithinPartitions(length, key)
+
+
 def embed(emails: DataFrame, encoder: Encoder, partitions: int | None = None) -> DataFrame:
-    """(id, embedding) of all rows in one pass: texts of like length share a partition and a batch."""
+    """(id, embedding) of all rows in one pass: partitions of equal cost, texts of like length in a partition and a batch."""
     spark = emails.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = emails.select("id", C.embed_input().alias("text"), "body_length").repartitionByRange(n, "body_length").sortWithinPartitions("body_length", "id")
+    rows = by_cost(emails.select("id", C.embed_input().alias("text"), "body_length"), partitions or shuffle_partitions(spark))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

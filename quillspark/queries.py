@@ -23,6 +23,7 @@ from quillspark.operators import fingerprints, sync
 from quillspark.operators.ball_index import BallIndex
 from quillspark.session import scratch
 from quillspark.sources import mail, split
+from quillspark.streaming.poll import upsert_first
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -119,6 +120,25 @@ def ball_search_batch(spark, sf_dir):
     return BallIndex.build(vectors(spark, sf_dir)).search_batch(queries, 5).withColumn("distance", F.round("distance", 6))
 
 
+SENT = "(date_trunc('second', to_timestamp(doc_id * 86399)) AT TIME ZONE 'UTC')"
+RANKED_SQL = f"""
+WITH {QUERY_CTE},
+hits AS (SELECT e.vec_id AS id, {DISTANCE} AS distance FROM embeddings e, q ORDER BY 2, 1 LIMIT 30),
+scored AS (SELECT d.*, h.distance, (1 - h.distance) * least(1.0::DOUBLE, 0.3::DOUBLE + 0.7::DOUBLE * (strlen(d.source) + strlen(d.text)) / 50.0::DOUBLE) AS score FROM hits h JOIN documents d ON d.doc_id = h.id),
+top AS (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, distance, doc_id) AS INTEGER) AS rank FROM scored ORDER BY score DESC, distance, doc_id LIMIT 10),
+shown AS (SELECT *, {SENT} AS sent, replace(left(text, 118), chr(10), ' ') AS preview, 'm' || doc_id AS message_id, 'User ' || lang || ' <u' || doc_id || '@example.org>' AS sender FROM top)"""
+
+
+@_query(
+    "search_rows",
+    f"""{RANKED_SQL}
+SELECT rank, round(score, 6) + 0.0 AS score, message_id, sender AS "from", 'list@example.org' AS "to", source AS subject, strftime(sent, '%Y-%m-%dT%H:%M:%S+00:00') AS date, preview AS body_preview, lang = 'de' AS is_mailing_list FROM shown""",
+)
+def search_rows(spark, sf_dir):
+    """All columns that a search reports."""
+    return S.results(S.search(vectors(spark, sf_dir), emails(spark, sf_dir), _vector(spark, sf_dir))).withColumn("score", F.round("score", 6))
+
+
 @_query("search_json")
 def search_json(spark, sf_dir):
     return S.to_json(S.results(S.search(vectors(spark, sf_dir), emails(spark, sf_dir), _vector(spark, sf_dir))))
@@ -129,6 +149,17 @@ def search_text(spark, sf_dir):
     return S.to_text(S.search(vectors(spark, sf_dir), emails(spark, sf_dir), _vector(spark, sf_dir)))
 
 
+@_query("stream_first_seen", "SELECT DISTINCT user_id, event_type FROM events")
+def stream_first_seen(spark, sf_dir):
+    """The events as a stream; a state store remembers which pairs have been seen."""
+    events = _table(spark, sf_dir, "events")
+    path = scratch(spark, "events")
+    events.select("user_id", "event_type").repartition(4).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema("user_id long, event_type string").option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    upsert_first(stream, f"{path}/out", f"{path}/checkpoint", ["user_id", "event_type"]).awaitTermination()
+    return spark.read.schema("user_id long, event_type string").parquet(f"{path}/out")
+
+
 @_query(
     "l2_normalize",
     "SELECT vec_id AS id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: (3 * x) * (3 * x)))), 5) AS norm, round(embedding[1]::DOUBLE, 5) + 0.0 AS first, len(embedding)::INTEGER AS n FROM embeddings",

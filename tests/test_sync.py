@@ -124,3 +124,21 @@ def test_search_batch_against_all_pairs(spark, monkeypatch):
         for r in S.search_batch(vectors, queries, 7).orderBy("query_id", "rank").collect():
             got.setdefault(r.query_id, []).append(r.id)
         assert got == want
+
+
+def test_partitions_of_equal_cost(spark):
+    """Half of all rows tie in length, others are very long or empty: the dearest partition is within 1.5 of the mean."""
+    from pyspark.sql import functions as F
+
+    from quillspark.operators.embed import by_cost, token_cost
+
+    rows = spark.range(20_000).select("id", F.when(F.col("id") % 2 == 0, 900).when(F.col("id") % 1_000 == 1, 60_000).otherwise(F.col("id") % 3_000).alias("body_length"))
+    rows = rows.withColumn("body_length", F.when(F.col("id") % 500 != 3, F.col("body_length")))
+    for n in (1, 7, 16):
+        dealt = by_cost(rows, n)
+        assert dealt.columns == rows.columns and dealt.rdd.getNumPartitions() == n and dealt.count() == 20_000
+        costs = dealt.groupBy(F.spark_partition_id()).agg(F.sum(token_cost(F.coalesce("body_length", F.lit(0)))).alias("c")).collect()
+        assert len(costs) == n and max(r.c for r in costs) < 1.5 * sum(r.c for r in costs) / n
+    spans = by_cost(rows, 16).groupBy(F.spark_partition_id().alias("p")).agg(F.min("body_length").alias("a"), F.max("body_length").alias("b")).orderBy("p").collect()
+    assert all(x.b <= 1.05 * y.a + 5 for x, y in zip(spans, spans[1:], strict=False))  # like lengths together
+    assert by_cost(rows.limit(0), 4).count() == 0
