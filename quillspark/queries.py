@@ -19,7 +19,7 @@ from quillspark.functions import udfs as U
 from quillspark.functions.text import INVISIBLE
 from quillspark.operators import embed as E
 from quillspark.operators import search as S
-from quillspark.operators import fingerprints, sync
+from quillspark.operators import fingerprints, meaning, sync
 from quillspark.operators.ball_index import BallIndex
 from quillspark.session import scratch
 from quillspark.sources import mail, split
@@ -149,6 +149,25 @@ def search_text(spark, sf_dir):
     return S.to_text(S.search(vectors(spark, sf_dir), emails(spark, sf_dir), _vector(spark, sf_dir)))
 
 
+@_query(
+    "meaning_copies",
+    """
+WITH w AS (SELECT doc_id, list_sort(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS words, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS told FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, words, list_sort(list_transform(range(1, len(told)), lambda i: told[i] || ' ' || told[i + 1])) AS pairs FROM w WHERE len(told) > 0)
+SELECT a.doc_id, count(*) AS copies FROM p a JOIN p b ON a.words = b.words AND a.pairs = b.pairs AND a.doc_id <> b.doc_id WHERE a.doc_id % 20 = 0 GROUP BY a.doc_id""",
+)
+def meaning_copies(spark, sf_dir):
+    """Texts of the same words and pairs of words lie at one point: how many copies each of a twentieth of the documents has."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("body_length"))
+    encoder = meaning.fit(docs)
+    path = scratch(spark, "points")
+    E.embed(docs.withColumn("body_text", F.col("text")).withColumn("subject", F.lit("")), encoder).write.parquet(path)
+    points = spark.read.schema("id long, embedding array<float>").parquet(path).filter(F.exists("embedding", lambda x: x != 0))
+    asked = points.filter("id % 20 = 0")
+    same = asked.join(points.withColumnRenamed("id", "other").withColumnRenamed("embedding", "e"), F.col("embedding") == F.col("e")).filter("id <> other")
+    return same.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("copies"))
+
+
 @_query("stream_first_seen", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_first_seen(spark, sf_dir):
     """The events as a stream; a state store remembers which pairs have been seen."""
