@@ -11,7 +11,8 @@ conversation and range) is added. Prefixes are made distinct with map-side parti
 or a conversation that a third of the logs share is one row there.
 
 Defined edge cases: rows with a null conversation id form one conversation, which ranks last among equals; null
-turns come first, null role and text count as empty; rows that tie in turn are ordered by role and text;
+turns come first, null role and text count as empty; rows that tie in turn are ordered by a hash of role and text,
+the same in every conversation;
 repeated rows are repeated turns; an empty table gives an empty result; other columns are never read. Very long texts are
 hashed; a rendered conversation is one value and as long as its turns.
 """

@@ -115,7 +115,7 @@ def line_passes(line: Column) -> Column:
     """The line rules. Blank lines pass: they hold no text.
 
     punctuation: over a tenth of the ink is symbols, or ``!!``/``??`` runs stand after a fifth of the words;
-    navigation: four or more items split by ``|`` of at most three words each;
+    navigation: four or more items split by ``|``, of at most three words in the mean;
     boilerplate: a site phrase in a line of at most a hundred characters;
     stutter: words said four times or more in a row make up a third of the ink.
     """
