@@ -15,7 +15,7 @@ def test_query(spark, name):
     assert got
     if name in SQL:
         con = duckdb.connect()
-        for t in ("documents", "pages", "conversations"):
+        for t in ("documents", "pages", "conversations", "embeddings", "benchmark"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
         run = con.execute(SQL[name])
         names, rows = [c[0] for c in run.description], run.fetchall()
