@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import columns as C
 from quillspark.functions import headers
 from quillspark.functions import udfs as U
+from quillspark.functions.mime import TOKEN_DIGITS
 from quillspark.functions.text import INVISIBLE
 from quillspark.operators import embed as E
 from quillspark.operators import search as S
@@ -139,12 +140,23 @@ def search_rows(spark, sf_dir):
     return S.results(S.search(vectors(spark, sf_dir), emails(spark, sf_dir), _vector(spark, sf_dir))).withColumn("score", F.round("score", 6))
 
 
-@_query("search_json")
+@_query(
+    "search_json",
+    f"""{RANKED_SQL}
+SELECT to_json(list({{'rank': rank, 'score': round(score, 6) + 0.0, 'message_id': message_id, 'from': sender, 'to': 'list@example.org', 'subject': source,
+'date': strftime(sent, '%Y-%m-%dT%H:%M:%S+00:00'), 'body_preview': preview, 'is_mailing_list': lang = 'de'}} ORDER BY rank))::VARCHAR AS json FROM shown""",
+)
 def search_json(spark, sf_dir):
-    return S.to_json(S.results(S.search(vectors(spark, sf_dir), emails(spark, sf_dir), _vector(spark, sf_dir))))
+    return S.to_json(search_rows(spark, sf_dir))
 
 
-@_query("search_text")
+@_query(
+    "search_text",
+    f"""{RANKED_SQL},
+told AS (SELECT rank, printf('%d %-7.4f %-20s %-30s %s', rank, score, strftime(sent, '%Y-%m-%d %H:%M:%S'), left('u' || doc_id || '@example.org', 29), left(source, 58)) || chr(10)
+|| CASE WHEN preview <> '' THEN '  ' || preview || chr(10) ELSE '' END || chr(10) AS block FROM shown)
+SELECT chr(10) || printf('%-1s %-7s %-20s %-30s Subject', '#', 'Score', 'Date', 'From') || chr(10) || repeat('-', 120) || chr(10) || string_agg(block, '' ORDER BY rank) AS report FROM told""",
+)
 def search_text(spark, sf_dir):
     return S.to_text(S.search(vectors(spark, sf_dir), emails(spark, sf_dir), _vector(spark, sf_dir)))
 
@@ -409,11 +421,11 @@ ATTRIBUTION = "(starts_with({x}, 'On ') AND strlen({x}) <= 200 AND ends_with(rtr
 FLOWS = "(trim({x}) <> '' AND NOT starts_with({x}, '  ') AND NOT starts_with({x}, chr(9)) AND NOT regexp_matches({x}, '^\\s*([-*>#|+=_]|[0-9]+[.)])'))"
 BROKEN = f"concat(replace(text, ' the ', concat(' the', {NL})), {NL}, '- item', {NL}, '  code ', {ID})"
 
-_scalar("msgid_trim", f"concat('< ', CASE WHEN doc_id % 7 = 0 THEN '' ELSE {ID} END, '@x>> ')", C.message_id, "nullif(trim(t, '<> '), '')")
-_scalar("bare_address", f"CASE WHEN doc_id % 3 = 0 THEN concat('  a', {ID}, '@x.org ') ELSE concat('\"N <', lang, '>\" <u', {ID}, '@x.org> ') END", C.bare_address, "trim(CASE WHEN regexp_matches(t, '<[^<>]*>[^<]*$') THEN regexp_extract(t, '<([^<>]*)>[^<]*$', 1) ELSE t END)")
+_scalar("msgid_trim", "concat('< ', CASE WHEN doc_id % 7 = 0 THEN '' ELSE text END, '>> ')", C.message_id, "nullif(trim(t, '<> '), '')")
+_scalar("bare_address", "CASE WHEN doc_id % 3 = 0 THEN concat('  ', text, ' ') ELSE concat('\"N <', lang, '>\" <', text, '> ') END", C.bare_address, "trim(CASE WHEN regexp_matches(t, '<[^<>]*>[^<]*$') THEN regexp_extract(t, '<([^<>]*)>[^<]*$', 1) ELSE t END)")
 _scalar("preview", "text", lambda t: C.preview(t, 118), "replace(left(t, 118), chr(10), ' ')")
-_scalar("locator_parse", f"concat('/a#b/', source, '#offset=', {ID})", lambda t: F.concat(C.locator_parts(t)["path"], F.lit("|"), C.locator_parts(t)["offset"]), "regexp_extract(t, '^(.*)#offset=([0-9]+)$', 1) || '|' || regexp_extract(t, '^(.*)#offset=([0-9]+)$', 2)")
-_scalar("open_url", f"concat('id', {ID}, '@x')", lambda t: F.concat_ws(" ", C.open_url(F.lit("apple-mail"), t), C.open_url(F.lit("thunderbird"), t)), "'message://%3C' || t || '%3E mid:' || t")
+_scalar("locator_parse", "concat('/a#b/', text, '#offset=', CAST(n_chars AS STRING))", lambda t: F.concat(C.locator_parts(t)["path"], F.lit("|"), C.locator_parts(t)["offset"]), "regexp_extract(t, '(?s)^(.*)#offset=([0-9]+)$', 1) || '|' || regexp_extract(t, '(?s)^(.*)#offset=([0-9]+)$', 2)")
+_scalar("open_url", "concat(text, '@', source)", lambda t: F.concat_ws(" ", C.open_url(F.lit("apple-mail"), t), C.open_url(F.lit("thunderbird"), t)), "'message://%3C' || t || '%3E mid:' || t")
 _scalar("xml_escape", "concat(text, '<a href=\"x\">&''')", C.xml_escape, "replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '''', '&apos;'), '\"', '&quot;')")
 _scalar("unix_lines", f"replace(text, {NL}, concat(chr(13), {NL}))", C.unix_lines, "replace(t, chr(13) || chr(10), chr(10))")
 _scalar("url_strip", f"concat(text, ' (https://ex.com/', {ID}, ') see http://a.b/c?d=', {ID}, '> end http://')", C.strip_urls, "regexp_replace(regexp_replace(t, 'https://[^ \\t\\n\\f\\r>\")]*', '', 'g'), 'http://[^ \\t\\n\\f\\r>\")]+', '', 'g')")
@@ -440,9 +452,9 @@ _scalar(
 _scalar("mbox_unescape", f"concat('>From start', {NL}, text, {NL}, '>>From x', {NL}, '> From y', {NL}, {ID})", C.mbox_unescape, "regexp_replace(t, '(^|\\n)>(>*From )', '\\1\\2', 'g')")
 _scalar(
     "moz_flags",
-    f"concat('X-Mozilla-Status: ', CASE WHEN doc_id % 3 = 0 THEN '0009' WHEN doc_id % 3 = 1 THEN '1000' ELSE 'zz' END, {NL}, 'X-Mozilla-Status2: ', CASE WHEN doc_id % 5 = 0 THEN '00810000' ELSE '00000000' END, {NL})",
+    f"concat('X-Mozilla-Status: ', CASE WHEN doc_id % 7 = 0 THEN 'zz' ELSE lower(lpad(hex(n_chars), 4, '0')) END, {NL}, 'X-Mozilla-Status2: ', lpad(hex(n_chars * 64), 8, '0'), {NL}, text)",
     C.moz_deleted,
-    "regexp_extract(t, 'Status: ([0-9a-f]+)', 1) = '0009' OR contains(t, '00810000')",
+    "(coalesce(TRY_CAST('0x' || nullif(regexp_extract(t, 'Status: ([0-9a-f]+)\\n', 1), '') AS BIGINT), 0) & 8) <> 0 OR (('0x' || regexp_extract(t, 'Status2: ([0-9A-F]+)', 1))::BIGINT & 65536) <> 0",
 )
 _scalar("pgp_strip", f"concat('-----BEGIN PGP SIGNED MESSAGE-----', {NL}, 'Hash: x', {NL}, {NL}, text, {NL}, '-----BEGIN PGP SIGNATURE-----', {NL}, 'abc', {NL}, '-----END PGP SIGNATURE-----', {NL}, {ID})", U.strip_pgp, None)
 SQL["pgp_strip"] = f"SELECT doc_id, concat(text, {NL}, {ID}) AS out FROM documents"
@@ -459,15 +471,15 @@ def clean_text_agree(spark, sf_dir):
     return both.agg(F.count("*").alias("n"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("different"))
 
 
-@_query("rfc3339", "SELECT doc_id, strftime(make_timestamp(doc_id * 86399 * 1000000), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS json, strftime(make_timestamp(doc_id * 86399 * 1000000), '%Y-%m-%d %H:%M:%S') AS shown FROM documents")
+@_query("rfc3339", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS json, strftime(ts, '%Y-%m-%d %H:%M:%S') AS shown FROM events")
 def rfc3339(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") * 86_399).alias("d"))
-    return d.select("doc_id", C.rfc3339("d").alias("json"), C.date_text("d").alias("shown"))
+    d = _table(spark, sf_dir, "events").select("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("d"))
+    return d.select("event_id", C.rfc3339("d").alias("json"), C.date_text("d").alias("shown"))
 
 
-@_query("length_factor", "SELECT doc_id, round(least(1.0::DOUBLE, 0.3::DOUBLE + 0.7::DOUBLE * (doc_id % 60) / 50.0::DOUBLE), 9) AS factor FROM documents")
+@_query("length_factor", "SELECT doc_id, round(least(1.0::DOUBLE, 0.3::DOUBLE + 0.7::DOUBLE * (strlen(source) + strlen(text)) / 50.0::DOUBLE), 9) AS factor FROM documents")
 def length_factor(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", F.round(C.length_factor(F.col("doc_id") % 60), 9).alias("factor"))
+    return emails(spark, sf_dir).select(F.col("id").alias("doc_id"), F.round(C.length_factor("body_length"), 9).alias("factor"))
 
 
 @_query("html_text")
@@ -475,9 +487,22 @@ def html_text(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", U.html_text("html").alias("out"))
 
 
-@_query("webmail_token")
+#: A thread's number of 19 digits, from the text.
+THREAD = "CAST(conv(left(md5(text), 15), 16, 10) AS BIGINT) + 1000000000000000000"
+HALF = f"{1 << 84}::HUGEINT"
+BASE = len(TOKEN_DIGITS)
+
+
+@_query(
+    "webmail_token",
+    f"""
+WITH RECURSIVE n AS (SELECT doc_id, hex(encode('f:' || (('0x' || left(md5(text), 15))::BIGINT + 1000000000000000000))) AS h FROM documents),
+w AS (SELECT doc_id, ('0x' || h[1:21])::HUGEINT AS hi, ('0x' || h[22:42])::HUGEINT AS lo, '' AS token FROM n
+  UNION ALL SELECT doc_id, hi // {BASE}, ((hi % {BASE}) * {HALF} + lo) // {BASE}, substr('{TOKEN_DIGITS}', (((hi % {BASE}) * {HALF} + lo) % {BASE})::INTEGER + 1, 1) || token FROM w WHERE hi > 0 OR lo > 0)
+SELECT doc_id, token FROM w WHERE hi = 0 AND lo = 0""",
+)
 def webmail_token(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", U.webmail_token(F.col("doc_id") + 1_863_898_510_737_174_703).alias("token"))
+    return _table(spark, sf_dir, "documents").select("doc_id", U.webmail_token(F.expr(THREAD)).alias("token"))
 
 
 def _raw(d: DataFrame) -> Column:
@@ -567,26 +592,35 @@ def _known(name: str, made: str, kernel: Callable[[Column], Column], answer: str
     SQL[name] = f"SELECT doc_id, {answer} AS out FROM documents"
 
 
+#: The whole text as words of ASCII letters, in Spark's SQL and DuckDB's; it begins with a letter and ends in one.
+PLAIN = "concat('w', regexp_replace(text, '[^A-Za-z]+', ' '), 'z')"
+PLAIN_SQL = "('w' || regexp_replace(text, '[^A-Za-z]+', ' ', 'g') || 'z')"
+
 _known(
     "html_page",
-    "concat('<html><head><title>T</title><style>b{}</style></head><body><!-- note --><p>Dear ', lang, '</p><script>x()</script><blockquote>old words</blockquote>"
-    "<div class=\"a Mobile-Hide\">secret</div><table><tr><th>Item</th><th>No</th></tr><tr><td>', source, '</td><td>', doc_id, '</td></tr></table><p>one<br>two &amp; three</p></body></html>')",
+    f"concat('<html><head><title>T</title><style>b{{}}</style></head><body><!-- note --><p>Dear ', lang, '.</p><script>x()</script><blockquote>', {PLAIN}, '</blockquote>"
+    f"<div class=\"a Mobile-Hide\">secret</div><table><tr><th>Item</th><th>No</th></tr><tr><td>', {PLAIN}, '</td><td>', doc_id, '.</td></tr></table><p>one<br>two &amp; ', {PLAIN}, '</p></body></html>')",
     U.html_text,
-    f"concat('Dear ', lang, {NL}, {NL}, 'Item: ', source, ', No: ', doc_id, {NL}, 'one', {NL}, 'two & three')",
+    f"concat('Dear ', lang, '.', {NL}, {NL}, 'Item: ', {PLAIN_SQL}, ', No: ', doc_id, '.', {NL}, 'one', {NL}, 'two & ', {PLAIN_SQL})",
 )
 _known(
     "html_tables",
-    "concat('<p>Dear ', lang, '</p><table><tr><td>State:</td><td>', source, '</td></tr><tr><td>No</td><td>', doc_id, '</td></tr></table><table><thead><tr><th>A</th><th>B</th></tr></thead>"
-    "<tr><td>x', doc_id, '</td><td></td></tr><tfoot><tr><td>Sum:</td><td>', doc_id, '</td></tr></tfoot></table><div data-sonar-role=\"footer\">f</div><p>end</p>')",
+    f"concat('<p>Dear ', lang, '</p><table><tr><td>State:</td><td>', {PLAIN}, '.</td></tr><tr><td>No</td><td>', doc_id, '</td></tr></table><table><thead><tr><th>A</th><th>B</th></tr></thead>"
+    f"<tr><td>x', {PLAIN}, '.</td><td></td></tr><tfoot><tr><td>Sum:</td><td>', doc_id, '</td></tr></tfoot></table><div data-sonar-role=\"footer\">', {PLAIN}, '</div><p>end</p>')",
     U.html_text,
-    f"concat('Dear ', lang, {NL}, {NL}, 'State: ', source, {NL}, 'No: ', doc_id, {NL}, {NL}, 'A: x', doc_id, {NL}, 'Sum: ', doc_id, {NL}, 'end')",
+    f"concat('Dear ', lang, {NL}, {NL}, 'State: ', {PLAIN_SQL}, '.', {NL}, 'No: ', doc_id, {NL}, {NL}, 'A: x', {PLAIN_SQL}, '.', {NL}, 'Sum: ', doc_id, {NL}, 'end')",
+)
+_known(
+    "entities",
+    f"concat('A&amp;B &#65;&#x42; &eacute; &nosuch; &shy;x &lt ', replace({PLAIN}, ' ', '&amp;'))",
+    U.clean_text,
+    f"concat('A&B AB é &nosuch; x &lt ', replace({PLAIN_SQL}, ' ', '&'))",
 )
-_known("entities", "concat('A&amp;B &#65;&#x42; &eacute; &nosuch; &shy;x &lt ', doc_id)", U.clean_text, "concat('A&B AB é &nosuch; x &lt ', doc_id)")
 
 
 @_query(
     "mime_multipart",
-    "SELECT doc_id, 'm' || doc_id || '@x' AS message_id, (doc_id % 60)::BIGINT AS date, 'Jö <u' || doc_id || '@x>' AS sender, 'b' || doc_id || '@x' AS recipient, source AS subject, 'rich ' || lang AS body_text, doc_id % 2 = 0 AS mailing_list FROM documents",
+    f"SELECT doc_id, 'm' || doc_id || '@x' AS message_id, (n_chars % 60)::BIGINT AS date, 'Jö <u' || doc_id || '@x>' AS sender, 'b' || doc_id || '@x' AS recipient, source AS subject, 'rich ' || {PLAIN_SQL} AS body_text, doc_id % 2 = 0 AS mailing_list FROM documents",
 )
 def mime_multipart(spark, sf_dir):
     """Two alternatives, encoded words, a date from Received, a list's mark on every second message."""
@@ -594,10 +628,10 @@ def mime_multipart(spark, sf_dir):
     parts = (
         F.lit("Message-ID: <m"), "doc_id", F.lit("@x>\nFrom: =?utf-8?q?J=C3=B6?= <u"), "doc_id", F.lit("@x>\nTo: b"), "doc_id",
         F.lit("@x\nSubject: =?utf-8?b?"), F.base64(F.encode("source", "UTF-8")),
-        F.lit("?=\nReceived: from a by b; Thu, 01 Jan 1970 00:00:"), F.lpad((F.col("doc_id") % 60).cast("string"), 2, "0"),
+        F.lit("?=\nReceived: from a by b; Thu, 01 Jan 1970 00:00:"), F.lpad((F.col("n_chars") % 60).cast("string"), 2, "0"),
         F.when(F.col("doc_id") % 2 == 0, " +0000\nList-Id: <l.x>\n").otherwise(" +0000\n"),
-        F.lit('Content-Type: multipart/alternative; boundary="BB"\n\n--BB\nContent-Type: text/plain; charset=utf-8\n\nplain\n--BB\nContent-Type: text/html; charset=utf-8\n\n<p>rich '),
-        "lang", F.lit("</p><blockquote>q</blockquote>\n--BB--\n"),
+        F.lit('Content-Type: multipart/alternative; boundary="BB"\n\n--BB\nContent-Type: text/plain; charset=utf-8\n\n'), "text",
+        F.lit("\n--BB\nContent-Type: text/html; charset=utf-8\n\n<p>rich "), F.expr(PLAIN), F.lit("</p><blockquote>q</blockquote>\n--BB--\n"),
     )
     p = d.select("doc_id", U.parse_message(F.encode(F.concat(*parts), "UTF-8")).alias("p"))
     return p.select("doc_id", *(f"p.{c}" for c in ("message_id", "date", "sender", "recipient", "subject", "body_text", "mailing_list")))
