@@ -38,6 +38,7 @@ ROWS = frozenset("table tbody thead tfoot tr".split())
 PARTS = frozenset("caption col colgroup tbody tfoot thead tr td th".split())
 IN_PLACE = PARTS | frozenset("form script style template".split())
 CELLS = frozenset("caption td th".split())
+HOLDERS = ROWS | CELLS
 _WHITE = re.compile(f"[{WHITE}]+")
 
 
@@ -73,25 +74,33 @@ class Node:
 
 
 class _Builder(HTMLParser):
+    """``open`` are the elements not yet ended, ``at`` where those of each name stand in it: no step looks through all of them."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = Node("")
         self.open = [self.root]
+        self.at: dict[str, list[int]] = {}
+
+    def _last(self, names: set[str] | frozenset[str]) -> int:
+        """Where the innermost open element of these names stands; 0 without one."""
+        return max((self.at[x][-1] for x in names if self.at.get(x)), default=0)
+
+    def _cut(self, size: int) -> None:
+        while len(self.open) > size:
+            self.at[self.open.pop().tag].pop()
 
     def _end(self, names: set[str] | frozenset[str], stop: set[str]) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in names:
-                del self.open[i:]
-                return
-            if self.open[i].tag in stop:
-                return
+        last = self._last(names)
+        if last and last >= self._last(stop):
+            self._cut(last)
 
     def _add(self, child: Node | str, in_place: bool) -> None:
         """Appends to the open element, or before its table where that holds only parts of a table."""
         here = self.open[-1]
         if not in_place and here.tag in ROWS:
-            table = next((x for x in reversed(self.open) if x.tag == "table"), None)
-            if table is not None and table.parent is not None:
+            table = self.open[self._last({"table"})]
+            if table.parent is not None:
                 here, around = table.parent, table.parent.children
                 at = next(i for i in range(len(around) - 1, -1, -1) if around[i] is table)
                 around.insert(at, child)
@@ -102,18 +111,19 @@ class _Builder(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.open[-1].tag == "head" and tag not in HEAD_PARTS:
-            self.open.pop()
+            self._cut(len(self.open) - 1)
         if tag in ENDS:
             self._end(*ENDS[tag])
         elif tag in ENDS_P:
             self._end({"p"}, {"table", "td", "th", "button"})
         if tag in PARTS:  # ends what was put before the table
-            last = max((i for i, x in enumerate(self.open) if x.tag in ROWS | CELLS), default=None)
-            if last is not None and self.open[last].tag in ROWS:
-                del self.open[last + 1 :]
+            last = self._last(HOLDERS)
+            if last and self.open[last].tag in ROWS:
+                self._cut(last + 1)
         node = Node(tag, {k: v or "" for k, v in attrs})
         self._add(node, tag in IN_PLACE)
         if tag not in VOID:
+            self.at.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -127,7 +137,7 @@ class _Builder(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if self.open[-1].tag == "head" and data.strip():
-            self.open.pop()
+            self._cut(len(self.open) - 1)
         self._add(data, not data.strip())
 
 

@@ -53,3 +53,15 @@ def test_loose_content_goes_before_its_table():
     assert body_text("<table><tr><td>k<b>1</b></td><td>v</td></tr> \n </table>") == "k1: v"
     assert body_text("<table><tr><td><table>in<tr><td>x</td></tr></table></td></tr></table>after") == "in x\nafter"
     assert body_text("<table><div>d<tr><td>x</td></tr></table>") == "d\n\nx"
+
+
+def test_deeply_nested_tables():
+    n = 1500
+    out = body_text("<table><tr><td>k</td><td>" * n + "v" + "</td></tr></table>" * n + "<p>end")
+    assert out.split() == ["k:"] * n + ["v", "end"]
+
+
+def test_many_open_elements_and_parts():
+    n = 20_000  # each part of a table looks at the innermost holder, not at all that is open
+    out = body_text("<table><tr><td>" + "<b>" * n + "x" + "<td>y" * n)
+    assert out == "x, " + ", ".join(["y"] * n)
