@@ -2,7 +2,8 @@
 
 1. A character trigram model is counted over all documents (map-side counts, at most 29^3 sums).
 2. Evidence is learned from labelled documents: words and word beginnings that occur in toxic documents far more
-   often than chance allows, each with the share of its documents that are toxic.
+   often than chance allows, each with the share of its documents that are toxic. Besides, beginnings of words that
+   are harmless once, but not when said twice or three times in a text; of these the strongest counts.
 3. A token that looks disguised (letters mixed with look-alike signs, a letter repeated three times or more,
    letters set apart by spaces or dots) is a noisy channel's output: a lattice of what each sign may stand
    for, decoded by Viterbi under the character model. Other tokens have a one-path lattice: themselves.
@@ -70,6 +71,9 @@ LOOKS = {
 LOOK_COST, REPEAT_COST, GAP_COST = 1.0, 0.5, 0.7
 GAPS = " .-_*~'"
 PUNCTUATION = string.punctuation + "¿¡«»“”‘’…–—"
+STEM = 4
+TIMES = (2, 3)
+REPEAT_SHARE = 0.95  # of the documents that say a beginning so often, how many must be toxic
 _SIGNS = re.escape("".join(LOOKS))
 #: Letters and look-alike signs side by side, or a letter three times, or letters with gaps between all of them.
 DISGUISED = re.compile(rf"[^\W\d_][{_SIGNS}]|[{_SIGNS}][^\W\d_]|([^\W\d_])\1\1|(?:^|\W)[^\W_](?:[.\-_*~][^\W_]){{2,}}")
@@ -110,6 +114,16 @@ def parts_of(word: str) -> list[str]:
     return ["=" + word, *(word[:n] for n in range(3, min(11, len(word) + 1)))]
 
 
+def stems_of(word: str) -> list[str]:
+    """A word's beginnings whose number in a text can be evidence."""
+    return [word[:n] for n in range(STEM, min(11, len(word) + 1))]
+
+
+def repeated(stem: str, times: int) -> str:
+    """How evidence names a beginning said ``times`` or more: with a space, so that no word has this name."""
+    return f"{times} {stem}"
+
+
 def _told(taken: tuple) -> str:
     """The pieces of a path, from its last one back."""
     pieces = []
@@ -127,13 +141,16 @@ class Model:
     evidence: dict[str, float]
     base: float
     cache: dict = field(default_factory=dict)
+    heads: set = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.heads = {part[2 : 2 + STEM] for part in self.evidence if part[1:2] == " "}
 
     def __getstate__(self) -> tuple:
         return self.cost, self.evidence, self.base
 
     def __setstate__(self, state: tuple) -> None:
-        self.cost, self.evidence, self.base = state
-        self.cache = {}
+        self.__init__(*state)
 
     def decode(self, token: str, gaps: bool = True) -> str:
         """The likeliest original of a disguised token: Viterbi over what its signs may stand for."""
@@ -180,29 +197,45 @@ class Model:
                 found[part] = w
         return found
 
-    def of_token(self, token: str) -> dict[str, float]:
+    def _stems(self, text: str) -> Counter:
+        """The beginnings in a text whose number may be evidence."""
+        words = (word.strip(PUNCTUATION) for word in text.split())
+        return Counter(x for word in words if word[:STEM] in self.heads for x in stems_of(word) if any(repeated(x, n) in self.evidence for n in TIMES))
+
+    def of_text(self, told: str) -> tuple[dict[str, float], Counter]:
+        """Evidence in restored text, and the beginnings to count."""
+        return self._weights(told), self._stems(told)
+
+    def of_token(self, token: str) -> tuple[dict[str, float], Counter]:
         """Evidence in one white-space token, restored first where it looks disguised; ``token`` is lower case."""
-        found = self._weights(token)
+        found, stems = self.of_text(token)
         if DISGUISED.search(token):
-            found |= self._weights(self.decode(JUNK_END.sub("", token)))
-        return found
+            more, again = self.of_text(self.decode(JUNK_END.sub("", token)))
+            found, stems = found | more, stems | again
+        return found, stems
 
     def score(self, text: str) -> float:
-        evidence, cache = {}, self.cache
+        evidence, stems, cache = {}, Counter(), self.cache
         low = text.lower()
-        for token in set(low.split()):
+        for token, times in Counter(low.split()).items():
             known = cache.get(token)
             if known is None:
                 if len(cache) > 200_000:
                     cache.clear()
-                known = self.of_token(token) or ()
+                known = self.of_token(token)
+                known = known if known[0] or known[1] else ()
                 if len(token) <= CACHED:
                     cache[token] = known
             if known:
-                evidence |= known
+                evidence |= known[0]
+                for stem, n in known[1].items():
+                    stems[stem] += n * times
         for m in SPACED.finditer(low):
-            evidence |= self._weights(self.decode(m[0]))
-        rest = math.fsum(evidence.values())
+            found, again = self.of_text(self.decode(m[0]))
+            evidence |= found
+            stems += again
+        said = [w for stem, n in stems.items() for k in TIMES if n >= k and (w := self.evidence.get(repeated(stem, k))) is not None]
+        rest = math.fsum([*evidence.values(), min(said, default=0.0)])
         return 1 - (1 - self.base) * math.exp(rest)
 
 
@@ -272,7 +305,22 @@ def learn_evidence(rows: list[tuple[str, int]]) -> tuple[dict[str, float], float
             taken.add(p)
             toxic[p], clean[p] = t, beside[p]
     out = {p: math.log(1 - toxic[p] / (toxic[p] + clean[p] + 3)) for p in taken}
-    return out, base
+    return out | _learn_repeats(rows, n, base), base
+
+
+def _learn_repeats(rows: list[tuple[str, int]], n: list[int], base: float) -> dict[str, float]:
+    """Weights of beginnings said several times in a fiftieth of the toxic documents and hardly ever in others."""
+
+    def names(text: str) -> set[str]:
+        counts = Counter(x for w in words_of(text) for x in stems_of(w.strip(PUNCTUATION)))
+        return {repeated(x, k) for x, c in counts.items() for k in TIMES if c >= k}
+
+    toxic = Counter(p for text, label in rows if label for p in names(text))
+    needed = math.log(max(2, len(toxic)))
+    toxic = Counter({p: t for p, t in toxic.items() if t >= 0.02 * n[1] and _surprise(t, 0, base) > needed})
+    clean = Counter(p for text, label in rows if not label for p in names(text) if p in toxic)
+    told = {p: t for p, t in toxic.items() if t >= REPEAT_SHARE * (t + clean[p]) and _surprise(t, clean[p], base) > needed}
+    return {p: math.log(1 - t / (t + clean[p] + 3)) for p, t in told.items()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:

@@ -974,3 +974,22 @@ def test_shared_folder_is_needed_on_a_cluster():
     with pytest.raises(ValueError, match="checkpoint"):
         shared_dir(cluster(None))
     assert shared_dir(cluster("hdfs://a/b/")) == "hdfs://a/b"
+
+
+def test_toxicity_of_beginnings_said_again():
+    """A beginning that clean texts say once, and only toxic ones twice, counts from the second time on."""
+    from quillspark.llm import toxicity as T
+
+    toxic = [(f"w{k}x gleichung und gleichheit", 1) for k in range(60)]
+    clean = [(f"w{k}y gleichung und mehr", 0) for k in range(60)] + [(f"w{k}z etwas ganz anderes", 0) for k in range(400)]
+    evidence, base = T.learn_evidence(toxic + clean)
+    assert T.repeated("gleich", 2) in evidence and T.repeated("gleich", 3) not in evidence
+    assert not {"gleich", "gleichung", "=gleichung"} & set(evidence)
+    model = T.Model(np.ones((T.SYMBOLS,) * 3), {p: w for p, w in evidence.items() if p[1:2] == " "}, 0.0)
+    assert model.score("gleichung") == 0 and model.score("") == 0
+    assert model.score("gleichlos (gleichung)") > 0.9
+    assert model.score("gleichlos gleichlos") == model.score("gleichlos gleichlos gleichlos") > 0.9
+    assert model.score("gl3ichung gleichung") > 0.9  # restored, then counted
+    import pickle
+
+    assert pickle.loads(pickle.dumps(model)).score("gleichung gleichung") > 0.9
