@@ -10,8 +10,8 @@ that can be settled apart, whatever documents they come from.
 3. Of the rest, one snippet of bytes per different digest, with how often it occurs, is fetched and dealt out by v, so
    copies fold early. A task joins whole groups
    into shards of bounded size, builds each shard's suffix array once, and merges the shards: the interleave of
-   their sorted suffixes is refined from order h to 2h through the shards' own BWT walks (suffix to suffix h
-   later), merging only the different keys of each shard, never sorting suffixes again. Suffixes in one block at
+   their sorted suffixes is refined from order h to 2h through each shard's walk (suffix to suffix h later, by the
+   inverse of its suffix array; no transform is stored), merging only the different keys of each shard, never sorting suffixes again. Suffixes in one block at
    order ``length`` have a common prefix of that many bytes: repeated intervals.
 4. A v that more than ``CROWD`` different snippets share isn't gathered in one task: its windows are counted
    by a 128-bit digest instead, which any number of tasks can share.
