@@ -86,3 +86,23 @@ def test_edges(spark, encoder):
     for rows in ([], [(1, None)], [(None, "word")]):
         small = M.fit(spark.createDataFrame(rows, "id long, text string"), terms=64, dim=8, passes=1)
         assert small.encode(["word other"]).shape == (1, 8)
+
+
+def test_copies_are_told_by_their_words(spark, tmp_path, monkeypatch):
+    """Different words in one hashed column are no copies; words that the sample lacks still are; ids that repeat aren't their own copies."""
+    import functools
+    import zlib
+
+    from quillspark.queries import QUERIES
+
+    column = lambda w: zlib.crc32(w.encode()) % M.TERMS
+    seen: dict[int, str] = {}
+    for k in range(10_000):
+        if (one := seen.setdefault(column(f"w{k}"), f"w{k}")) != f"w{k}":
+            two = f"w{k}"
+            break
+    told = [(0, one), (1, two), (20, "far away, here"), (21, "Far away here"), (40, "ΟΔΟΣ"), (41, "οδοσ"), (42, "οδος"), (60, "same twice"), (60, "same twice"), (61, "twice same"), (80, "..."), (81, ""), (100, None)]
+    spark.createDataFrame(told, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for sample in (M.SAMPLE, 1):
+        monkeypatch.setattr(M, "fit", functools.partial(M.fit.func if hasattr(M.fit, "func") else M.fit, sample=sample))
+        assert sorted(map(tuple, QUERIES["meaning_copies"](spark, str(tmp_path)).collect())) == [(20, 1), (40, 1)]
