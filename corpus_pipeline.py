@@ -41,13 +41,14 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that share four fifths of their five-word shingles.
+    """One document of each group of texts whose SimHash fingerprints differ in two bits at most (op7's links), or that share four
+    fifths of their five-word shingles.
 
     Null and empty texts are alike; of repeated rows one stays; an empty table stays empty.
     """
     from quillspark.llm.near_dedup import with_groups
 
-    return _changed(with_groups(docs).filter("kept"), docs.columns)
+    return _changed(with_groups(docs, fingerprints=True).filter("kept"), docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

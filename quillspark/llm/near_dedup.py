@@ -1,10 +1,11 @@
-"""Near-dedup by similarity: the pipeline's stage. Links are exact; keys and sketches only say which pairs to look at.
+"""Near-dedup by SimHash and by similarity: the pipeline's stage. Links are exact; keys and sketches only say which pairs to look at.
 
-Two bits (op7's contract) are far fewer than separate texts that share 80 % of their five-word shingles. Here minima of
-shingle hashes propose pairs, and the whole sets of five-word shingles decide:
+With ``fingerprints`` (the pipeline sets it) texts link as in op7, where fingerprints differ in at most two bits, found by Golay keys
+(``simhash.links``). Two bits are far fewer than separate texts that share 80 % of their five-word shingles, so links of a second kind
+stand in the same components: minima of shingle hashes propose pairs, and the whole sets of five-word shingles decide:
 
-1. Map tasks make, per text, the least of its shingle hashes under ``ANCHORS`` mixes, and a sketch of ``BINS`` bins (one
-   permutation, the least hash in each bin). Texts with equal sets are folded.
+1. Map tasks make, per text, its fingerprint, the least of its shingle hashes under ``ANCHORS`` mixes, and a sketch of ``BINS`` bins (one
+   permutation, the least hash in each bin). Texts with equal sets are folded, and so are equal fingerprints.
 2. Keys are three of the four anchors of a part. Texts of 0.8 similarity agree in three of four anchors with a chance of
    0.82, so they miss each other under the keys of all ``PARTS`` parts with a chance below 1e-8.
 3. Each member of a key is proposed to the key's hub, the member whose sketch has most in common with the others.
@@ -13,7 +14,7 @@ shingle hashes propose pairs, and the whole sets of five-word shingles decide:
    members once. A task compares blocks of a key against each other: a first pass, over sketches, tells which members
    come near another component's, each two under the least key they share; a second, over the shingle sets of those, links what is similar. No pass hands on pairs: the
    first gives members, the second at most one link for each component a block holds. So every pair that shares a key is
-   linked, or already connected, or found too different.
+   linked, or already connected (by fingerprints too), or found too different.
 5. A pair is looked at only if its sketches agree within ``SLACK`` of the similarity (a chance below 1e-7 to lose a pair
    at the similarity); then the shingle sets of both texts give its exact similarity. Components of links keep their
    first row.
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import compact, discard, shuffle_partitions, small_batches, stored
 from quillspark.llm.components import components
-from quillspark.llm.simhash import BLOCK, UPPER_TO_LOWER
+from quillspark.llm.simhash import BLOCK, UPPER_TO_LOWER, _signed, fingerprint, links
 
 BINS, PARTS = 128, 11
 ANCHORS = 4 * PARTS
@@ -226,8 +227,9 @@ def _dealt(blocks: DataFrame, tasks: int) -> DataFrame:
     return blocks.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
-def with_groups(df: DataFrame, text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Every row as the struct ``row``, with ``kept``: true for one row of each group of near duplicates."""
+def with_groups(df: DataFrame, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, fingerprints: bool = False) -> DataFrame:
+    """Every row as the struct ``row``, with ``kept``: true for one row of each group of near duplicates, by similarity or, with
+    ``fingerprints``, by either."""
     small_batches(df.sparkSession)
     loose = similarity - SLACK
 
@@ -238,9 +240,10 @@ def with_groups(df: DataFrame, text_col: str = "text", shingle: int = 5, similar
             rows = []
             for t in b["text"]:
                 hashes = shingle_set(t.as_py(), shingle)
-                rows.append((xxh3_128_digest(hashes.tobytes()), *(x.tobytes() for x in sketch_of(hashes))))
-            cols = zip(*rows, strict=True) if rows else [()] * 3
-            yield pa.RecordBatch.from_arrays([b["tag"], *(pa.array(c, pa.binary()) for c in cols)], ["tag", "whole", "anchors", "bins"])
+                rows.append((_signed(fingerprint(t.as_py())) if fingerprints else 0, xxh3_128_digest(hashes.tobytes()), *(x.tobytes() for x in sketch_of(hashes))))
+            cols = zip(*rows, strict=True) if rows else [()] * 4
+            kinds = [pa.int64(), *[pa.binary()] * 3]
+            yield pa.RecordBatch.from_arrays([b["tag"], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["tag", "fp", "whole", "anchors", "bins"])
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -290,9 +293,18 @@ def with_groups(df: DataFrame, text_col: str = "text", shingle: int = 5, similar
 
     ordered = (F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     rows = stored(df.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("tag")), "near-rows")
-    described = rows.select("tag", F.col("row")[text_col].alias("text")).mapInArrow(describe, "tag long, whole binary, anchors binary, bins binary")
-    # texts with equal shingle sets are folded before keys are made
-    classes = stored(compact(described.groupBy("whole", "anchors", "bins").agg(F.min("tag").alias("tag")), rows.count(), 25_000), "near-classes")
+    described = rows.select("tag", F.col("row")[text_col].alias("text")).mapInArrow(describe, "tag long, fp long, whole binary, anchors binary, bins binary")
+    # texts with equal fingerprints and shingle sets are folded before links are made, those with equal sets before keys are
+    nodes = stored(compact(described.groupBy("fp", "whole", "anchors", "bins").agg(F.min("tag").alias("tag")), rows.count(), 25_000), "near-nodes")
+    classes = stored(compact(nodes.groupBy("whole", "anchors", "bins").agg(F.min("tag").alias("tag")), nodes.count(), 25_000), "near-classes")
+    prints = stored(compact(nodes.groupBy("fp").agg(F.min("tag").alias("first")), nodes.count()), "near-prints")
+    found = links(prints if fingerprints else prints.limit(0))
+    of = lambda c: prints.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_tag"))
+    linked = found.join(of("u"), "u").join(of("v"), "v").select(F.col("u_tag").alias("u"), F.col("v_tag").alias("v"))
+    for alike in (*[prints] * fingerprints, classes.select("whole", F.col("tag").alias("first"))):
+        linked = linked.union(nodes.join(alike.hint("merge"), alike.columns[0]).select(F.col("tag").alias("u"), F.col("first").alias("v")).filter("u <> v"))
+    linked = stored(compact(linked, nodes.count()), "near-linked")
+    discard(found, prints)
     keys = classes.select("tag", "anchors").mapInArrow(_keys, "key long, tag long")
     n = classes.count() * len(TRIPLES)
     shared = stored(compact(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), n), "near-shared")
@@ -309,7 +321,7 @@ def with_groups(df: DataFrame, text_col: str = "text", shingle: int = 5, similar
     stars = met.join(hubs.hint("merge"), "key").select(F.col("tag").alias("u"), F.col("hub").alias("v")).filter("u <> v").select(*ordered).distinct()
     first_links = verified(stars, n, "near-stars")
     discard(cells, hubs)
-    roots = components(first_links, "near-first")
+    roots = components(linked.union(first_links), "near-first")
 
     labelled = met.filter("n > 2").join(roots.withColumnRenamed("node", "tag"), "tag", "left").select("key", "tag", "n", F.coalesce("root", "tag").alias("root"))
     labelled = stored(compact(labelled, n), "near-labelled")
@@ -332,9 +344,9 @@ def with_groups(df: DataFrame, text_col: str = "text", shingle: int = 5, similar
     last_links = stored(compact(last_links, n), "near-rest-links")
     discard(labelled, open_keys, still, close, sets)
 
-    roots = components(first_links.union(last_links), "near-components")
-    labelled = classes.select("tag").join(roots, F.col("tag") == F.col("node"), "left")
+    roots = components(linked.union(first_links).union(last_links), "near-components")
+    labelled = nodes.select("tag").join(roots, F.col("tag") == F.col("node"), "left")
     kept = labelled.filter(F.col("node").isNull() | (F.col("node") == F.col("root"))).select("tag", F.lit(True).alias("stays"))
-    kept = stored(compact(kept, classes.count()), "near-kept")
-    discard(first_links, last_links, roots, classes)
+    kept = stored(compact(kept, nodes.count()), "near-kept")
+    discard(linked, first_links, last_links, roots, nodes, classes)
     return rows.join(kept.hint("merge"), "tag", "left").select("row", F.coalesce("stays", F.lit(False)).alias("kept"))

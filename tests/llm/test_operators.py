@@ -993,3 +993,20 @@ def test_toxicity_of_beginnings_said_again():
     import pickle
 
     assert pickle.loads(pickle.dumps(model)).score("gleichung gleichung") > 0.9
+
+
+def test_pipeline_links_fingerprints(spark):
+    """Texts within two bits, by op7's fingerprints, that share few five-word shingles: one of each component stays."""
+    import corpus_pipeline as P
+    from quillspark.llm.simhash import fingerprint
+
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = [" ".join([f"{c} b{c} c{c}"] * 60 + [word() for _ in range(4)]) for c in "xyz" for _ in range(3)]
+    texts += [" ".join(word() for _ in range(80)) for _ in range(5)]
+    prints = [fingerprint(t) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2]
+    assert sorted(near) == [(3 * g + a, 3 * g + b) for g in range(3) for a, b in ((1, 0), (2, 0), (2, 1))]
+    assert len(set(exact_components(texts))) == len(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert sorted(r.doc_id for r in P.near_dedup(spark, docs, "").collect()) == [0, 3, 6, 9, 10, 11, 12, 13]
