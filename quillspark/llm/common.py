@@ -12,9 +12,9 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.session import delete, scratch, shared_dir, shuffle_partitions
+from quillspark.session import delete, scratch, shared_dir, shuffle_partitions, small_batches
 
-__all__ = ["delete", "scratch", "shared_dir", "shuffle_partitions"]
+__all__ = ["delete", "scratch", "shared_dir", "shuffle_partitions", "small_batches"]
 
 #: The characters that separate words, as a Java/Python/RE2 character class.
 SPACE = r"[\x20\x09-\x0D]"
@@ -117,13 +117,3 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, usable:
     fits = [(r.id, r.label, r.h) for r in (rows[k] for k in fitting([r.bytes for r in rows], max_bytes))]
     wanted = spark.createDataFrame(fits, sized.select("id", "label", "h").schema)
     return texts.join(F.broadcast(wanted), ["id", "h"]).groupBy("id", "label", "h").agg(F.first("text").alias("text")).drop("h")
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bounds what a Python worker is handed at once: texts can be very long.
-
-    The settings stay: frames are lazy, so there is no moment at which they could be put back. They change how
-    rows are cut into batches in this session, never a result.
-    """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 256)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)

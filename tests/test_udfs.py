@@ -1,5 +1,7 @@
 """The registered functions, called from SQL."""
 
+import pytest
+
 from quillspark.functions import udfs
 
 
@@ -16,3 +18,17 @@ def test_sql(spark):
     assert (bytes(row.body), row.gone, row.flowed, row.h, row.c, row.s) == (b"x\nFrom y", False, "soft wrap", "x", "a b", "a")
     assert row.url.endswith(udfs.mime.webmail_token(7)) and row.t == udfs.mime.webmail_token(1)
     assert [tuple(x) for x in row.e] == [(0, 7, 9)] and row.error
+
+
+@pytest.mark.parametrize("name", ["html_tables", "html_page", "mime_multipart", "mbox_listing", "pgp_strip", "mbox_envelopes"])
+def test_workers_are_handed_few_rows(spark, name):
+    """A session with Spark's own settings (10,000 rows a batch) is bounded by the query itself."""
+    from quillspark.queries import QUERIES
+
+    from conftest import SMALL
+
+    own = spark.newSession()
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    QUERIES[name](own, SMALL)
+    assert int(own.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 256
+    assert int(own.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 16 << 20
