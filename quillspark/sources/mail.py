@@ -35,6 +35,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 from quillspark.functions import mbox, mime
 from quillspark.schema import SCAN_EVENTS, SCAN_PAIRS, SCAN_STATUS
+from quillspark.session import small_batches
 from quillspark.settings import SOURCES, source
 from quillspark.sources import files
 
@@ -384,20 +385,21 @@ def status_of(found: DataFrame) -> DataFrame:
 
 def list_binary(content: DataFrame, name: str) -> DataFrame:
     """The same pairs from ``binaryFile`` rows (path, content)."""
+    small_batches(content.sparkSession)
     connector = CONNECTORS[source(name)]
     skip, one_per_file = connector.skip, connector.one_per_file
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for path, data in zip(b["path"].to_pylist(), b["content"].to_pylist(), strict=True):
+            for path, data in ((p.as_py(), c.as_py()) for p, c in zip(b["path"], b["content"], strict=True)):  # one file at a time
                 if one_per_file:
                     try:
                         found = [(mime.peek_id(mbox.emlx_message(data), whole=True), None)]
                     except ValueError:
                         found = []
                 else:
-                    heads = [(e, data[e.body_start : min(e.end, e.body_start + mime.PEEK_BYTES)]) for e in mbox.envelopes(data) if e.body_start < e.end]
+                    heads = ((e, data[e.body_start : min(e.end, e.body_start + mime.PEEK_BYTES)]) for e in mbox.envelopes(data) if e.body_start < e.end)
                     found = [(mime.peek_id(h), e.envelope_start) for e, h in heads if not skip(h)]
                 rows += [(name, mid, path if at is None else mbox.locator(path, at), path, at or 0) for mid, at in found if mid]
             cols = list(zip(*rows, strict=True)) or [()] * 5
@@ -503,6 +505,7 @@ def fetch_binary(pairs: DataFrame, content: DataFrame) -> DataFrame:
                     errors.append(str(e))
             yield pa.RecordBatch.from_arrays([*(b[c] for c in ("source", "message_id", "locator")), pa.array(raw, pa.binary()), pa.array(errors, pa.string())], ["source", "message_id", "locator", "raw", "error"])
 
+    small_batches(content.sparkSession)
     wanted = pairs.select("source", "message_id", "locator", F.regexp_replace("locator", r"#offset=[0-9]+$", "").alias("path"))
     return wanted.join(content.select("path", "content"), "path").select("source", "message_id", "locator", "content").mapInArrow(read, "source string, message_id string, locator string, raw binary, error string")
 
