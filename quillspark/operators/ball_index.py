@@ -21,12 +21,14 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import columns as C
 from quillspark.operators.grid import best_of, nearest_in_cells
-from quillspark.session import scratch, shuffle_partitions
+from quillspark.session import scratch, shuffle_partitions, small_batches
 
 #: At most; the sample the centres are fitted on has as many vectors as stated, whatever the table's size.
 BALLS, SAMPLE, ROUNDS = 1_024, 8_192, 6
 #: A wave reads so many times what was read before.
 GROWTH = 4
+#: Vectors that are placed at once; rows that a batch of routed queries has at most, or one query's.
+AT_ONCE, ROUTED = 512, 8_192
 #: More than rounding can shift a distance of unit vectors.
 SLACK = 1e-6
 #: The ball of vectors of zeros, which are at distance 1 of everything.
@@ -67,9 +69,7 @@ def _located(centres: np.ndarray):
     squares = np.einsum("ij,ij->i", centres, centres)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (b.slice(at, AT_ONCE) for b in batches for at in range(0, b.num_rows, AT_ONCE)):
             rows, real = unit(b["embedding"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1))
             ball = (squares - 2 * rows @ centres.T).argmin(axis=1)
             apart = rows - centres[ball]
@@ -121,9 +121,9 @@ class Balls:
         """Queries with the cells (balls) they go to: the nearest that hold ``k`` vectors or, ``after`` that, the rest within reach."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
+            # a query can go to every ball, so few are taken at once
+            step = max(1, ROUTED // max(1, len(self.numbers)))
+            for b in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
                 rows = b["query"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
                 away = self.away(rows)
                 least = self.bounds(away)
@@ -159,6 +159,7 @@ class BallIndex:
     def build(cls, vectors: DataFrame, path: str | None = None, balls: int | None = None, sample: int = SAMPLE) -> BallIndex:
         """Indexes every row of (id, embedding) that has a vector; all are as wide. Without ``path``: in the shared folder."""
         spark = vectors.sparkSession
+        small_batches(spark)
         path = path or scratch(spark, "balls")
         rows = vectors.filter("embedding IS NOT NULL").select(F.col("id").cast("long"), F.col("embedding").cast("array<float>"))
         few = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("embedding").collect()
@@ -226,6 +227,7 @@ class BallIndex:
 
     def search_batch(self, queries: DataFrame, k: int) -> DataFrame:
         """(query_id, id, distance, rank) for a table of queries (query_id, query), each id once; null queries are left out."""
+        small_batches(self.spark)
         kind = "cell int, query_id long, query array<float>, farthest double"
         asked = queries.filter("query IS NOT NULL").select(F.col("query_id").cast("long"), F.col("query").cast("array<float>"), F.lit(float("inf")).alias("farthest"))
         if not len(self.balls.numbers):

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from quillspark.session import shuffle_partitions
 
-#: Queries in a block and vectors in a share, about; vectors multiplied at once.
-QUERY_BLOCK, SHARE, AT_ONCE = 2_048, 65_536, 512
+#: Queries in a block and vectors in a share, about; vectors multiplied at once, pairs whose sum is taken at once (many vectors can tie).
+QUERY_BLOCK, SHARE, AT_ONCE, PAIRS = 2_048, 65_536, 512, 16_384
 
 
 class Nearest:
@@ -31,6 +31,9 @@ class Nearest:
         self.distances = np.empty(0)
         self.worst = np.full(len(queries), np.inf) if farthest is None else farthest.copy()
 
+    def _exact(self, row: np.ndarray, col: np.ndarray, vectors: np.ndarray, norms: np.ndarray) -> np.ndarray:
+        return 1 - np.einsum("ij,ij->i", self.queries[row], vectors[col]) / (self.norms[row] * norms[col])
+
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -40,7 +43,7 @@ class Nearest:
         row, col = np.nonzero(near <= np.minimum(cut, self.worst)[:, None] + 1e-9)
         # the same sum for every pair, wherever it stands in a block, so that equal vectors tie
         with np.errstate(divide="ignore", invalid="ignore"):
-            exact = 1 - np.einsum("ij,ij->i", self.queries[row], vectors[col]) / (self.norms[row] * norms[col])
+            exact = np.concatenate([np.empty(0), *(self._exact(row[at : at + PAIRS], col[at : at + PAIRS], vectors, norms) for at in range(0, len(row), PAIRS))])
         rows, found = np.concatenate([self.rows, row]), np.concatenate([self.ids, ids[col]])
         distances = np.concatenate([self.distances, np.where(np.isnan(exact), 1.0, exact)])
         order = np.lexsort((found, distances, rows))

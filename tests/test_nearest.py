@@ -149,3 +149,18 @@ def test_rerank_without_a_broadcast(spark, monkeypatch):
     hits = spark.createDataFrame([(1, 0.5), (2, 0.1)], "id long, distance double")
     ranked = S.rerank(hits, emails, 3)
     assert [(r.id, r.rank) for r in ranked.collect()] == [(1, 1)] and "BroadcastHash" not in ranked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_routed_batches_are_bounded():
+    """Queries that go to every ball leave the task in batches of bounded size, none lost."""
+    import pyarrow as pa
+
+    from quillspark.operators import ball_index as B
+
+    rng = np.random.default_rng(4)
+    balls, asked = 300, 500
+    known = B.Balls(np.arange(balls), np.full(balls, 9), np.zeros(balls), np.full(balls, 2.0), B.unit(rng.normal(size=(balls, 8)))[0])
+    queries = pa.RecordBatch.from_arrays([pa.array(range(asked)), pa.array(rng.normal(size=(asked, 8)).tolist(), pa.list_(pa.float32())), pa.array([float("inf")] * asked)], ["query_id", "query", "farthest"])
+    out = list(known.routed(5, True)(iter([queries])))
+    assert sum(b.num_rows for b in out) == asked * (balls - 1)
+    assert max(b.num_rows for b in out) <= B.ROUTED
