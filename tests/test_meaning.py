@@ -106,3 +106,41 @@ def test_copies_are_told_by_their_words(spark, tmp_path, monkeypatch):
     for sample in (M.SAMPLE, 1):
         monkeypatch.setattr(M, "fit", functools.partial(M.fit.func if hasattr(M.fit, "func") else M.fit, sample=sample))
         assert sorted(map(tuple, QUERIES["meaning_copies"](spark, str(tmp_path)).collect())) == [(20, 1), (40, 1)]
+
+
+def test_only_texts_that_share_words_are_placed(spark, tmp_path, monkeypatch):
+    """A text whose words and pairs nobody else has, or that none is asked about, is told apart before any vector is made."""
+    from quillspark import queries as Q
+
+    placed = []
+
+    def embed(emails, *args, **kwargs):
+        placed.extend(r.id for r in emails.select("id").collect())
+        return embed_all(emails, *args, **kwargs)
+
+    embed_all = Q.E.embed
+    monkeypatch.setattr(Q.E, "embed", embed)
+    # 120 and 121 hold a letter of Unicode 15.0, 140 and 141 one of 15.1, which is no letter in SQL
+    told = [(0, "nobody says this"), (20, "x y x z x"), (21, "X z x, y x"), (40, "a b a"), (41, "b a b"), (61, "not asked"), (62, "not asked"), (80, "one"), (81, "ONE."), (82, "one one")]
+    told += [(120, "p\U00031350q"), (121, "p q"), (140, "p\U0002ebf0r"), (141, "p r"), (None, "one"), (None, "one"), (None, None), (160, ""), (180, "same id"), (180, "same id")]
+    spark.createDataFrame(told, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, Q.QUERIES["meaning_copies"](spark, str(tmp_path)).collect())) == [(20, 1), (80, 1), (140, 1)]
+    assert sorted(placed) == [20, 21, 80, 81, 140, 141, 180, 180]
+
+
+def test_words_and_pairs_are_told():
+    assert M.told_of("x y x z x") == M.told_of("X z x, y x") != M.told_of("x y z x x")
+    assert M.told_of("a b a") != M.told_of("b a b")  # the same pairs
+    assert M.told_of("... ") is None and M.told_of("a b") != M.told_of("ab")
+    assert M.words_of("ΟΔΟΣ İ_x-éÉ") == ["οδοσ".encode(), b"i", b"x", "éé".encode()]
+    of = lambda text: M.print_of(M.codes_of(M.words_of(text)))
+    assert of("x y x z x") == of("X z x, y x") and len({of("a b a"), of("b a b"), of("a b"), of("b a"), of("ab")}) == 5
+
+
+def test_sample_is_the_least_hashes(spark):
+    from pyspark.sql import functions as F
+
+    for rows in (spark.range(5_000), spark.range(5_000).selectExpr("id % 3 AS id")):  # ids that repeat are not spread evenly
+        rows = rows.withColumn("text", F.col("id").cast("string"))
+        plain = rows.orderBy(F.xxhash64("id"), "id").limit(700).select("text").collect()
+        assert sorted(M._first(rows, 5_000, 700).select("text").collect()) == sorted(plain)  # noqa: SLF001
